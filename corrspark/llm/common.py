@@ -29,3 +29,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def as_text(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a string column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def slices(texts: list[bytes], most: int = 4 << 20) -> list[tuple[int, int]]:
+    """Ranges of texts that hold about ``most`` bytes each; a longer text is a range of its own."""
+    found, start, held = [], 0, 0
+    for i, x in enumerate(texts):
+        if i > start and held + len(x) > most:
+            found.append((start, i))
+            start, held = i, 0
+        held += len(x)
+    return found + [(start, len(texts))] * (start < len(texts))

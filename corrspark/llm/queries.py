@@ -1,5 +1,6 @@
 """The corpus operators' queries and, where SQL can express one, its SQL."""
 
+from corrspark.llm.decontaminate import op10_decontamination
 from corrspark.llm.packing import op7_packing
 from corrspark.llm.quality import op3_quality_rules
 from corrspark.llm.secrets import op9_secret_scan
@@ -10,6 +11,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
