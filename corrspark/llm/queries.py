@@ -1,12 +1,14 @@
 """The corpus operators' queries and, where SQL can express one, its SQL."""
 
 from corrspark.llm.decontaminate import op10_decontamination
+from corrspark.llm.linededup import op1_line_dedup
 from corrspark.llm.packing import op7_packing
 from corrspark.llm.quality import op3_quality_rules
 from corrspark.llm.secrets import op9_secret_scan
 from corrspark.llm.urls import op8_url_filter
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
