@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAKS = " \t\n\x0b\f\r"
@@ -40,3 +42,39 @@ def slices(texts: list[bytes], most: int = 4 << 20) -> list[tuple[int, int]]:
             start, held = i, 0
         held += len(x)
     return found + [(start, len(texts))] * (start < len(texts))
+
+
+_LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
+
+
+class WordHashes:
+    """64-bit hashes of the words of texts, A-Z lower-cased; each distinct word is hashed once while it is remembered."""
+
+    def __init__(self, most: int = 400_000):
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes in a row, and where each text begins (one more entry for the end)."""
+        split = [x.translate(_LOWER).split() for x in texts]
+        new = set().union(*split) - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = set().union(*split)
+        for w in new:
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        words = [w for s in split for w in s]
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), np.cumsum([0, *map(len, split)])
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> bytes:
+    """Which ends of a column of 64-bit hashes occur: 2**bits bytes of "0" or "1", a fixed size however many rows there are."""
+    there = bytearray(b"0" * (1 << bits))
+    for row in hashes.select(F.col(column).bitwiseAND((1 << bits) - 1).cast("int").alias("at")).distinct().toLocalIterator():
+        there[row["at"]] = 49
+    return bytes(there)
+
+
+def in_bitmap(hashed: Column, there: bytes) -> Column:
+    """True for each hash that the bitmap has, and for some others; for a join that follows."""
+    return F.substring(F.lit(there), (hashed.bitwiseAND(len(there) - 1) + 1).cast("int"), F.lit(1)).cast("string") == "1"

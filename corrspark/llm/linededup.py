@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrspark.llm.common import documents
+from corrspark.llm.common import bitmap, documents, in_bitmap
 from corrspark.session import cut
 
 
@@ -104,14 +104,6 @@ def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
     return x.join(y, (c("x.key") == c("y.key")) & ordered & lengths & places & bits).select(c("x.class_a").alias("x_a"), c("x.class_b").alias("x_b"), c("y.class_a").alias("y_a"), c("y.class_b").alias("y_b")).distinct()
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> bytes:
-    """Which ends of the hashes occur, a character of "0" or "1" for each: of a fixed size."""
-    there = bytearray(b"0" * (1 << bits))
-    for row in hashes.select(F.col("line_hash").bitwiseAND((1 << bits) - 1).cast("int").alias("at")).distinct().toLocalIterator():
-        there[row["at"]] = 49
-    return bytes(there)
-
-
 def _links(docs: DataFrame, lines: DataFrame, levels: bytes, rules: LineRules) -> tuple[DataFrame, DataFrame]:
     """All classes with their first line, and all pairs of classes that match."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")).alias("first")
@@ -119,9 +111,9 @@ def _links(docs: DataFrame, lines: DataFrame, levels: bytes, rules: LineRules) -
     pairs = cut(_candidates(classes, rules), "line-pairs")
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("x_a").alias("class_a"), F.col("x_b").alias("class_b")), F.struct(F.col("y_a").alias("class_a"), F.col("y_b").alias("class_b")))).alias("c")).select("c.*").distinct()
     hashes = lines.join(wanted, ["class_a", "class_b"], "left_semi").groupBy("class_a", "class_b").agg(F.min("line_hash").alias("line_hash"))
-    bitmap = _bitmap(hashes, rules.filter_bits)
+    there = bitmap(hashes, "line_hash", rules.filter_bits)
     # the sets of the classes in pairs, from the lines themselves
-    maybe = _lines(docs).where(F.substring(F.lit(bitmap), (F.xxhash64("line").bitwiseAND(len(bitmap) - 1) + 1).cast("int"), F.lit(1)).cast("string") == "1")
+    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there))
     keyed = maybe.select("line").distinct().select(_keys(F.col("line"), levels).alias("keys"))
     keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
     sets = keyed.join(wanted, ["class_a", "class_b"], "left_semi").dropDuplicates(["class_a", "class_b"])

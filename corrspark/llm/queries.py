@@ -2,6 +2,7 @@
 
 from corrspark.llm.decontaminate import op10_decontamination
 from corrspark.llm.linededup import op1_line_dedup
+from corrspark.llm.neardup import op4_near_dedup
 from corrspark.llm.packing import op7_packing
 from corrspark.llm.quality import op3_quality_rules
 from corrspark.llm.secrets import op9_secret_scan
@@ -10,6 +11,7 @@ from corrspark.llm.urls import op8_url_filter
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_dedup": op4_near_dedup,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
