@@ -2,6 +2,7 @@
 
 from corrspark.llm.decontaminate import op10_decontamination
 from corrspark.llm.linededup import op1_line_dedup
+from corrspark.llm.lmscore import op6_lm_score
 from corrspark.llm.neardup import op4_near_dedup
 from corrspark.llm.packing import op7_packing
 from corrspark.llm.quality import op3_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
+    "op6_lm_score": op6_lm_score,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
