@@ -7,10 +7,12 @@ from corrspark.llm.neardup import op4_near_dedup
 from corrspark.llm.packing import op7_packing
 from corrspark.llm.quality import op3_quality_rules
 from corrspark.llm.secrets import op9_secret_scan
+from corrspark.llm.suffixdedup import op2_suffix_dedup
 from corrspark.llm.urls import op8_url_filter
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op6_lm_score": op6_lm_score,
