@@ -5,6 +5,7 @@ from corrspark.llm.linededup import op1_line_dedup
 from corrspark.llm.lmscore import op6_lm_score
 from corrspark.llm.neardup import op4_near_dedup
 from corrspark.llm.packing import op7_packing
+from corrspark.llm.pii import op5_personal_data
 from corrspark.llm.quality import op3_quality_rules
 from corrspark.llm.secrets import op9_secret_scan
 from corrspark.llm.suffixdedup import op2_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_lm_score": op6_lm_score,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
