@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPS = "array<struct<n:int,op:string>>"
 
@@ -88,7 +89,7 @@ def _simplify(ops: list[tuple[int, str]], min_net: int, max_opposite: int, max_m
     return [x for x in ((left, "="), (abs(net), kind), (right, "=")) if x[0] > 0], f"1{kind}"
 
 
-@F.pandas_udf("struct<cigar:string,mode:string>")
+@F.pandas_udf(T.StructType([T.StructField("cigar", T.StringType()), T.StructField("mode", T.StringType())]))
 def simplify(text: pd.Series) -> pd.DataFrame:
     """Simplifies a CIGAR whose net gap is at least 100 with at most 50 opposite and 200 mismatching bases."""
     import re
@@ -123,7 +124,7 @@ def _trim_side(ops: list[tuple[int, str]], ref: int, qry: int) -> list[tuple[int
     return None if ref > 0 or qry > 0 else held
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def trim(text: pd.Series, ref_left: pd.Series, qry_left: pd.Series, ref_right: pd.Series, qry_right: pd.Series) -> pd.Series:
     """Trims a CIGAR by reference and query bases on both sides; null where nothing would be left or the axes disagree."""
     import re
