@@ -68,13 +68,15 @@ class WordHashes:
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int) -> bytes:
-    """Which ends of a column of 64-bit hashes occur: 2**bits bytes of "0" or "1", a fixed size however many rows there are."""
-    there = bytearray(b"0" * (1 << bits))
+    """Which ends of a column of 64-bit hashes occur, six places to a printable byte: a fixed size for any number of rows."""
+    there = bytearray(b"@" * (-(-(1 << bits) // 6)))
     for row in hashes.select(F.col(column).bitwiseAND((1 << bits) - 1).cast("int").alias("at")).distinct().toLocalIterator():
-        there[row["at"]] = 49
+        there[row["at"] // 6] |= 1 << row["at"] % 6
     return bytes(there)
 
 
-def in_bitmap(hashed: Column, there: bytes) -> Column:
+def in_bitmap(hashed: Column, there: bytes, bits: int) -> Column:
     """True for each hash that the bitmap has, and for some others; for a join that follows."""
-    return F.substring(F.lit(there), (hashed.bitwiseAND(len(there) - 1) + 1).cast("int"), F.lit(1)).cast("string") == "1"
+    at = hashed.bitwiseAND((1 << bits) - 1).cast("int")
+    byte = F.ascii(F.substring(F.lit(there), F.floor(at / 6).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, at % 6).bitwiseAND(1) == 1

@@ -27,17 +27,21 @@ class LineRules:
 
     percent: int = 80
     rarity_bits: int = 17
-    filter_bits: int = 20
+    filter_bits: int = 19
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line (lower-cased); a null text has none."""
+    """doc_id, text_hash, line_no, line (lower-cased) of the lines with a word; a null text has none."""
     whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low")).where("low is not null")
-    return whole.select("doc_id", "text_hash", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line"))
+    return whole.select("doc_id", "text_hash", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line")).where(F.trim("line", F.lit(_BREAKS)) != "")
+
+
+_BREAKS = " \t\x0b\f\r"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\x0b\\f\\r]+", -1), lambda w: w != "")
+    """The words of a line that has one."""
+    return F.split(F.trim(line, F.lit(_BREAKS)), "[ \\t\\x0b\\f\\r]+", -1)
 
 
 def _rarity(docs: DataFrame, bits: int) -> bytes:
@@ -63,14 +67,19 @@ def _keys(line: Column, levels: bytes) -> Column:
     return F.sort_array(F.transform(hashed, key))
 
 
-def _parity(keys: Column, shift: int) -> Column:
-    """64 parity bits of a set: two sets that differ in d elements differ in at most d bits."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(63).cast("int"))))
+def _parity(keys: Column, half: int) -> Column:
+    """64 parity bits of the half of a set's keys that end in ``half``: sets that differ in d elements differ in at most d bits of both halves."""
+
+    def bit(k: Column) -> Column:
+        own = k.bitwiseAND(1) if half else F.bitwise_not(k).bitwiseAND(1)
+        return F.call_function("shiftleft", own, F.shiftright(k, 1).bitwiseAND(63).cast("int"))
+
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
 def _line_table(docs: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
     """One row for each line with a word: where it is, its class (two hashes of its set), size, prefix and parities."""
-    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), _keys(F.col("line"), levels).alias("keys")).where(F.size("keys") > 0)
+    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), _keys(F.col("line"), levels).alias("keys"))
     size = F.size("keys")
     # a set of n shares at least ceil(percent * n) words with a match, so one of its n - that + 1 rarest is shared
     prefix = (size - F.ceil(size * rules.percent / 100 - 1e-9) + 1).cast("int")
@@ -84,43 +93,46 @@ def _line_table(docs: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
         size.alias("n"),
         F.slice("keys", F.lit(1), prefix).alias("prefix"),
         _parity(F.col("keys"), 0).alias("bits_a"),
-        # a second set of parities, for the sets that would fill the first
-        F.when(size > 40, _parity(F.col("keys"), 8)).otherwise(F.lit(0).cast("long")).alias("bits_b"),
+        _parity(F.col("keys"), 1).alias("bits_b"),
     )
 
 
 def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
-    """Pairs of classes that may match: x_a, x_b, y_a, y_b, each once."""
-    rows = classes.select("class_a", "class_b", "n", "bits_a", "bits_b", F.posexplode("prefix").alias("place", "key"))
+    """Pairs (x, y) of the first class hash of classes that may match, each once."""
+    rows = classes.select("class_a", "n", "bits_a", "bits_b", F.posexplode("prefix").alias("place", "key"))
     x, y = rows.alias("x"), rows.alias("y")
     c = F.col
     # |x & y| >= percent / (100 + percent) * (|x| + |y|)
     least = F.ceil((c("x.n") + c("y.n")) * rules.percent / (100 + rules.percent) - 1e-9)
-    ordered = (c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.class_a") < c("y.class_a"))) | ((c("x.n") == c("y.n")) & (c("x.class_a") == c("y.class_a")) & (c("x.class_b") < c("y.class_b")))
+    ordered = (c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.class_a") < c("y.class_a")))
     lengths = c("x.n") * 100 >= c("y.n") * rules.percent
     places = F.least(c("x.n") - c("x.place"), c("y.n") - c("y.place")) >= least
-    differ = F.greatest(F.bit_count(c("x.bits_a").bitwiseXOR(c("y.bits_a"))), F.bit_count(c("x.bits_b").bitwiseXOR(c("y.bits_b"))))
+    differ = F.bit_count(c("x.bits_a").bitwiseXOR(c("y.bits_a"))) + F.bit_count(c("x.bits_b").bitwiseXOR(c("y.bits_b")))
     bits = c("x.n") + c("y.n") - differ >= 2 * least
-    return x.join(y, (c("x.key") == c("y.key")) & ordered & lengths & places & bits).select(c("x.class_a").alias("x_a"), c("x.class_b").alias("x_b"), c("y.class_a").alias("y_a"), c("y.class_b").alias("y_b")).distinct()
+    return x.join(y, (c("x.key") == c("y.key")) & ordered & lengths & places & bits).select(c("x.class_a").alias("x"), c("y.class_a").alias("y")).distinct()
 
 
-def _links(docs: DataFrame, lines: DataFrame, levels: bytes, rules: LineRules) -> tuple[DataFrame, DataFrame]:
-    """All classes with their first line, and all pairs of classes that match."""
+def _links(docs: DataFrame, lines: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
+    """All pairs of classes that match: x_a, x_b, y_a, y_b, and later: the one whose first line is later, "x" or "y"."""
+    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits_a", "bits_b")]
+    pairs = cut(_candidates(lines.groupBy("class_a", "class_b").agg(*values), rules), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class_a")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")).alias("first")
-    classes = lines.groupBy("class_a", "class_b").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"))
-    pairs = cut(_candidates(classes, rules), "line-pairs")
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("x_a").alias("class_a"), F.col("x_b").alias("class_b")), F.struct(F.col("y_a").alias("class_a"), F.col("y_b").alias("class_b")))).alias("c")).select("c.*").distinct()
-    hashes = lines.join(wanted, ["class_a", "class_b"], "left_semi").groupBy("class_a", "class_b").agg(F.min("line_hash").alias("line_hash"))
-    there = bitmap(hashes, "line_hash", rules.filter_bits)
+    wanted = cut(lines.join(wanted, "class_a", "left_semi").groupBy("class_a", "class_b").agg(first, F.min("line_hash").alias("line_hash")), "paired-lines")
+    there = bitmap(wanted, "line_hash", rules.filter_bits)
     # the sets of the classes in pairs, from the lines themselves
-    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there))
+    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, rules.filter_bits))
     keyed = maybe.select("line").distinct().select(_keys(F.col("line"), levels).alias("keys"))
     keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
-    sets = keyed.join(wanted, ["class_a", "class_b"], "left_semi").dropDuplicates(["class_a", "class_b"])
-    with_x = pairs.join(sets.select(F.col("class_a").alias("x_a"), F.col("class_b").alias("x_b"), F.col("keys").alias("x_keys")), ["x_a", "x_b"])
-    with_y = with_x.join(sets.select(F.col("class_a").alias("y_a"), F.col("class_b").alias("y_b"), F.col("keys").alias("y_keys")), ["y_a", "y_b"])
+    sets = keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"])
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("class_a").alias(name), F.col("class_b").alias(f"{name}_b"), F.col("keys").alias(f"{name}_keys"), F.col("first").alias(f"{name}_first"))
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("x_keys", "y_keys"))
-    return classes.select("class_a", "class_b", "first"), with_y.where(common * 100 >= (F.size("x_keys") + F.size("y_keys") - common) * rules.percent).select("x_a", "x_b", "y_a", "y_b")
+    matching = both.where(common * 100 >= (F.size("x_keys") + F.size("y_keys") - common) * rules.percent)
+    return matching.select(F.col("x").alias("x_a"), "x_b", F.col("y").alias("y_a"), "y_b", F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later"))
 
 
 def mark_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -131,17 +143,15 @@ def mark_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     levels = _rarity(docs, rules.rarity_bits)
     lines = cut(_line_table(docs, levels, rules), "lines")
-    classes, links = _links(docs, lines, levels, rules)
-    firsts = classes.select("class_a", "class_b", "first")
-    links = links.join(firsts.select(F.col("class_a").alias("x_a"), F.col("class_b").alias("x_b"), F.col("first").alias("x_first")), ["x_a", "x_b"])
-    links = links.join(firsts.select(F.col("class_a").alias("y_a"), F.col("class_b").alias("y_b"), F.col("first").alias("y_first")), ["y_a", "y_b"])
+    links = _links(docs, lines, levels, rules)
     ends = F.array(
-        F.struct(F.col("x_a").alias("class_a"), F.col("x_b").alias("class_b"), (F.col("x_first") > F.col("y_first")).alias("later")),
-        F.struct(F.col("y_a").alias("class_a"), F.col("y_b").alias("class_b"), (F.col("y_first") > F.col("x_first")).alias("later")),
+        F.struct(F.col("x_a").alias("class_a"), F.col("x_b").alias("class_b"), (F.col("later") == "x").alias("later")),
+        F.struct(F.col("y_a").alias("class_a"), F.col("y_b").alias("class_b"), (F.col("later") == "y").alias("later")),
     )
     linked = links.select(F.explode(ends).alias("e")).groupBy("e.class_a", "e.class_b").agg(F.max("e.later").alias("later"), F.count(F.lit(1)).alias("n_links"))
-    known = firsts.join(linked, ["class_a", "class_b"], "left")
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
+    firsts = lines.groupBy("class_a", "class_b").agg(F.min(here).alias("first"))
+    known = firsts.join(linked, ["class_a", "class_b"], "left")
     joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
     later = F.coalesce("later", F.lit(False))
     return joined.select("doc_id", "text_hash", "line_no", (later | (F.col("first") < here)).alias("removed"), (later & (F.col("first") >= here)).alias("similar"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
