@@ -134,16 +134,17 @@ class Templates:
 def item_windows(benchmark: DataFrame, rules: TemplateRules) -> DataFrame:
     """item_id, item_tokens, item_at, window, item_slots. An item with fewer tokens than a window has none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(rules)
-        for x in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in x["text"]]
+        for batch in batches:
+            texts, ids = as_bytes(batch.column(1)), batch.column(0).to_numpy()
             sizes = np.bincount(templates.tokens(texts)[0], minlength=len(texts))
             owner, place, value, (at, kind, words) = templates.windows(texts)
-            ids = x["item_id"].to_numpy()
-            yield pd.DataFrame({"item_id": ids[owner], "item_tokens": sizes[owner], "item_at": place, "window": value, "item_slots": [templates.slots(i, kind, words) for i in at]})
+            slots = pa.array([templates.slots(i, kind, words) for i in at], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids[owner], sizes[owner], place, value)), slots], ["item_id", "item_tokens", "item_at", "window", "item_slots"])
 
-    return benchmark.select("item_id", "text").where("item_id is not null").mapInPandas(run, "item_id long, item_tokens long, item_at long, window long, item_slots array<string>")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
+    return items.mapInArrow(run, "item_id long, item_tokens long, item_at long, window long, item_slots array<string>")
 
 
 def window_filter(items: DataFrame, bits: int) -> np.ndarray:
