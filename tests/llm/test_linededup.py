@@ -1,8 +1,10 @@
+import random
+import re
+
+import pytest
 from helpers import corpus, empty, frame
 from corrspark.llm.linededup import dedup_lines, judge_lines
 
-import re
-
 
 def brute(rows):
     """The same by comparing all pairs of lines."""
@@ -20,8 +22,21 @@ def similar(a, b):
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
-def test_matches_brute_force(spark):
-    rows = corpus()
+def variants(seed):
+    """Lines that differ from one another by a few words, so that first pairs both match and fail."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = list(words[: rng.choice((12, 20, 40))])
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [corpus(), variants(1), variants(2)])
+def test_matches_brute_force(spark, rows):
     docs = frame(spark, rows)
     got = {}
     for r in judge_lines(docs).collect():
