@@ -98,7 +98,7 @@ def count_tables(taught: DataFrame, model: UrlModel) -> dict[tuple[str, str], np
 
     found = taught.mapInPandas(run, "verdict string, kind string, bucket long, n long").groupBy("verdict", "kind", "bucket").agg(F.sum("n").alias("n"))
     tables = {(v, k): np.zeros(model.buckets, np.int64) for v in ("allow", "block") for k in ("context", "joint")}
-    for (verdict, kind), part in found.toPandas().groupby(["verdict", "kind"]):  # 4 * buckets rows at most
+    for (verdict, kind), part in found.toArrow().to_pandas().groupby(["verdict", "kind"]):  # 4 * buckets rows at most
         tables[verdict, kind][part["bucket"].to_numpy()] = part["n"].to_numpy()
     return tables
 

@@ -112,7 +112,7 @@ def test_scores_do_not_depend_on_shards(spark):
     few = {r["doc_id"]: r["score"] for r in lmscore.score_texts(docs).collect()}
     rows = lmscore.score_texts(docs, lmscore.ModelRules(shard_tokens=4000)).collect()
     # one byte for a probability: shards have books of their own
-    assert np.allclose([few[r["doc_id"]] for r in rows], [r["score"] for r in rows], rtol=0.01)
+    assert np.allclose([few[r["doc_id"]] for r in rows], [r["score"] for r in rows], rtol=0.05)
     assert lmscore.score_texts(empty(spark)).count() == 0
 
 
