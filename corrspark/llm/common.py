@@ -24,7 +24,8 @@ def lower_ascii(column):
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 bytes of a string column; null counts as empty."""
+    """UTF-8 bytes of a string column; null counts as empty. Gives the memory of earlier batches back first."""
+    pa.default_memory_pool().release_unused()
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
@@ -56,15 +57,19 @@ class WordHashes:
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words' hashes in a row, and where each text begins (one more entry for the end)."""
-        split = [x.translate(_LOWER).split() for x in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*split)
-        for w in new:
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        words = [w for s in split for w in s]
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), np.cumsum([0, *map(len, split)])
+        hashes, sizes = [np.empty(0, np.uint64)], [0]
+        for a, b in slices(texts, 2 << 20):
+            split = [x.translate(_LOWER).split() for x in texts[a:b]]
+            new = set().union(*split) - self.known.keys()
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = set().union(*split)
+            for w in new:
+                self.known[w] = xxhash.xxh3_64_intdigest(w)
+            sizes += map(len, split)
+            words = [w for s in split for w in s]
+            hashes.append(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
+        return np.concatenate(hashes), np.cumsum(sizes)
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int) -> bytes:

@@ -46,7 +46,7 @@ class TemplateRules:
     min_run: int = 13
     min_percent: int = 50
     filter_bits: int = 24
-    cache_words: int = 400_000
+    cache_words: int = 300_000
 
 
 class Templates:
@@ -60,6 +60,11 @@ class Templates:
         """60 bits of the word's hash, then 4 bits: its type (name and unit: if its place allows), or 7 for none; top bit of 4: ends a sentence."""
         if word == _LINE:
             return 15
+        core = word.rstrip(b".,")
+        if core.isalpha() and core.islower() and len(word) - len(core) < 2:  # most words: ASCII letters and at most a mark
+            text = core.decode()
+            if text not in NUMBER_WORDS and text not in UNITS:
+                return (xxhash.xxh3_64_intdigest(core) >> 4 << 4) | PLAIN | 8 * word.endswith(b".")
         text = word.decode("utf-8", "surrogatepass")
         ends = 8 * bool(re.search(r"[.!?:][\"'”’)\]]*$", text))
         core = re.sub(r"^[^\w$€£+-]+|[^\w%]+$", "", text)
@@ -167,13 +172,14 @@ def document_windows(docs: DataFrame, there: np.ndarray, rules: TemplateRules) -
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(there))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, known = Templates(rules), np.unpackbits(shared.value).astype(bool)
-        mask = np.int64(len(known) - 1)
+        templates, known = Templates(rules), shared.value
+        mask = np.int64(8 * len(known) - 1)
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2 << 20):
                 owner, place, value, (at, kind, words) = templates.windows(texts[a:b])
-                hit = np.flatnonzero(known[value & mask])
+                bit = value & mask
+                hit = np.flatnonzero(known[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[a + i] for i in owner[hit]], pa.int64()),
