@@ -119,7 +119,10 @@ def sketch(docs: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Pairs (i, j), i < j, of sets whose similarity is high enough. left: only pairs of one below it and one not below."""
+    """Pairs (i, j), i < j, of sets whose similarity is high enough. left: only pairs of one below it and one not below.
+
+    A set that is there twice is linked with itself.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     common = np.zeros((m, m), np.float32)
@@ -149,8 +152,9 @@ def linked(sets: list[np.ndarray], percent: int, left: int | None = None) -> lis
 
 
 def _forest(nodes: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(node, root): as few edges as connect what the pairs connect; roots are the least nodes."""
-    up = list(range(len(nodes)))
+    """(node, root): as few edges as connect what the pairs connect; roots are the least nodes. A node may be there twice, as one."""
+    first: dict[int, int] = {}
+    up = [first.setdefault(node, i) for i, node in enumerate(nodes)]
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -164,13 +168,13 @@ def _forest(nodes: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, i
             if nodes[a] < nodes[b]:
                 a, b = b, a
             up[a] = b
-    return [(nodes[i], nodes[root(i)]) for i in range(len(nodes)) if root(i) != i]
+    return [(nodes[i], nodes[root(i)]) for i in first.values() if root(i) != i]
 
 
 def _compare(rules: NearRules):
     """Over rows (task, side, node, set_a, text), those of a task together: the edges that connect what is linked.
 
-    side: 0 or 1 if only pairs of both sides count, else null. A row whose text does not have the set is another version of its document.
+    side: 0 or 1 if only pairs of both sides count, else null; a node may be on both. A row whose text does not have the set is another version of its document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +183,10 @@ def _compare(rules: NearRules):
 
         def edges() -> Iterator[pa.RecordBatch]:
             if len(members) > 1:
-                ordered = sorted((side or 0, node) for node, (side, _) in members.items())
+                ordered = sorted(members)
                 both = any(side for side, _ in ordered)
                 left = sum(side == 0 for side, _ in ordered) if both else None
-                nodes = [node for _, node in ordered]
-                found = _forest(nodes, linked([members[n][1] for n in nodes], rules.percent, left))
+                found = _forest([node for _, node in ordered], linked([members[x] for x in ordered], rules.percent, left))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -196,7 +199,7 @@ def _compare(rules: NearRules):
                         yield from edges()
                         task, members = tasks[i], {}
                     if int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "little", signed=True) == keys[i]:
-                        members[nodes[i]] = (sides[i], own)
+                        members[sides[i] or 0, nodes[i]] = own
         yield from edges()
 
     return run

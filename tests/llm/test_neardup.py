@@ -52,6 +52,39 @@ def test_matches_brute_force(spark, rules, rows):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def chains_and_stars(seed, originals, steps, rays):
+    """Around several originals of one group, chains and stars whose members have one link each to what is before them."""
+    rng = random.Random(seed)
+    fresh = iter(range(10**6))
+    base = [f"w{i}" for i in range(150)]
+    rows, ids = [], iter(rng.sample(range(10**6), 10**4))
+
+    def changed(words, at):
+        """8 neighbouring words are others: 87 % are left of 148 shingles of 3, and after another such step 76 %."""
+        return words[:at] + [f"x{next(fresh)}" for _ in range(8)] + words[at + 8 :]
+
+    for k in range(originals):
+        base = changed(base, 12 * (k % 12))
+        rows.append((next(ids), " ".join(base)))
+        for _ in range(rays):
+            rows.append((next(ids), " ".join(changed(base, 12 * rng.randrange(12)))))
+        now = base
+        for at in rng.sample(range(12), steps):
+            now = changed(now, 12 * at)
+            rows.append((next(ids), " ".join(now)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [4, 16, 40])
+def test_no_link_is_lost_among_blocks(spark, block):
+    rules, rows = NearRules(shingle=3, percent=85, block=block), chains_and_stars(3, 6, 8, 4)
+    want = brute(rows, 3, 85)
+    assert len({c for _, _, c in want}) == 1
+    got = near_groups(frame(spark, rows), rules).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus(4)
     docs = frame(spark, rows)
