@@ -5,9 +5,7 @@ that share one of their rarest words (prefix filter) meet on that word; length,
 that cannot reach the threshold, and the Jaccard similarity of the rest is verified on the whole sets. Of two lines
 that match, the later one goes; lines are ordered by (doc_id, line number, text hash).
 
-A line goes if one earlier line matches, so a group of many variants need not be paired with itself: where a class may
-match the first class that has the word, only this pair is verified. All others are joined with all, and so is, in a
-second round, a class whose pair with a first one turned out not to match.
+All matching pairs of classes are found, so every line comes with its class and the number of other sets that match.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrspark.llm.common import bitmap, documents, in_bitmap
@@ -106,15 +104,6 @@ def _place() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.col("line_no").alias("line"), "text_hash")
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits_a", "bits_b")]
-    return lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), *values).select("class_a", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "prefix", "bits_a", "bits_b")
-
-
-def _words_of(classes: DataFrame) -> DataFrame:
-    return classes.select("class_a", "doc", "line", "n", "bits_a", "bits_b", F.posexplode("prefix").alias("place", "key"))
-
-
 def _may_match(x, y, rules: LineRules) -> Column:
     """Whether rows (functions from a name to a column) can reach the threshold by their sizes and parities."""
     low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
@@ -130,36 +119,19 @@ def _places_fit(x, y, rules: LineRules) -> Column:
     return F.least(x("n") - x("place"), y("n") - y("place")) >= least
 
 
-def _meet(some: DataFrame, every: DataFrame, rules: LineRules) -> DataFrame:
-    """Pairs (x, y) of different classes, x of ``some``, that have a word in common and may match."""
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    on = (x("key") == y("key")) & (x("class_a") != y("class_a")) & _places_fit(x, y, rules) & _may_match(x, y, rules)
-    return some.alias("x").join(every.alias("y"), on).select(x("class_a").alias("x"), y("class_a").alias("y"))
-
-
 def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
-    """Pairs (x, y) to verify; star: x is the first class with some word of y, and y's other pairs on it are left out.
-
-    One self-join on the word serves both kinds. Both sides read the same columns, so they share one shuffle.
-    """
-    columns = ("class_a", "doc", "line", "n", "bits_a", "bits_b")
-    rows = _words_of(classes)
-    by_word = Window.partitionBy("key").orderBy("doc", "line", "class_a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.select("*", *[F.first(c).over(by_word).alias(f"first_{c}") for c in columns])
-    own, center = (lambda c: F.col(c)), (lambda c: F.col(f"first_{c}"))
-    earlier = (center("doc") < F.col("doc")) | ((center("doc") == F.col("doc")) & (center("line") < F.col("line")))
-    near = earlier & (center("class_a") != F.col("class_a")) & _may_match(own, center, rules)
+    """Pairs (x, y) of the first class hash of classes that have a word in common and may match, each once."""
+    rows = classes.select("class_a", "n", "bits_a", "bits_b", F.posexplode("prefix").alias("place", "key"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    star = x("near") & (y("class_a") == x("first_class_a")) & (y("doc") == x("first_doc")) & (y("line") == x("first_line"))
-    far = ~x("near") & (x("class_a") != y("class_a")) & _places_fit(x, y, rules) & _may_match(x, y, rules)
-    seen, other = seen.withColumn("near", near).alias("x"), rows.alias("y")
-    pairs = seen.join(other, (x("key") == y("key")) & (star | far)).select(F.least(x("class_a"), y("class_a")).alias("a"), F.greatest(x("class_a"), y("class_a")).alias("b"), F.when(x("near"), x("class_a")).alias("open"))
-    # y of a star pair is the class that still has to be compared with others if the pair fails
-    return pairs.groupBy("a", "b").agg(F.max("open").alias("open"), F.min("open").alias("open_too")).select(F.col("a").alias("x"), F.col("b").alias("y"), "open", "open_too")
+    ordered = (x("n") < y("n")) | ((x("n") == y("n")) & (x("class_a") < y("class_a")))
+    on = (x("key") == y("key")) & ordered & _places_fit(x, y, rules) & _may_match(x, y, rules)
+    return rows.alias("x").join(rows.alias("y"), on).select(x("class_a").alias("x"), y("class_a").alias("y")).distinct()
 
 
-def _verify(docs: DataFrame, lines: DataFrame, pairs: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
-    """The pairs with their classes' second hashes, open (classes that rely on the pair), match, and later: the one whose first line is later, "x" or "y"."""
+def _links(docs: DataFrame, lines: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
+    """All pairs of classes that match: x_a, x_b, y_a, y_b, and later: the one whose first line is later, "x" or "y"."""
+    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits_a", "bits_b")]
+    pairs = cut(_candidates(lines.groupBy("class_a", "class_b").agg(*values), rules), "line-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class_a")).distinct()
     wanted = cut(lines.join(wanted, "class_a", "left_semi").groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), F.min("line_hash").alias("line_hash")), "paired-lines")
     there = bitmap(wanted, "line_hash", rules.filter_bits)
@@ -174,46 +146,42 @@ def _verify(docs: DataFrame, lines: DataFrame, pairs: DataFrame, levels: bytes,
 
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("x_keys", "y_keys"))
-    match = common * 100 >= (F.size("x_keys") + F.size("y_keys") - common) * rules.percent
-    return both.select("x", "x_b", "y", "y_b", "open", "open_too", match.alias("match"), F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later"))
+    matching = both.where(common * 100 >= (F.size("x_keys") + F.size("y_keys") - common) * rules.percent)
+    return matching.select(F.col("x").alias("x_a"), "x_b", F.col("y").alias("y_a"), "y_b", F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later"))
 
 
-def _later(verified: DataFrame) -> DataFrame:
-    """class_a, class_b of the classes that an earlier one matches."""
-    rows = verified.where("match")
-    is_x = F.col("later") == "x"
-    return rows.select(F.when(is_x, F.col("x")).otherwise(F.col("y")).alias("class_a"), F.when(is_x, F.col("x_b")).otherwise(F.col("y_b")).alias("class_b")).distinct()
+def line_links(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """x_a, x_b, y_a, y_b: each pair of different classes of lines whose sets match, once."""
+    levels = _rarity(docs, rules.rarity_bits)
+    return _links(docs, cut(_line_table(docs, levels, rules), "lines"), levels, rules).drop("later")
 
 
 def mark_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """doc_id, text_hash, line_no, removed, similar for each line with a word.
+    """doc_id, text_hash, line_no, class_a, class_b, removed, similar, n_links for each line with a word.
 
-    removed: an earlier line has the same set of words or one that matches; similar: none has the same.
+    class_a, class_b: the line's class, the same for equal sets of words. removed: an earlier line has the same set of
+    words or one that matches; similar: none has the same. n_links: other sets that match the line's set.
     """
     levels = _rarity(docs, rules.rarity_bits)
     lines = cut(_line_table(docs, levels, rules), "lines")
-    pairs = cut(_candidates(_classes(lines), rules), "line-pairs")
-    verified = cut(_verify(docs, lines, pairs, levels, rules), "verified-pairs")
-    gone = _later(verified)
-    # classes whose pair with a first one does not match, and that nothing else removes: with all they share a word with
-    again = cut(verified.where("not match").select(F.explode(F.array("open", "open_too")).alias("class_a")).where("class_a is not null").distinct().join(gone, "class_a", "left_anti"), "open-lines")
-    if not again.isEmpty():
-        words = _words_of(_classes(lines))
-        some = cut(words.join(again, "class_a", "left_semi"), "open-words")
-        there = bitmap(some, "key", rules.filter_bits)
-        met = _meet(some, words.where(in_bitmap(F.col("key"), there, rules.filter_bits)), rules).distinct().withColumns({"open": F.lit(None).cast("long"), "open_too": F.lit(None).cast("long")})
-        gone = gone.union(_later(_verify(docs, lines, cut(met, "open-pairs"), levels, rules))).distinct()
+    links = _links(docs, lines, levels, rules)
+    ends = F.array(
+        F.struct(F.col("x_a").alias("class_a"), F.col("x_b").alias("class_b"), (F.col("later") == "x").alias("later")),
+        F.struct(F.col("y_a").alias("class_a"), F.col("y_b").alias("class_b"), (F.col("later") == "y").alias("later")),
+    )
+    linked = links.select(F.explode(ends).alias("e")).groupBy("e.class_a", "e.class_b").agg(F.max("e.later").alias("later"), F.count(F.lit(1)).alias("n_links"))
     firsts = lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"))
-    known = firsts.join(gone.withColumn("later", F.lit(True)), ["class_a", "class_b"], "left")
+    known = firsts.join(linked, ["class_a", "class_b"], "left")
     joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
     later = F.coalesce("later", F.lit(False))
-    return joined.select("doc_id", "text_hash", "line_no", (later | (F.col("first") < _place())).alias("removed"), (later & (F.col("first") >= _place())).alias("similar"))
+    return joined.select("doc_id", "text_hash", "line_no", "class_a", "class_b", (later | (F.col("first") < _place())).alias("removed"), (later & (F.col("first") >= _place())).alias("similar"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _by_document(marks: DataFrame) -> DataFrame:
+def _by_document(marks: DataFrame, *more: Column) -> DataFrame:
     return marks.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"),
         F.countDistinct(F.when(F.col("similar"), F.col("line_no"))).alias("n_similar"),
+        *more,
     )
 
 
@@ -223,16 +191,18 @@ def _on(left: DataFrame, right: DataFrame) -> Column:
 
 def judge_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines, n_removed, removed_lines (from 0), n_similar (removed for a line
-    whose words differ).
+    whose words differ), most_links (of one line to other sets of words), line_classes (line_no, class_a, class_b and
+    n_links of each line with a word; lines of one class have the same set of words).
 
     A null text has no lines; an empty one has one, without words. Lines without words stay and match nothing.
     Rows with equal doc_id and text are one document and get the same result; null ids come last in the order.
     An empty table gives an empty table. Other columns are not read.
     """
-    found = _by_document(mark_lines(docs, rules))
+    classes = F.sort_array(F.collect_set(F.struct("line_no", "class_a", "class_b", "n_links"))).alias("line_classes")
+    found = _by_document(mark_lines(docs, rules), F.max("n_links").alias("most_links"), classes)
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
     lines = F.coalesce(found["removed_lines"], F.array().cast("array<int>"))
-    return own.join(found, _on(own, found), "left").select(own["doc_id"], "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
+    return own.join(found, _on(own, found), "left").select(own["doc_id"], "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("most_links", F.lit(0)).alias("most_links"), F.coalesce("line_classes", F.array().cast(found.schema["line_classes"].dataType)).alias("line_classes"))
 
 
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:

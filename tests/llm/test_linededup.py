@@ -3,7 +3,7 @@ import re
 
 import pytest
 from helpers import corpus, empty, frame
-from corrspark.llm.linededup import dedup_lines, judge_lines
+from corrspark.llm.linededup import dedup_lines, judge_lines, line_links
 
 
 def brute(rows):
@@ -53,6 +53,24 @@ def test_matches_brute_force(spark, rows):
         assert sorted(by_id.get(i, [])) in got[i], i
 
 
+def test_all_links_are_counted(spark):
+    rows = variants(1) + [(100, "a b\nb a\n\nw0 w1"), (101, None)]
+    docs = frame(spark, rows)
+    sets = {w for _, _, w, _ in brute(rows)}
+    links = {w: sum(similar(w, v) for v in sets if v != w) for w in sets}
+    assert max(links.values()) > 5
+    got, found = {}, {r["doc_id"]: r for r in judge_lines(docs).collect()}
+    for key, no, words, (i, _) in brute(rows):
+        line = next(c for c in found[i]["line_classes"] if c["line_no"] == no)
+        assert line["n_links"] == links[words] <= found[i]["most_links"]
+        got.setdefault(words, set()).add((line["class_a"], line["class_b"]))
+    assert all(len(c) == 1 for c in got.values()) and len(set.union(*got.values())) == len(sets)
+    assert found[101]["line_classes"] == [] and found[101]["most_links"] == 0
+    name = {next(iter(c)): w for w, c in got.items()}
+    pairs = [frozenset((name[r["x_a"], r["x_b"]], name[r["y_a"], r["y_b"]])) for r in line_links(docs).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {frozenset((v, w)) for v in sets for w in sets if v != w and similar(v, w)}
+
+
 def test_removed_lines_leave_the_text(spark):
     rows = corpus()
     docs = frame(spark, rows)
