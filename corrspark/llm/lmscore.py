@@ -3,8 +3,8 @@
 Every pair of neighbouring words goes to the shard of its first word, of training texts to be counted and of all
 texts to be scored, so no task needs the whole model. A shard counts its pairs, writes its trie (monotone pointers,
 one-byte probabilities) to memory-mapped files, looks all pairs up and returns sums for each text. Smoothing is
-p(w|v) = (c(vw) + m p(w)) / (c(v) + m), m growing with c(v) as the number of successors does; p(w) comes from a table of hashed word classes of a fixed size. A word that
-is so frequent that it would fill a shard is spread over shards by its successor; its count is sent along.
+p(w|v) = (c(vw) + m p(w)) / (c(v) + m), m growing with c(v) as the number of successors does; p(w) is (c(w) + 0.1) / (n + 0.1 (v + 1)),
+from a join of each shard's words with the exact counts. A word that is so frequent that it would fill a shard is spread over shards by its successor; its count is sent along.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 @dataclass(frozen=True)
 class ModelRules:
-    """``power``: m = c(v) ** power is the weight of the shorter context. ``class_bits``: the word classes are 2**class_bits.
+    """``power``: m = c(v) ** power is the weight of the shorter context. ``bucket_words``: words whose counts one task joins at a time.
     ``shard_tokens``: tokens to a shard; words with half as many are spread. ``folds``: one in so many texts is held out.
     """
 
     power: float = 0.8
-    class_bits: int = 20
+    bucket_words: int = 500_000
     shard_tokens: int = 1_000_000
     folds: int = 10
 
@@ -82,10 +82,10 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + a.dtype.str.encode().ljust(4) + p for p, a in zip(parts, arrays, strict=True))
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+def _unpack(data: bytes, most: int | None = None) -> list[np.ndarray]:
     found, at = [], 0
     unpress = zstandard.ZstdDecompressor().decompress
-    while at < len(data):
+    while at < len(data) and len(found) != most:
         n, kind = int.from_bytes(data[at : at + 4], "little"), np.dtype(data[at + 4 : at + 8].decode().strip())
         raw = np.frombuffer(unpress(data[at + 8 : at + 8 + n]), np.uint8).reshape(kind.itemsize, -1)
         found.append(np.ascontiguousarray(raw.T).view(kind).reshape(-1))
@@ -136,8 +136,86 @@ def _pairs(docs: DataFrame, shards: int, frequent: dict[int, int], rules: ModelR
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "shard int, block long, data binary")
 
 
-def _score_shard(blocks: list[tuple[int, bytes]], class_logs: np.ndarray, frequent: dict[int, int], rules: ModelRules) -> Iterator[tuple[int, bytes]]:
-    """(block, sums for its texts: log10 of the model, log10 of base counts, known words) of one shard."""
+def _asked(pairs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, shard, data: words of a shard, by buckets of words. Tasks sum up their own words first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for shard, codes in held.items():
+                every = np.unique(np.concatenate(codes))
+                bucket = (_mix(every) % np.uint64(buckets)).astype(np.int32)
+                own = np.unique(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), shard, np.int32)), pa.array([_pack(every[bucket == b]) for b in own], pa.binary())], ["bucket", "shard", "data"])
+            held.clear()
+
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if shard >= 0:
+                    held.setdefault(shard, []).append(code := _unpack(data, 1)[0])
+                    size += len(code)
+                if size > 1 << 22:
+                    yield from rows()
+                    size = 0
+        yield from rows()
+
+    return pairs.mapInArrow(run, "bucket int, shard int, data binary")
+
+
+def _told(asked: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """shard, block, data: the words of each shard that have a count, and the counts; the block is negative."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            bucket = (_mix(word) % np.uint64(buckets)).astype(np.int32)
+            own = np.unique(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), -1, np.int32)), pa.array([_pack(word[bucket == b], n[bucket == b]) for b in own], pa.binary())], ["bucket", "shard", "data"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, n = None, [], []
+        shard, wanted = None, []
+
+        def reply() -> Iterator[pa.RecordBatch]:
+            if wanted and words:
+                every = np.unique(np.concatenate(wanted))
+                at = np.minimum(np.searchsorted(words[0], every), len(words[0]) - 1)
+                hit = words[0][at] == every
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1 - now], pa.int64()), pa.array([_pack(every[hit], n[0][at[hit]])], pa.binary())], ["shard", "block", "data"])
+
+        for batch in batches:
+            for bucket, s, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (bucket, s) != (now, shard):
+                    yield from reply()
+                    if bucket != now:
+                        words, n = [], []
+                    now, shard, wanted = bucket, s, []
+                if s < 0:
+                    word, count = _unpack(data)
+                    words.append(word)
+                    n.append(count)
+                    continue
+                if len(words) > 1:
+                    order = np.argsort(every := np.concatenate(words))
+                    words, n = [every[order]], [np.concatenate(n)[order]]
+                elif words and not wanted:
+                    order = np.argsort(words[0])
+                    words, n = [words[0][order]], [n[0][order]]
+                wanted.append(_unpack(data)[0])
+        yield from reply()
+
+    rows = asked.union(counts.select("word", "n").mapInArrow(known, "bucket int, shard int, data binary"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(look, "shard int, block long, data binary")
+
+
+def _score_shard(blocks: list[tuple[int, bytes]], told: list[bytes], all_words: tuple[int, int], frequent: dict[int, int], rules: ModelRules) -> Iterator[tuple[int, bytes]]:
+    """(block, sums for its texts: log10 of the model, log10 of base counts, known words) of one shard.
+
+    told: words of the shard with their counts; those it lacks have none. all_words: training tokens and distinct words.
+    """
     parts = [_unpack(data) for _, data in blocks]
     codes = np.unique(np.concatenate([p[0] for p in parts]))
     contexts, successors, texts, taught, ends = [], [], [], [], [0]
@@ -162,7 +240,11 @@ def _score_shard(blocks: list[tuple[int, bytes]], class_logs: np.ndarray, freque
         if at < len(codes) and codes[at].view(np.int64) == word:
             total[at] = n
     left, right = pair // len(codes), pair % len(codes)
-    logs = class_logs[(codes & np.uint64(len(class_logs) - 1)).astype(np.int64)].astype(float)
+    own = np.zeros(len(codes))
+    for data in told:
+        word, n = _unpack(data)
+        own[np.searchsorted(codes, word)] = n
+    logs = np.log10((own + 0.1) / (all_words[0] + 0.1 * (all_words[1] + 1)))
 
     seen = np.flatnonzero(count)
     there = np.flatnonzero(np.bincount(left[seen], minlength=len(codes)))
@@ -207,25 +289,17 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
     end_count = next((r["n"] for r in counts.where(F.col("word") == int(END.view(np.int64))).collect()), 0)
     if end_count > rules.shard_tokens // 2:  # as often as a text ends, one begins
         frequent[int(BEGIN.view(np.int64))] = end_count
-    size = 1 << rules.class_bits
-    classes = counts.groupBy(F.col("word").bitwiseAND(size - 1).alias("at")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()  # a row for each class at most
-    class_counts, class_words = np.zeros(size), np.zeros(size)
-    at = classes["at"].to_numpy()
-    class_counts[at], class_words[at] = classes["n"].to_numpy(), classes["words"].to_numpy()
-    # words not seen get as much as in the base, spread over classes; a class's words share evenly, with one more for these
-    extra = 0.1 * (v + 1) / size
-    logs = np.log10((class_counts + extra) / (n + extra * size) / (class_words + 1)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((logs, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     base_of_all = float(np.log10(n + 0.1 * (v + 1)))
     base_of_end = float(np.log10(end_count + 0.1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_logs, often = shared.value
-        shard, blocks = None, []
+        often = shared.value
+        shard, blocks, told = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if blocks:
-                rows = list(_score_shard(blocks, class_logs, often, rules))
+                rows = list(_score_shard(blocks, told, (n, v), often, rules))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([False] * len(rows)), pa.array([d for _, d in rows], pa.binary())], ["block", "meta", "data"])
 
         for batch in batches:
@@ -237,8 +311,11 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
                     continue
                 if s != shard:
                     yield from done()
-                    shard, blocks = s, []
-                blocks.append((block, data))
+                    shard, blocks, told = s, [], []
+                if block < 0:
+                    told.append(data)
+                else:
+                    blocks.append((block, data))
         yield from done()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +343,10 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
                     sums = own if sums is None else [a + b for a, b in zip(sums, own, strict=True)]
         yield from done()
 
-    pairs = _pairs(docs, shards, frequent, rules).repartition("shard").sortWithinPartitions("shard", "block")
+    buckets = max(8, -(-v // rules.bucket_words))
+    pairs = _pairs(docs, shards, frequent, rules)
+    # the pairs are made twice, as keeping them takes as much disk as their shuffle
+    pairs = pairs.union(_told(_asked(pairs, buckets), counts, buckets)).repartition("shard").sortWithinPartitions("shard", "block")
     scored = pairs.mapInArrow(score, "block long, meta boolean, data binary").repartition("block").sortWithinPartitions("block", F.desc("meta"))
     return scored.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -93,6 +93,37 @@ def test_base_scores(spark):
     assert got == want
 
 
+def exact_scores(rows, power=0.8):
+    """log10 of the smoothed bigram model of each row, in the rows' order, from exact counts."""
+    texts = [["<s>", *(t or "").split(), "</s>"] for _, t in rows]
+    taught = [t for (i, _), t in zip(rows, texts) if zlib.crc32(str(i).encode()) % 10]
+    ones, pairs, contexts = Counter(), Counter(), Counter()
+    for t in taught:
+        ones.update(t[1:])
+        pairs.update(zip(t, t[1:]))
+        contexts.update(t[:-1])
+    n, v = sum(ones.values()), len(ones)
+
+    def p(a, b):
+        c, own = contexts[a], (ones[b] + 0.1) / (n + 0.1 * (v + 1))
+        m = c**power
+        return (pairs[a, b] + m * own) / (c + m) if c else own
+
+    return {i: sum(math.log10(p(a, b)) for a, b in zip(t, t[1:])) for (i, _), t in zip(rows, texts)}
+
+
+def zipf_rows(seed, n, vocabulary):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) if x < vocabulary)) for i in range(n)]
+
+
+def test_words_have_their_own_counts(spark):
+    rows = zipf_rows(11, 200, 10**6)
+    want = exact_scores(rows)
+    got = lmscore.score_texts(frame(spark, rows), lmscore.ModelRules(bucket_words=100)).collect()
+    assert np.allclose([r["score"] for r in got], [want[r["doc_id"]] for r in got], rtol=0.01)
+
+
 def test_model_beats_the_base_where_words_follow_words(spark):
     rng = np.random.default_rng(7)
     after = {w: rng.choice(200, 3) for w in range(200)}
