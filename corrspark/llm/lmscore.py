@@ -247,7 +247,7 @@ def _score_shard(blocks: list[tuple[int, bytes]], told: list[bytes], all_words:
     logs = np.log10((own + 0.1) / (all_words[0] + 0.1 * (all_words[1] + 1)))
 
     seen = np.flatnonzero(count)
-    there = np.flatnonzero(np.bincount(left[seen], minlength=len(codes)))
+    there = np.flatnonzero(total)  # with seen pairs here or, if spread, elsewhere
     place = np.searchsorted(there, left[seen])
     weight = np.maximum(total, 1) ** rules.power
     smoothed = np.log10((count[seen] + weight[left[seen]] * 10 ** logs[right[seen]]) / (total[left[seen]] + weight[left[seen]]))

@@ -124,6 +124,14 @@ def test_words_have_their_own_counts(spark):
     assert np.allclose([r["score"] for r in got], [want[r["doc_id"]] for r in got], rtol=0.01)
 
 
+def test_spread_words_are_known_in_all_shards(spark):
+    rows = zipf_rows(12, 60, 10**6)
+    want = exact_scores(rows)
+    for tokens in (20, 100):
+        got = lmscore.score_texts(frame(spark, rows), lmscore.ModelRules(shard_tokens=tokens)).collect()
+        assert np.allclose([r["score"] for r in got], [want[r["doc_id"]] for r in got], rtol=0.01)
+
+
 def test_model_beats_the_base_where_words_follow_words(spark):
     rng = np.random.default_rng(7)
     after = {w: rng.choice(200, 3) for w in range(200)}
@@ -143,7 +151,7 @@ def test_scores_do_not_depend_on_shards(spark):
     few = {r["doc_id"]: r["score"] for r in lmscore.score_texts(docs).collect()}
     rows = lmscore.score_texts(docs, lmscore.ModelRules(shard_tokens=4000)).collect()
     # one byte for a probability: shards have books of their own
-    assert np.allclose([few[r["doc_id"]] for r in rows], [r["score"] for r in rows], rtol=0.05)
+    assert np.allclose([few[r["doc_id"]] for r in rows], [r["score"] for r in rows], rtol=0.01)
     assert lmscore.score_texts(empty(spark)).count() == 0
 
 
