@@ -72,12 +72,18 @@ class WordHashes:
         return np.concatenate(hashes), np.cumsum(sizes)
 
 
-def bitmap(hashes: DataFrame, column: str, bits: int) -> bytes:
-    """Which ends of a column of 64-bit hashes occur, six places to a printable byte: a fixed size for any number of rows."""
+def bitmap(hashes: DataFrame, column: str, most_bits: int) -> tuple[bytes, int]:
+    """Which ends of a column of 64-bit hashes occur, six places to a printable byte, and how many bits long the ends are.
+
+    It has eight places or more to a row, and 2**most_bits at most: beyond, it lets more through, which a join must drop anyway.
+    """
+    bits = min(most_bits, max(12, hashes.count().bit_length() + 3))
     there = bytearray(b"@" * (-(-(1 << bits) // 6)))
-    for row in hashes.select(F.col(column).bitwiseAND((1 << bits) - 1).cast("int").alias("at")).distinct().toLocalIterator():
-        there[row["at"] // 6] |= 1 << row["at"] % 6
-    return bytes(there)
+    at = F.col(column).bitwiseAND((1 << bits) - 1).cast("int")
+    sixes = hashes.groupBy(F.floor(at / 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at % 6)).alias("own"))
+    for row in sixes.toLocalIterator():
+        there[row["at"]] |= row["own"]
+    return bytes(there), bits
 
 
 def in_bitmap(hashed: Column, there: bytes, bits: int) -> Column:

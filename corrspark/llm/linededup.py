@@ -1,7 +1,7 @@
 """Line dedup as an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its lower-cased words, as 64-bit keys that sort by rarity. Equal sets become one class. Classes
-that share one of their rarest words (prefix filter) meet on that word; length, positional and bitmap bounds drop pairs
+that share one of their rarest words (prefix filter) meet on that word; length, positional and parity bounds drop pairs
 that cannot reach the threshold, and the Jaccard similarity of the rest is verified on the whole sets. Of two lines
 that match, the later one goes; lines are ordered by (doc_id, line number, text hash).
 
@@ -24,64 +24,66 @@ from corrspark.session import cut
 class LineRules:
     """``percent``: least Jaccard similarity. ``rarity_bits``: the corpus's word counts are kept in 2**rarity_bits
     buckets; words of a bucket count as equally rare, which changes the order of words but no result.
-    ``filter_bits``: size of the bitmap that finds the lines to verify again; also without influence on results.
+    ``most_filter_bits``: largest size of the bitmap that finds the lines to verify again; also without influence on results.
     """
 
     percent: int = 80
     rarity_bits: int = 17
-    filter_bits: int = 19
+    most_filter_bits: int = 26
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line (lower-cased) of the lines with a word; a null text has none."""
-    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low")).where("low is not null")
-    return whole.select("doc_id", "text_hash", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line")).where(F.trim("line", F.lit(_BREAKS)) != "")
+_BREAKS = "[\\t\\x0b\\f\\r]"
+
+
+def _split(text: Column, odd: Column, breaks: str) -> Column:
+    """Words of a text without other breaks than ``breaks``; empty ones between them. Regular expressions only where ``odd`` breaks are."""
+    plain = F.replace(text, F.lit("\n"), F.lit(" ")) if "\n" in breaks else text
+    return F.when(odd, F.split(text, f"[ \\t\\x0b\\f\\r{breaks.strip(' ')}]+", -1)).otherwise(F.split(plain, " ", -1))
 
 
-_BREAKS = " \t\x0b\f\r"
+def _lower(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, low (lower-cased text), odd (has tabs or other rare breaks); a null text is left out."""
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low")).where("low is not null")
+    return whole.withColumn("odd", F.col("low").rlike(_BREAKS))
 
 
-def _words(line: Column) -> Column:
-    """The words of a line that has one."""
-    return F.split(F.trim(line, F.lit(_BREAKS)), "[ \\t\\x0b\\f\\r]+", -1)
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, odd, line_no, line (lower-cased), also of lines without words."""
+    return _lower(docs).select("doc_id", "text_hash", "odd", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line"))
 
 
-def _rarity(docs: DataFrame, bits: int) -> bytes:
-    """A byte for each bucket of words, larger for more frequent ones: a fixed-size summary of all words' counts."""
-    # the same words as those of the lines, whatever the line breaks
-    words = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0b\\f\\r]+", -1)).alias("word"))
+def _rarity(docs: DataFrame, bits: int) -> list[int]:
+    """A level for each bucket of words, larger for more frequent ones: a fixed-size summary of all words' counts."""
+    words = _lower(docs).select(F.explode(_split(F.col("low"), F.col("odd"), " \n")).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND((1 << bits) - 1)
-    levels = bytearray(b" " * (1 << bits))
+    levels = [0] * (1 << bits)
     for row in words.groupBy(bucket.cast("int").alias("bucket")).count().toLocalIterator():  # a row for each bucket at most
-        levels[row["bucket"]] = min(126, 33 + int(2.5 * math.log2(row["count"])))
-    return bytes(levels)
+        levels[row["bucket"]] = min(126, 1 + int(2.5 * math.log2(row["count"])))
+    return levels
 
 
-def _keys(line: Column, levels: bytes) -> Column:
-    """The line's distinct words as longs: rarity in the high byte, 56 bits of hash below; rarest first."""
-    mask = len(levels) - 1
+def _keys(words: Column, levels: list[int]) -> Column:
+    """The distinct words as longs: rarity in the high byte, 56 bits of hash below; rarest first."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")  # a constant after planning
 
     def key(h: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(levels), (h.bitwiseAND(mask) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    hashed = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashed, key))
-
+        level = F.coalesce(F.get(table, h.bitwiseAND(len(levels) - 1).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-def _parity(keys: Column, half: int) -> Column:
-    """64 parity bits of the half of a set's keys that end in ``half``: sets that differ in d elements differ in at most d bits of both halves."""
+    keys = F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key)))
+    return F.array_remove(keys, key(F.xxhash64(F.lit(""))))
 
-    def bit(k: Column) -> Column:
-        own = k.bitwiseAND(1) if half else F.bitwise_not(k).bitwiseAND(1)
-        return F.call_function("shiftleft", own, F.shiftright(k, 1).bitwiseAND(63).cast("int"))
 
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+def _parity(keys: Column) -> Column:
+    """64 parity bits of a set: sets that differ in d elements differ in at most d bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
 
 
-def _line_table(docs: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
-    """One row for each line with a word: where it is, its class (two hashes of its set), size, prefix and parities."""
-    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), _keys(F.col("line"), levels).alias("keys"))
+def _line_table(docs: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
+    """One row for each line with a word: where it is, its class (two hashes of its set), size, prefix and parity."""
+    keys = _keys(_split(F.col("line"), F.col("odd"), " "), levels).alias("keys")
+    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), keys).where(F.size("keys") > 0)
     size = F.size("keys")
     # a set of n shares at least ceil(percent * n) words with a match, so one of its n - that + 1 rarest is shared
     prefix = (size - F.ceil(size * rules.percent / 100 - 1e-9) + 1).cast("int")
@@ -94,8 +96,7 @@ def _line_table(docs: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
         F.xxhash64(F.lit(7), "keys").alias("class_b"),
         size.alias("n"),
         F.slice("keys", F.lit(1), prefix).alias("prefix"),
-        _parity(F.col("keys"), 0).alias("bits_a"),
-        _parity(F.col("keys"), 1).alias("bits_b"),
+        _parity(F.col("keys")).alias("bits"),
     )
 
 
@@ -105,11 +106,11 @@ def _place() -> Column:
 
 
 def _may_match(x, y, rules: LineRules) -> Column:
-    """Whether rows (functions from a name to a column) can reach the threshold by their sizes and parities."""
+    """Whether rows (functions from a name to a column) can reach the threshold by their sizes and parity bits."""
     low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
     # |x & y| >= percent / (100 + percent) * (|x| + |y|)
     least = F.ceil((x("n") + y("n")) * rules.percent / (100 + rules.percent) - 1e-9)
-    differ = F.bit_count(x("bits_a").bitwiseXOR(y("bits_a"))) + F.bit_count(x("bits_b").bitwiseXOR(y("bits_b")))
+    differ = F.bit_count(x("bits").bitwiseXOR(y("bits")))
     return (low * 100 >= high * rules.percent) & (x("n") + y("n") - differ >= 2 * least)
 
 
@@ -121,23 +122,23 @@ def _places_fit(x, y, rules: LineRules) -> Column:
 
 def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
     """Pairs (x, y) of the first class hash of classes that have a word in common and may match, each once."""
-    rows = classes.select("class_a", "n", "bits_a", "bits_b", F.posexplode("prefix").alias("place", "key"))
+    rows = classes.select("class_a", "bits", "n", F.posexplode("prefix").alias("place", "key"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     ordered = (x("n") < y("n")) | ((x("n") == y("n")) & (x("class_a") < y("class_a")))
     on = (x("key") == y("key")) & ordered & _places_fit(x, y, rules) & _may_match(x, y, rules)
     return rows.alias("x").join(rows.alias("y"), on).select(x("class_a").alias("x"), y("class_a").alias("y")).distinct()
 
 
-def _links(docs: DataFrame, lines: DataFrame, levels: bytes, rules: LineRules) -> DataFrame:
+def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
     """All pairs of classes that match: x_a, x_b, y_a, y_b, and later: the one whose first line is later, "x" or "y"."""
-    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits_a", "bits_b")]
+    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits")]
     pairs = cut(_candidates(lines.groupBy("class_a", "class_b").agg(*values), rules), "line-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class_a")).distinct()
     wanted = cut(lines.join(wanted, "class_a", "left_semi").groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), F.min("line_hash").alias("line_hash")), "paired-lines")
-    there = bitmap(wanted, "line_hash", rules.filter_bits)
+    there, bits = bitmap(wanted, "line_hash", rules.most_filter_bits)
     # the sets of the classes in pairs, from the lines themselves
-    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, rules.filter_bits))
-    keyed = maybe.select("line").distinct().select(_keys(F.col("line"), levels).alias("keys"))
+    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, bits))
+    keyed = maybe.select("line", "odd").distinct().select(_keys(_split(F.col("line"), F.col("odd"), " "), levels).alias("keys"))
     keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
     sets = keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"])
 

@@ -37,7 +37,7 @@ class NearRules:
     seed: int = 20240229
     block: int = 1024
     block_bytes: int = 24 << 20
-    filter_bits: int = 19
+    most_filter_bits: int = 26
 
 
 class Sketcher:
@@ -223,8 +223,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, rules: NearRules) -> tuple[
     weight = spokes.groupBy("node").agg(F.sum("weight").alias("weight"))
     members = groups.join(nodes.drop("buckets"), "node").join(weight, "node")
 
-    there = bitmap(members, "text_hash", rules.filter_bits)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").where(in_bitmap(F.col("hash"), there, rules.filter_bits))
+    there, bits = bitmap(members, "text_hash", rules.most_filter_bits)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").where(in_bitmap(F.col("hash"), there, bits))
     on = members["doc_id"].eqNullSafe(texts["id"]) & (members["text_hash"] == texts["hash"])
     members = cut(members.join(texts, on).select("root", "node", "set_a", "weight", "n_bytes", "text"), "members")
 

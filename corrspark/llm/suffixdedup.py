@@ -38,7 +38,7 @@ class RepeatRules:
     anchor: int = 64
     index_contexts: int = 16_000
     split: int = 50_000
-    filter_bits: int = 19
+    most_filter_bits: int = 26
 
     @property
     def reach(self) -> int:
@@ -137,8 +137,8 @@ CONTEXT = "anchor long, doc long, place int, begin int, context binary"
 def contexts(keyed: DataFrame, wanted: DataFrame, rules: RepeatRules) -> DataFrame:
     """anchor, doc, place, begin, context (bytes) of the wanted rows of anchors()."""
     places = wanted.groupBy("doc").agg(F.collect_list(F.struct("place", "begin", "end", "anchor")).alias("places"))  # as many as the document has
-    there = bitmap(wanted, "doc", rules.filter_bits)
-    texts = keyed.where(in_bitmap(F.col("doc"), there, rules.filter_bits)).select("doc", "text")
+    there, bits = bitmap(wanted, "doc", rules.most_filter_bits)
+    texts = keyed.where(in_bitmap(F.col("doc"), there, bits)).select("doc", "text")
     joined = texts.join(places, "doc").select("doc", "text", *(F.col(f"places.{c}").alias(c) for c in ("place", "begin", "end", "anchor")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +308,8 @@ def strip_repeats(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> DataFr
     """
     keyed = _keyed(docs)
     marks = repeats(docs, rules)
-    there = bitmap(marks, "doc", rules.filter_bits)
-    touched = in_bitmap(F.col("doc"), there, rules.filter_bits)
+    there, bits = bitmap(marks, "doc", rules.most_filter_bits)
+    touched = in_bitmap(F.col("doc"), there, bits)
     parts = [F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end")]
     none = F.lit(None).cast("array<int>")
     rows = keyed.where(touched).join(marks, "doc", "left").select("doc_id", "text", *parts).union(keyed.where(~touched).select("doc_id", "text", none, none))
