@@ -35,26 +35,22 @@ class LineRules:
 _BREAKS = "[\\t\\x0b\\f\\r]"
 
 
-def _split(text: Column, odd: Column, breaks: str) -> Column:
-    """Words of a text without other breaks than ``breaks``; empty ones between them. Regular expressions only where ``odd`` breaks are."""
-    plain = F.replace(text, F.lit("\n"), F.lit(" ")) if "\n" in breaks else text
-    return F.when(odd, F.split(text, f"[ \\t\\x0b\\f\\r{breaks.strip(' ')}]+", -1)).otherwise(F.split(plain, " ", -1))
-
-
-def _lower(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, low (lower-cased text), odd (has tabs or other rare breaks); a null text is left out."""
-    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low")).where("low is not null")
-    return whole.withColumn("odd", F.col("low").rlike(_BREAKS))
+def _words(line: Column, odd: Column) -> Column:
+    """Words of a line, with empty ones between them. Regular expressions only where the text has ``odd`` breaks."""
+    return F.when(odd, F.split(line, "[ \\t\\x0b\\f\\r]+", -1)).otherwise(F.split(line, " ", -1))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, odd, line_no, line (lower-cased), also of lines without words."""
-    return _lower(docs).select("doc_id", "text_hash", "odd", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line"))
+    """doc_id, text_hash, odd (the text has tabs or other rare breaks), line_no, line (lower-cased) of the lines with a word; a null text has none."""
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low")).where("low is not null")
+    whole = whole.withColumn("odd", F.col("low").rlike(_BREAKS))
+    lines = whole.select("doc_id", "text_hash", "odd", F.posexplode(F.split("low", "\n", -1)).alias("line_no", "line"))
+    return lines.where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")
 
 
 def _rarity(docs: DataFrame, bits: int) -> list[int]:
     """A level for each bucket of words, larger for more frequent ones: a fixed-size summary of all words' counts."""
-    words = _lower(docs).select(F.explode(_split(F.col("low"), F.col("odd"), " \n")).alias("word"))
+    words = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0b\\f\\r]+", -1)).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND((1 << bits) - 1)
     levels = [0] * (1 << bits)
     for row in words.groupBy(bucket.cast("int").alias("bucket")).count().toLocalIterator():  # a row for each bucket at most
@@ -82,8 +78,8 @@ def _parity(keys: Column) -> Column:
 
 def _line_table(docs: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
     """One row for each line with a word: where it is, its class (two hashes of its set), size, prefix and parity."""
-    keys = _keys(_split(F.col("line"), F.col("odd"), " "), levels).alias("keys")
-    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), keys).where(F.size("keys") > 0)
+    keys = _keys(_words(F.col("line"), F.col("odd")), levels).alias("keys")
+    keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), keys)
     size = F.size("keys")
     # a set of n shares at least ceil(percent * n) words with a match, so one of its n - that + 1 rarest is shared
     prefix = (size - F.ceil(size * rules.percent / 100 - 1e-9) + 1).cast("int")
@@ -138,7 +134,7 @@ def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRule
     there, bits = bitmap(wanted, "line_hash", rules.most_filter_bits)
     # the sets of the classes in pairs, from the lines themselves
     maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, bits))
-    keyed = maybe.select("line", "odd").distinct().select(_keys(_split(F.col("line"), F.col("odd"), " "), levels).alias("keys"))
+    keyed = maybe.select("line", "odd").distinct().select(_keys(_words(F.col("line"), F.col("odd")), levels).alias("keys"))
     keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
     sets = keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"])
 
