@@ -3,6 +3,9 @@
 Numbers, names and units become typed placeholders, so a question that was asked again with other values has the
 same template. Windows of template tokens are joined by hash; a match counts only while its slots are consistent:
 along one alignment, equal values of the item stand for equal values of the document, and different for different.
+
+Windows that are mostly placeholders say too little as templates, and so do items shorter than a window; they are joined
+by their words themselves, with values, so a verbatim copy is found.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrspark.llm.common import as_bytes, documents, slices
@@ -35,7 +38,7 @@ _LINE = b"\x01"
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``window``: template tokens in a window; ``min_plain``: of these at least so many words that are no placeholder.
+    """``window``: template tokens in a window; ``min_plain``: with fewer words that are no placeholder it counts with its values.
 
     A document is contaminated by an item if windows with consistent slots run over ``min_run`` tokens, or cover
     ``min_percent`` of the item. ``filter_bits``: size of the bitmap that drops windows no item has.
@@ -49,6 +52,17 @@ class TemplateRules:
     cache_words: int = 300_000
 
 
+def _rolled(codes: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """A hash of the n codes from each of the places on."""
+    value = np.zeros(len(at), np.uint64)
+    every = len(at) == len(codes) - n + 1
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            value = (value ^ (codes[k : k + len(at)] if every else codes[at + k])) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(31)
+    return value
+
+
 class Templates:
     """Template tokens of texts, as arrays. A word is looked at once; what it becomes also depends on its neighbours."""
 
@@ -82,8 +96,8 @@ class Templates:
             kind = NAMED
         return (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4 << 4) | kind | ends
 
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Owner (text number), token hash and type of each template token, and the words they come from."""
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Owner (text number), token hash and type of each template token, the words they come from, and their own hashes."""
         known = self.known
         split = [x.replace(b"\x01", b" ").replace(b"\n", b" \x01 ").split() for x in texts]
         new = set().union(*split) - known.keys()
@@ -109,44 +123,57 @@ class Templates:
         after[1:] = (kind[:-1] == NUM) & (owner[1:] == owner[:-1])
         kind[(kind == UNIT) & ~after] = PLAIN
         token = np.where(kind == PLAIN, code >> np.uint64(4), kind.astype(np.uint64) + np.uint64(1))
-        return owner, token, kind, [words[i] for i in real] if kind.any() else []
-
-    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """Owner, first token's number in its text, and hash of each window; then what slots() needs."""
-        n = self.rules.window
-        owner, token, kind, words = self.tokens(texts)
-        if len(token) < n:
-            none = np.empty(0, np.int64)
-            return none, none, none, (none, kind, words)
-        size = len(token) - n + 1
-        value = np.zeros(size, np.uint64)
-        plain = np.zeros(size, np.int16)
-        with np.errstate(over="ignore"):
-            for k in range(n):
-                value = (value ^ token[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
-                value ^= value >> np.uint64(31)
-                plain += kind[k : k + size] == PLAIN
-        at = np.flatnonzero((owner[:size] == owner[n - 1 :]) & (plain >= self.rules.min_plain))
-        begins = np.searchsorted(owner, np.arange(len(texts)))
-        return owner[at], at - begins[owner[at]], value[at].view(np.int64), (at, kind, words)
+        return owner, token, kind, [words[i] for i in real] if kind.any() else [], code >> np.uint64(4)
 
-    def slots(self, at: int, kind: np.ndarray, words: list[bytes]) -> list[str]:
-        """type:place:value of the placeholders in the window that begins at token ``at``."""
-        n = self.rules.window
+    def windows(self, texts: list[bytes], short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """Owner, first token's number in its text, and hash of each window; then what slots() needs, the windows' sizes last.
+
+        short: also windows of so many tokens with their values, for items that have no more.
+        """
+        owner, token, kind, words, code = self.tokens(texts)
+        begins = np.searchsorted(owner, np.arange(len(texts)))
+        owners, places, values, ats, sizes = [], [], [], [], []
+        for n in (self.rules.window, *short):
+            size = len(token) - n + 1
+            if size < 1:
+                continue
+            if n == self.rules.window:
+                plain = np.zeros(size, np.int16)
+                for k in range(n):
+                    plain += kind[k : k + size] == PLAIN
+                value = _rolled(token, n, np.arange(size))
+                dense = np.flatnonzero(plain < self.rules.min_plain)
+            else:
+                value, dense = np.zeros(size, np.uint64), np.arange(size)
+            at = np.flatnonzero(owner[:size] == owner[n - 1 :])
+            value[dense] = _rolled(code, n, dense) ^ np.uint64(0xA24BAED4963EE407 + n)
+            owners.append(owner[at])
+            places.append(at - begins[owner[at]])
+            values.append(value[at].view(np.int64))
+            ats.append(at)
+            sizes.append(np.full(len(at), n))
+        none = np.empty(0, np.int64)
+        joined = [np.concatenate(x) if x else none for x in (owners, places, values, ats, sizes)]
+        return joined[0], joined[1], joined[2], (joined[3], kind, words, joined[4])
+
+    def slots(self, at: int, kind: np.ndarray, words: list[bytes], n: int) -> list[str]:
+        """type:place:value of the placeholders in the window of n tokens that begins at token ``at``."""
         return [f"{TYPES[kind[at + k]]}:{k}:{words[at + k].decode('utf-8', 'replace').strip('.,;:!?()[]').lower()}" for k in range(n) if kind[at + k]]
 
 
 def item_windows(benchmark: DataFrame, rules: TemplateRules) -> DataFrame:
-    """item_id, item_tokens, item_at, window, item_slots. An item with fewer tokens than a window has none."""
+    """item_id, item_tokens, item_at, window, item_slots. An item with fewer tokens than a window has one of its own size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(rules)
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), batch.column(0).to_numpy()
             sizes = np.bincount(templates.tokens(texts)[0], minlength=len(texts))
-            owner, place, value, (at, kind, words) = templates.windows(texts)
-            slots = pa.array([templates.slots(i, kind, words) for i in at], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids[owner], sizes[owner], place, value)), slots], ["item_id", "item_tokens", "item_at", "window", "item_slots"])
+            short = tuple(n for n in np.unique(sizes).tolist() if 0 < n < rules.window)
+            owner, place, value, (at, kind, words, n) = templates.windows(texts, short)
+            keep = np.flatnonzero((n == rules.window) | (n == sizes[owner]))
+            slots = pa.array([templates.slots(at[i], kind, words, n[i]) for i in keep], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep], pa.int64()) for c in (ids[owner], sizes[owner], place, value)), slots], ["item_id", "item_tokens", "item_at", "window", "item_slots"])
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
     return items.mapInArrow(run, "item_id long, item_tokens long, item_at long, window long, item_slots array<string>")
@@ -167,30 +194,32 @@ def window_filter(items: DataFrame, bits: int) -> np.ndarray:
     return np.unpackbits(found).astype(bool)
 
 
-def document_windows(docs: DataFrame, there: np.ndarray, rules: TemplateRules) -> DataFrame:
-    """doc_id, at, window, slots of the windows that the bitmap lets through."""
+def document_windows(docs: DataFrame, there: np.ndarray, short: tuple[int, ...], rules: TemplateRules) -> DataFrame:
+    """doc_id, text_hash, at, window, slots of the windows that the bitmap lets through."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(there))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates, known = Templates(rules), shared.value
         mask = np.int64(8 * len(known) - 1)
         for batch in batches:
-            texts, ids = as_bytes(batch.column(1)), batch.column(0).to_pylist()
+            texts, ids, hashes = as_bytes(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_numpy()
             for a, b in slices(texts, 2 << 20):
-                owner, place, value, (at, kind, words) = templates.windows(texts[a:b])
+                owner, place, value, (at, kind, words, n) = templates.windows(texts[a:b], short)
                 bit = value & mask
                 hit = np.flatnonzero(known[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[a + i] for i in owner[hit]], pa.int64()),
+                        pa.array(hashes[a + owner[hit]], pa.int64()),
                         pa.array(place[hit], pa.int64()),
                         pa.array(value[hit], pa.int64()),
-                        pa.array([templates.slots(i, kind, words) for i in at[hit]], pa.list_(pa.string())),
+                        pa.array([templates.slots(at[i], kind, words, n[i]) for i in hit], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "at", "window", "slots"],
+                    ["doc_id", "text_hash", "at", "window", "slots"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, at long, window long, slots array<string>")
+    source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, at long, window long, slots array<string>")
 
 
 def consistent_runs(rows: list[tuple[int, list[str], list[str]]], window: int) -> list[tuple[int, int]]:
@@ -219,40 +248,46 @@ def consistent_runs(rows: list[tuple[int, list[str], list[str]]], window: int) -
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
-    """One row for each contaminated document and item: doc_id, item_id, covered (tokens of the item), longest_run.
+    """One row for each contaminated document and item: doc_id, text_hash, item_id, covered (tokens of the item), longest_run.
 
-    Null texts and texts or items shorter than a window match nothing; items without id are left out. Rows with
-    equal doc_id count as one document, null ids too. Empty tables give an empty table. Other columns are not read.
+    Null texts and texts without a token match nothing; items without id or token are left out. Rows with equal doc_id
+    and text are one document, also without an id. Empty tables give an empty table. Other columns are not read.
     """
     items = item_windows(benchmark, rules)
-    found = document_windows(docs, window_filter(items, rules.filter_bits), rules)
+    # of all sizes below a window's at most
+    short = tuple(sorted(r["item_tokens"] for r in items.where(F.col("item_tokens") < rules.window).select("item_tokens").distinct().collect()))
+    found = document_windows(docs, window_filter(items, rules.filter_bits), short, rules)
     # Both sides are small after the bitmap; Spark picks the join by their measured size
     pairs = found.join(items, "window").where(F.size("slots") == F.size("item_slots"))
 
     def check(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        covered, longest = set(), 0
+        covered, longest, size = set(), 0, int(x["item_tokens"].iloc[0])
         for _, part in x.sort_values("item_at").groupby(x["at"] - x["item_at"]):
             rows = list(zip(part["item_at"], part["item_slots"], part["slots"], strict=True))
-            for a, b in consistent_runs([r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]], rules.window):
+            for a, b in consistent_runs([r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]], min(rules.window, size)):
                 covered.update(range(a, b))
                 longest = max(longest, b - a)
-        leak = longest >= rules.min_run or 100 * len(covered) >= rules.min_percent * int(x["item_tokens"].iloc[0])
-        return pd.DataFrame({"doc_id": [key[0]], "item_id": [key[1]], "covered": [len(covered)], "longest_run": [longest]}).head(int(leak))
+        leak = longest >= rules.min_run or 100 * len(covered) >= rules.min_percent * size
+        return pd.DataFrame({"doc_id": [key[0]], "text_hash": [key[1]], "item_id": [key[2]], "covered": [len(covered)], "longest_run": [longest]}).head(int(leak))
+
+    return pairs.groupBy("doc_id", "text_hash", "item_id").applyInPandas(check, "doc_id long, text_hash long, item_id long, covered long, longest_run long")
+
 
-    return pairs.groupBy("doc_id", "item_id").applyInPandas(check, "doc_id long, item_id long, covered long, longest_run long")
+def _same(docs: DataFrame, leaks: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(leaks["_id"]) & (F.xxhash64(docs["text"]) == leaks["_hash"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns and nothing else."""
-    leaks = find_leaks(docs, benchmark, rules).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leaked"]), "left_anti")
+    leaks = find_leaks(docs, benchmark, rules).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(leaks, _same(docs, leaks), "left_anti")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, rules: TemplateRules = TemplateRules()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, contaminated, n_items, item_ids (sorted), longest_run."""
-    leaks = find_leaks(docs, benchmark, rules).groupBy(F.col("doc_id").alias("_leaked")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("longest_run").alias("longest_run"))
-    ids = docs.select(F.col("doc_id").cast("long"))
-    joined = ids.join(leaks, ids["doc_id"].eqNullSafe(leaks["_leaked"]), "left")
+    leaks = find_leaks(docs, benchmark, rules).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("longest_run").alias("longest_run"))
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    joined = own.join(leaks, _same(own, leaks), "left")
     items = F.coalesce("item_ids", F.array().cast("array<long>"))
     return joined.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 

@@ -255,6 +255,15 @@ def near_links(docs: DataFrame, sketches: DataFrame, rules: NearRules) -> tuple[
     return nodes, edges.union(near).union(_run_tasks(cross, rules))
 
 
+def _rooted(docs: DataFrame, rules: NearRules) -> DataFrame:
+    """doc_id, text_hash, n_shingles, root (the group's node, null without shingles) of each row."""
+    sketches = cut(sketch(docs, rules), "sketches")
+    nodes, edges = near_links(docs, sketches, rules)
+    roots = components(edges)
+    labelled = nodes.select("node", "set_a", "set_b").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
+    return sketches.drop("buckets", "n_bytes").join(labelled, ["set_a", "set_b"], "left").select("doc_id", "text_hash", "n_shingles", "root")
+
+
 def near_groups(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
 
@@ -262,12 +271,7 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     any; a group of null ids alone has a null component_id and stays. Repeated rows get the same result. An empty
     table gives an empty table. Other columns are not read.
     """
-    sketches = cut(sketch(docs, rules), "sketches")
-    nodes, edges = near_links(docs, sketches, rules)
-    roots = components(edges)
-    labelled = nodes.select("node", "set_a", "set_b").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
-    rows = sketches.drop("buckets", "n_bytes").join(labelled, ["set_a", "set_b"], "left")
-    # copies first, so that a group's rows meet as few
+    rows = _rooted(docs, rules)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     joined = rows.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
@@ -275,20 +279,26 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates, the one with the least doc_id, with all columns and nothing else.
+    """One row of ``docs`` for each group of near duplicates, with all columns and nothing else.
 
-    Of rows that share this id (repeated rows) one stays, and so of rows without id. Rows without words all stay.
+    It is the row with the least doc_id, null ids last; of rows that share it, the one with the least hash of its text, and
+    one of several equal ones. Rows that share an id but no group are no duplicates and stay, as do all rows without words.
     """
-    found = cut(near_groups(docs, rules), "near-groups")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["_hash"]), "left_anti")
-    repeated = found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    rest = left.join(repeated.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return rest.union(again.where(worded).dropDuplicates(["doc_id"])).union(again.where(~worded))
+    rows = cut(_rooted(docs, rules).where("root is not null"), "near-groups")
+    texts = rows.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "times")
+    chosen = cut(texts.groupBy("root").agg(F.min(place).alias("one"), F.sum("times").alias("size")).where("size > 1").select("root", "one"), "chosen")
+    gone = rows.join(chosen, "root").where(~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))))
+    gone = gone.select("doc_id", "text_hash").distinct()
+    # the columns of docs stay together, so that their names do not matter
+    whole = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash"))
+    same = lambda other: whole["id"].eqNullSafe(other["doc_id"]) & (whole["hash"] == other["text_hash"])
+    left = whole.join(gone, same(gone), "left_anti")
+    again = chosen.where("one.times > 1").select("one.doc_id", "one.text_hash")
+    if again.isEmpty():
+        return left.select("row.*")
+    once = left.join(again, same(again), "left_semi").dropDuplicates(["id", "hash"])
+    return left.join(again, same(again), "left_anti").union(once).select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ sequences, so that each piece finds its place from its rank alone.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,14 +39,19 @@ class PackingRules:
     window: int = 4096
     end_id: int = 2
     bin_tokens: int = 16
-    cache_words: int = 600_000
+    cache_words: int = 1_000_000
     sweeps: int = 60
 
 
-class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes; each distinct word is encoded once.
+#: Marks that the tokenizers here keep apart from letters, so that a word's ids are those of its letters and of its last marks.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    The vocabulary has no token across white space, so a text's ids are its words' ids in a row.
+
+class WordEncoder(dict):
+    """Token ids of words, as little-endian 32-bit bytes; each distinct word is encoded when it is first asked for.
+
+    The vocabulary has no token across white space, so a text's ids are its words' ids in a row. Words of letters go to
+    the tokenizer's steps one by one, which is what its encode() does, without the offsets that it keeps besides.
     """
 
     def __init__(self, rules: PackingRules):
@@ -51,30 +59,45 @@ class WordEncoder:
 
         from tokenizers import Tokenizer
 
+        super().__init__()
         path = rules.tokenizer
         if not os.path.isabs(path):
             import public_tokenizers
 
             path = public_tokenizers.path(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._known: dict[bytes, bytes] = {}
+        self._whole = Tokenizer.from_file(path)
+        self._split, self._tokens = self._whole.pre_tokenizer.pre_tokenize_str, self._whole.model.tokenize
         self._most = rules.cache_words
+        added = [re.escape(x.content.encode()) for x in self._whole.get_added_tokens_decoder().values()]
+        self._added = re.compile(b"|".join(added)).search if added else lambda _: None
+        # whether letters stay letters, lower-cased, and marks after them make a piece of their own
+        alphabet = "abcdefghijklmnopqrstuvwxyz"
+        clean = self._whole.normalizer.normalize_str if self._whole.normalizer else str
+        self._plain = clean(alphabet.upper()) == alphabet and all([x for x, _ in self._split(alphabet + mark)] == [alphabet, mark] for mark in MARKS.decode())
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if not self._plain or self._added(word):
+            ids = self._whole.encode(word.decode(), add_special_tokens=False).ids
+        elif core and len(core) < len(word):
+            self[word] = found = self[core] + self[word[len(core) :]]
+            return found
+        elif word.isalpha():  # ASCII letters
+            ids = [x.id for x in self._tokens(word.lower().decode())]
+        elif (text := word.decode()).isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
+            ids = [x.id for piece, _ in self._split(text) for x in self._tokens(piece)]
+        else:
+            ids = self._whole.encode(text, add_special_tokens=False).ids
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self._known
-        for i in range(0, len(texts), 256):
-            split = [x.split() for x in texts[i : i + 256]]
-            new = list(set().union(*split) - known.keys())
-            if len(known) + len(new) > self._most:
-                known.clear()
-                new = list(set().union(*split))
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                for word, found in zip(part, self._encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
+        known = self.__getitem__
+        for i, text in enumerate(texts):
+            if i % 256 == 0 and len(self) > self._most:
+                self.clear()
+            yield b"".join(map(known, text.split()))
 
 
 PIECE = T.StructType(

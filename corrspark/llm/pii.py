@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from the spans that the patterns find in a bounded sample of documents. Each kind of
-personal data here has a digit or an at sign, so windows without one are left out; the rest of each text is covered by
-overlapping windows. Their scores are averaged where they overlap, by the distance from the window's edge, and one
-Viterbi path is decoded over each run of windows, so a span is found once, whatever windows it lies in.
+The network is trained in numpy from spans that the patterns label in a bounded sample of documents, and from the same
+spans written otherwise (an at sign spelled out, a number without its country code), which the patterns miss. Whole texts
+are covered by overlapping windows, whose scores are blended where they overlap. Zones in which no path through another
+tag than "outside" can pay are settled by a bound; over each run of other zones one Viterbi path is decoded, so a span is
+found once, whatever windows it lies in. Gates are clipped lines and squashing is x / (1 + |x|), which numpy does fast.
 """
 
 from __future__ import annotations
@@ -15,20 +16,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrspark.llm.common import as_text, documents
+from corrspark.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: A match lies within a run of its characters, so only runs with an at sign are searched.
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Tried only where a run of digits begins: if it fails there, it fails further on in the run.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+#: Java pattern of texts that may have something to label for training.
+LABELLED = "@|[0-9][0-9.() -]{6}"
 #: Tags: 0 outside, then begin and inside of each kind.
 N_TAGS = 1 + 2 * len(KINDS)
 CLASSES = 64
@@ -36,20 +40,20 @@ CLASSES = 64
 
 @dataclass(frozen=True)
 class TaggerRules:
-    """``train_docs``: documents with a digit or an at sign that are labelled for training, those with the least hash.
+    """``train_docs``: documents expected in the sample for training, drawn by hash from those with digits or an at sign.
 
-    ``window``, ``stride``: characters of a window and from one to the next. ``train_windows``: windows at most, as
-    many with spans as without. ``hidden``: units for each direction. The seed fixes the result.
+    ``train_windows``: windows with spans at most, and twice as many without. ``window``, ``stride``: characters of a window
+    and from one to the next, so that two overlap at most. ``hidden``: units for each direction. The seed fixes the result.
     """
 
-    train_docs: int = 1500
-    train_windows: int = 3000
-    window: int = 64
-    stride: int = 32
+    train_docs: int = 2000
+    train_windows: int = 2000
+    window: int = 80
+    stride: int = 60
     embed: int = 8
-    hidden: int = 16
-    steps: int = 260
-    batch: int = 96
+    hidden: int = 10
+    steps: int = 400
+    batch: int = 64
     rate: float = 0.02
     seed: int = 5
 
@@ -62,18 +66,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of the e-mail pattern, in time linear in the text: only the run before an at sign can begin one."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        low = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            low = m.end()
+        at = text.find("@", low)
+
+
+def _part_fits(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the patterns find, by kind, then start."""
-    found = []
-    if "@" in text:
-        for run in EMAIL_RUN.finditer(text):
-            found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, run.start(), run.end())]
-    if not TRIGGER.search(text):
-        return found
-    found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    found = [(0, a, b) for a, b in _emails(text)]
+    found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_part_fits, m.group().split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
-            digits = re.sub("[^0-9]", "", m.group())
+            digits = m.group().replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
                 found.append((2, m.start(), m.end()))
     if "+" in text:
@@ -81,6 +97,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def written_otherwise(kind: int, span: str, rng: np.random.Generator) -> str:
+    """The same data in a form that the patterns do not know."""
+    pick = lambda *forms: forms[rng.integers(len(forms))]
+    digits = "".join(x for x in span if x.isdigit())
+    if kind == 0:
+        local, _, domain = span.partition("@")
+        return local + pick(" (at) ", "(at)", " [at] ", "[at]", " at ") + domain.replace(".", pick(".", " (dot) ", "(dot)", "[dot]", " dot "))
+    if kind == 1:
+        return span.replace(".", pick("[.]", "(.)", " . "))
+    if kind == 2:
+        return pick(".", "/", "_", " . ").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    own = digits[-10:]
+    mark = pick("-", ".", " ", "/")
+    return pick(f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}{mark}{own[3:6]}{mark}{own[6:]}", f"00{digits}", f"0{own[:3]}/{own[3:]}")
+
+
 def _classes(text: str) -> np.ndarray:
     """A class for each character: digits and letters apart by kind, common marks one by one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -93,6 +125,10 @@ def _classes(text: str) -> np.ndarray:
     return np.where(codes < 128, table[np.minimum(codes, 127)], 62)
 
 
+def _soft(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 class Tagger:
     """The network. Weights are plain arrays, so it travels with a task's function."""
 
@@ -116,23 +152,49 @@ class Tagger:
         state, cell, past = np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32), []
         for t in range(len(x)):
             z = pre[t] + state @ self.w[f"h{d}"]
-            gates = 1 / (1 + np.exp(-z[:, : 3 * h]))  # in, forget, out
-            new = np.tanh(z[:, 3 * h :])
+            gates = np.clip(0.25 * z[:, : 3 * h] + 0.5, 0, 1)  # in, forget, out
+            new = _soft(z[:, 3 * h :])
             before = cell
             cell = gates[:, h : 2 * h] * cell + gates[:, :h] * new
-            squashed = np.tanh(cell)
+            squashed = _soft(cell)
             if keep:
                 past.append((state, before, gates, new, squashed))
             state = gates[:, 2 * h :] * squashed
             out[t] = state
         return out, past
 
+    def _sweep(self, d: str, classes: np.ndarray) -> np.ndarray:
+        """(time, hidden, batch) states over (time, batch) classes; as _lstm, with gates in rows and in place."""
+        h = self.rules.hidden
+        table = np.ascontiguousarray((self.w["embed"] @ self.w[f"x{d}"] + self.w[f"c{d}"]).T)
+        across = np.ascontiguousarray(self.w[f"h{d}"].T)
+        table[: 3 * h] = 0.25 * table[: 3 * h] + 0.5
+        across[: 3 * h] *= 0.25
+        out = np.empty((len(classes), h, classes.shape[1]), np.float32)
+        state, cell = np.zeros(out.shape[1:], np.float32), np.zeros(out.shape[1:], np.float32)
+        z, step = np.empty((4 * h, classes.shape[1]), np.float32), np.empty_like(cell)
+        gates, new = z[: 3 * h], z[3 * h :]
+        for t in range(len(classes)) if d == "f" else range(len(classes) - 1, -1, -1):
+            np.take(table, classes[t], axis=1, out=z, mode="clip")
+            z += across @ state
+            np.clip(gates, 0, 1, out=gates)
+            np.abs(new, out=step)
+            step += 1
+            new /= step
+            cell *= gates[h : 2 * h]
+            new *= gates[:h]
+            cell += new
+            np.abs(cell, out=step)
+            step += 1
+            np.divide(cell, step, out=step)
+            state = np.multiply(gates[2 * h :], step, out=out[t])
+        return out
+
     def scores(self, classes: np.ndarray) -> np.ndarray:
-        """(batch, time) classes to (batch, time, tags) scores."""
-        x = self.w["embed"][classes.T]
-        forward, _ = self._lstm("f", x, False)
-        back, _ = self._lstm("b", x[::-1], False)
-        return (np.concatenate([forward, back[::-1]], 2) @ self.w["out"] + self.w["bias"]).transpose(1, 0, 2)
+        """(time, batch) classes to (time, tags, batch) scores."""
+        h = self.rules.hidden
+        out = np.ascontiguousarray(self.w["out"].T)
+        return np.matmul(out[:, :h], self._sweep("f", classes)) + np.matmul(out[:, h:], self._sweep("b", classes)) + self.w["bias"][:, None]
 
     def gradients(self, classes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the CRF over the batch, and its gradients."""
@@ -176,9 +238,9 @@ class Tagger:
             for t in range(n - 1, -1, -1):
                 state, before, gates, new, squashed = past[t]
                 d_now = d_out[t] + d_state
-                d_cell = d_cell + d_now * gates[:, 2 * h :] * (1 - squashed**2)
-                d_gates = np.concatenate([d_cell * new, d_cell * before, d_now * squashed], 1) * gates * (1 - gates)
-                dz = np.concatenate([d_gates, d_cell * gates[:, :h] * (1 - new**2)], 1)
+                d_cell = d_cell + d_now * gates[:, 2 * h :] * (1 - np.abs(squashed)) ** 2
+                d_gates = np.concatenate([d_cell * new, d_cell * before, d_now * squashed], 1) * 0.25 * ((gates > 0) & (gates < 1))
+                dz = np.concatenate([d_gates, d_cell * gates[:, :h] * (1 - np.abs(new)) ** 2], 1)
                 g[f"x{d}"] += inputs[t].T @ dz
                 g[f"h{d}"] += state.T @ dz
                 g[f"c{d}"] += dz.sum(0)
@@ -228,16 +290,6 @@ class Tagger:
         return finals
 
 
-def _window_starts(text: str, rules: TaggerRules) -> list[int]:
-    """Starts, multiples of the stride, of the windows that hold a digit or an at sign."""
-    last = max(0, -(-(len(text) - rules.window) // rules.stride)) * rules.stride
-    found = set()
-    for m in TRIGGER.finditer(text):
-        high = min(m.start() // rules.stride * rules.stride, last)
-        found.update(range(max(0, high - rules.window + rules.stride), high + 1, rules.stride))
-    return sorted(s for s in found if s <= last)
-
-
 def _spans(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
     found, kind, begin = [], -1, 0
     for i, tag in enumerate([*tags.tolist(), 0]):
@@ -250,86 +302,143 @@ def _spans(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def _zones(texts: list[str], tagger: Tagger, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place, scores) of zones of a stride each, in order; a text's windows begin at its zones and reach into the next."""
+    rules = tagger.rules
+    over = rules.window - rules.stride
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), -(-sizes // rules.stride))
+    first = np.concatenate([[0], np.cumsum(-(-sizes // rules.stride))])
+    place = (np.arange(len(owner)) - first[owner]) * rules.stride
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    classes = np.concatenate([_classes("".join(texts)), np.zeros(rules.window, np.int64)]).astype(np.int16)
+    fade = (np.arange(1, over + 1) / (over + 1)).astype(np.float32)[:, None, None]
+    tail = None
+    for a in range(0, len(owner), most):
+        own, at = owner[a : a + most], place[a : a + most]
+        offsets = np.arange(rules.window)[:, None]
+        inside = at + offsets < sizes[own]
+        scores = tagger.scores(np.where(inside, classes[begins[own] + at + offsets], 0))
+        zone = scores[: rules.stride]
+        before = np.concatenate([tail if tail is not None else scores[rules.stride :, :, :1], scores[rules.stride :, :, :-1]], axis=2)
+        zone[:over] = np.where(at > 0, fade * zone[:over] + (1 - fade) * before, zone[:over])
+        tail = scores[rules.stride :, :, -1:].copy()
+        yield own, at, zone
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) of what the network finds in each text."""
-    rules = tagger.rules
+    stride, moves = tagger.rules.stride, tagger.w["moves"]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    weight = np.minimum(np.arange(1, rules.window + 1), np.arange(rules.window, 0, -1)).astype(np.float32)[:, None]
-    runs: list[tuple[int, int, int, list[int]]] = []  # text, start, end, windows
-    for i, text in enumerate(texts):
-        for s in _window_starts(text, rules):
-            end = min(len(text), s + rules.window)
-            if runs and runs[-1][0] == i and s <= runs[-1][2] and runs[-1][2] - runs[-1][1] < 64 * rules.window:
-                runs[-1] = (i, runs[-1][1], end, [*runs[-1][3], s])
-            else:
-                runs.append((i, s, end, [s]))
-    runs.sort(key=lambda r: r[2] - r[1])
-    at = 0
-    while at < len(runs):
-        part, held = [], 0
-        while at < len(runs) and (not part or held + runs[at][2] - runs[at][1] < 60_000):
-            part.append(runs[at])
-            held += runs[at][2] - runs[at][1]
-            at += 1
-        windows = [(k, s) for k, r in enumerate(part) for s in r[3]]
-        classes = np.zeros((len(windows), rules.window), np.int64)
-        for j, (k, s) in enumerate(windows):
-            own = _classes(texts[part[k][0]][s : s + rules.window])
-            classes[j, : len(own)] = own
-        scored = tagger.scores(classes)
-        longest = max(r[2] - r[1] for r in part)
-        sums, weights = np.zeros((len(part), longest + rules.window, N_TAGS), np.float32), np.zeros((len(part), longest + rules.window, 1), np.float32)
-        for j, (k, s) in enumerate(windows):
-            a = s - part[k][1]
-            sums[k, a : a + rules.window] += scored[j] * weight
-            weights[k, a : a + rules.window] += weight
-        sizes = np.array([r[2] - r[1] for r in part])
-        paths = tagger.decode((sums / np.maximum(weights, 1e-9))[:, :longest], sizes)
-        for r, path in zip(part, paths, strict=True):
-            if path.any():
-                found[r[0]] += _spans(path, r[1])
-    # very long runs are decoded in parts that share a window; a span found in both counts once
-    for i, spans in enumerate(found):
-        apart: list[tuple[int, int, int]] = []
-        for span in sorted(spans, key=lambda x: (x[1], -x[2])):
-            if not apart or span[1] >= apart[-1][2]:
-                apart.append(span)
-        found[i] = apart
-    return found
+    # what one step of a path through other tags can gain over staying outside, besides its scores
+    gain = max(0.05, float(moves.max() - moves[0, 0]))
+    # so many characters that each lose more than that outweigh any difference between moves
+    pad = min(stride, 2 + int((moves.max() - moves.min()) / gain))
+    held = None
+    for owner, place, zones in _zones(texts, tagger):
+        # a path that leaves "outside" takes one step more than it has characters
+        alive = (zones[:, 1:].max(axis=1) - zones[:, 0] + 2 * gain >= 0).T
+        flat = zones.transpose(2, 0, 1).reshape(-1, N_TAGS)
+        if held is not None:
+            owner, place, alive, flat = np.concatenate([held[0], owner]), np.concatenate([held[1], place]), np.concatenate([held[2], alive]), np.concatenate([held[3], flat])
+        there = np.flatnonzero(alive.ravel())
+        starts, stops = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(there):
+            first = np.flatnonzero(place == 0)
+            begins = np.concatenate([[0], first * stride])[np.searchsorted(first, there // stride, "right")]
+            sizes = np.array([len(texts[i]) for i in owner[there // stride]])
+            ends = np.minimum((there // stride) * stride - place[there // stride] + sizes, len(flat))  # of the text, or what there is of it
+            low, high = np.maximum(there - pad, begins), np.minimum(there + 1 + pad, ends)
+            apart = np.flatnonzero((low[1:] > high[:-1]) | (begins[1:] != begins[:-1])) + 1
+            starts, stops = low[np.concatenate([[0], apart])], high[np.concatenate([apart - 1, [len(high) - 1]])]
+        ended = place[-1] + stride >= len(texts[owner[-1]])
+        keep = len(owner) if ended else len(owner) - 1
+        if not ended and len(stops) and stops[-1] > keep * stride - pad:
+            keep = int(starts[-1]) // stride
+        while len(cut_through := starts[(starts < keep * stride) & (stops > keep * stride)]):
+            keep = int(cut_through[0]) // stride
+        done = stops <= keep * stride
+        order = np.flatnonzero(done)[np.argsort((stops - starts)[done], kind="stable")]
+        for at in range(0, len(order), 512):
+            own = order[at : at + 512]
+            sizes = stops[own] - starts[own]
+            scores = np.zeros((len(own), sizes.max(), N_TAGS), np.float32)
+            for i, r in enumerate(own):
+                scores[i, : sizes[i]] = flat[starts[r] : stops[r]]
+            for r, path in zip(own, tagger.decode(scores, sizes), strict=True):
+                if path.any():
+                    zone = starts[r] // stride
+                    found[owner[zone]] += _spans(path, int(place[zone] + starts[r] % stride))
+        held = None if keep == len(owner) else (owner[keep:], place[keep:], alive[keep:], flat[keep * stride :].copy())
+    return [sorted(x, key=lambda s: s[1]) for x in found]
+
+
+def training_windows(texts: list[str], rules: TaggerRules) -> Iterator[tuple[bool, bytes, bytes]]:
+    """(has spans, classes, tags) of windows: around each span, as it is and written otherwise, and as many elsewhere."""
+    size = rules.window
+
+    def window(text: str, spans: list[tuple[int, int, int]], start: int) -> tuple[bool, bytes, bytes]:
+        tags = np.zeros(size, np.uint8)
+        for kind, a, b in spans:
+            a, b, begins = max(a - start, 0), min(b - start, size), a >= start
+            if a < b:
+                tags[a:b] = 2 + 2 * kind
+                tags[a] = 1 + 2 * kind if begins else 2 + 2 * kind
+        classes = np.zeros(size, np.uint8)
+        own = _classes(text[start : start + size])
+        classes[: len(own)] = own
+        return bool(tags.any()), classes.tobytes(), tags.tobytes()
 
-
-def training_windows(texts: list[str], rules: TaggerRules) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and tags of windows with labelled spans and about as many without."""
-    rng = np.random.default_rng(rules.seed)
-    full, bare = [], []
     for text in texts:
-        tags = np.zeros(len(text) + rules.window, np.int8)
-        for kind, a, b in base_spans(text):
-            tags[a:b] = 2 + 2 * kind
-            tags[a] = 1 + 2 * kind
-        codes = np.concatenate([_classes(text), np.zeros(rules.window, np.int64)])
-        starts = _window_starts(text, rules)
-        for s in starts + rng.integers(0, max(1, len(text)), len(starts) // 2 + 1).tolist():
-            (full if tags[s : s + rules.window].any() else bare).append((codes[s : s + rules.window], tags[s : s + rules.window]))
-    rng.shuffle(full)
-    rng.shuffle(bare)
-    chosen = full[: rules.train_windows // 2] + bare[: max(50, min(len(full), rules.train_windows // 2))]
-    if not chosen:
-        return np.zeros((0, rules.window), np.int64), np.zeros((0, rules.window), np.int8)
-    return np.stack([c for c, _ in chosen]), np.stack([t for _, t in chosen])
+        rng = np.random.default_rng([rules.seed, xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"))])
+        spans = base_spans(text)
+        for kind, a, b in spans:
+            yield window(text, spans, max(0, a - int(rng.integers(0, size - min(size - 1, b - a)))))
+            for _ in range(2):
+                other = written_otherwise(kind, text[a:b], rng)
+                near = text[max(0, a - size) : a], text[b : b + size]
+                start = max(0, len(near[0]) - int(rng.integers(0, size - min(size - 1, len(other)))))
+                around = [(k, x - a + len(near[0]), y - a + len(near[0])) for k, x, y in spans if a - size <= x and y <= a]
+                yield window(near[0] + other + near[1], [*around, (kind, len(near[0]), len(near[0]) + len(other))], start)
+        digits = [m.start() for m in re.finditer(r"[0-9]+|\(|@", text)][:: max(1, len(text) // 2000)]
+        for start in [*(max(0, d - size // 2) for d in digits[:8]), *rng.integers(0, len(text) + 1, 4).tolist()]:
+            yield window(text, spans, start)
 
 
 def train(docs: DataFrame, rules: TaggerRules = TaggerRules()) -> Tagger | None:
-    """A tagger from at most ``train_docs`` documents; None if these hold nothing that the patterns label."""
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(rules.train_docs)
-    classes, tags = training_windows([r["text"] for r in rows.collect()], rules)
-    if not tags.any():
+    """A tagger from a sample of documents; None if it holds nothing that the patterns label. The driver gets windows only."""
+    texts = docs.select("text").where(F.col("text").rlike(LABELLED))
+    share = min(1.0, rules.train_docs / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int(share * (1 << 31)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(training_windows(as_text(batch.column(0)), rules))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["full", "classes", "tags"])
+
+    # few rows of two windows' size each; the sample's size is fixed
+    windows = cut(drawn.mapInArrow(run, "full boolean, classes binary, tags binary"), "training-windows")
+    ranked = windows.select("full", "classes", "tags", F.xxhash64("classes", "tags").alias("rank"))
+    rows = [r for full in (True, False) for r in ranked.where(F.col("full") == full).orderBy("rank", "classes").limit(rules.train_windows * (1 if full else 2)).collect()]
+    if not any(r["full"] for r in rows):
         return None
     tagger = Tagger(rules)
-    tagger.fit(classes, tags)
+    tagger.fit(*(np.stack([np.frombuffer(r[c], np.uint8) for r in rows]).astype(np.int64) for c in ("classes", "tags")))
     return tagger
 
 
+def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
+    start, held = 0, 0
+    for i, x in enumerate(texts):
+        if i > start and held + len(x) > most:
+            yield start, i
+            start, held = i, 0
+        held += len(x)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 FIELDS = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_model", T.LongType())]
 
 
@@ -350,7 +459,7 @@ def find_personal_data(docs: DataFrame, rules: TaggerRules = TaggerRules()) -> D
         for batch in batches:
             texts = as_text(batch.column(1))
             base = [base_spans(t) for t in texts]
-            tagged = model_spans(texts, tagger) if tagger else [[] for _ in texts]
+            tagged = [x for a, b in _parts(texts) for x in model_spans(texts[a:b], tagger)] if tagger else [[] for _ in texts]
             rows = []
             for own, more in zip(base, tagged, strict=True):
                 new = [x for x in more if not any(a < x[2] and x[1] < b for _, a, b in own)]

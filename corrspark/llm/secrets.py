@@ -1,7 +1,7 @@
 """Secret scan: fixed formats, and Shannon entropy in a sliding window over candidate strings.
 
-A candidate is a maximal run of token characters. Its class (hexadecimal or mixed) sets how many bits a
-window needs; the window's counts are updated by the character that leaves and the one that enters.
+A candidate is a maximal run of token characters. Its character class (hexadecimal, letters, letters and digits, or
+base64 with its marks) sets how many bits a window needs; the window's counts are updated by the character that leaves and the one that enters.
 Candidates that an allow-list pattern matches in full are left alone.
 """
 
@@ -28,14 +28,17 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """``window``: characters; bits a window needs, by class; ``allow``: patterns of whole candidates that are no secrets."""
+    """``window``: characters, also the least length of a candidate; bits a window needs, by class; ``allow``: patterns of whole candidates that are no secrets."""
 
     window: int = 20
     hex_bits: float = 2.9
-    mixed_bits: float = 3.7
+    letter_bits: float = 3.9
+    alnum_bits: float = 3.7
+    base64_bits: float = 3.8
     allow: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-        r"[A-Za-z]+([-_/][A-Za-z]+)*",  # words
+        r"([A-Z]?[a-z]+|[A-Z]+)([-_/=+]+([A-Z]?[a-z]+|[A-Z]+))*",  # words
+        r"[a-z]*([A-Z][a-z]{2,}|[A-Z]{2,4}(?=[A-Z][a-z]{2,}))+",  # names of several words in one
         r"[0-9]+([-_/=][0-9]+)*",  # numbers and dates
         r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,6}",  # words and one number
         r"(?i:.*example.*|.*0123456789abcdef.*|.*abcdefghij.*|.*1234567890.*)",  # placeholders
@@ -67,14 +70,17 @@ def entropy_runs(text: str, bits: float, window: int) -> list[tuple[int, int]]:
     return runs
 
 
+#: Candidates of one class, and the rule that limits it; the first that holds counts.
+CLASSES = ((re.compile(r"[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*"), "hex_bits"), (re.compile(r"[A-Za-z]+"), "letter_bits"), (re.compile(r"[A-Za-z0-9]+"), "alnum_bits"), (re.compile(r".+"), "base64_bits"))
+
+
 def _entropy_spans(text: str, rules: EntropyRules, allowed) -> list[tuple[int, int]]:
     spans = []
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if not any(map(str.isdigit, word)) or allowed(word):
-            continue
-        bits = rules.hex_bits if all(x in "0123456789abcdefABCDEF" for x in word) else rules.mixed_bits
-        spans += [(m.start() + a, m.start() + b) for a, b in entropy_runs(word, bits, rules.window)]
+        if not allowed(word):
+            bits = next(getattr(rules, limit) for chars, limit in CLASSES if chars.fullmatch(word))
+            spans += [(m.start() + a, m.start() + b) for a, b in entropy_runs(word, bits, rules.window)]
     return spans
 
 

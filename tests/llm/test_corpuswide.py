@@ -33,6 +33,12 @@ def test_packing_round_trip(spark):
     assert out.length.sum() / (128 * out.sequence_id.nunique()) > 0.85
 
 
+def test_windows_of_production_size_are_full(spark):
+    """The documents of the larger tables in their 4096-token windows."""
+    out = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).selectExpr("sum(length) as used", "count(distinct sequence_id) as n").first()
+    assert out["used"] > 0.97 * 4096 * out["n"]
+
+
 def test_words_are_encoded_like_texts():
     encoder = packing.WordEncoder(packing.PackingRules())
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -74,6 +80,51 @@ def test_templates(spark):
     assert decontaminate.judge(empty(spark), bench).count() == 0 and decontaminate.judge(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_leaks(docs, items, rules):
+    """(doc, item) by comparing all windows of all texts."""
+    templates = decontaminate.Templates(rules)
+
+    def windows(text, short):
+        _, place, value, (at, kind, words, n) = templates.windows([text.encode()], short)
+        return [(p, v, templates.slots(a, kind, words, k)) for p, v, a, k in zip(place.tolist(), value.tolist(), at, n)]
+
+    found = set()
+    for j, item in items:
+        size = len(templates.tokens([item.encode()])[0])
+        short = (size,) if 0 < size < rules.window else ()
+        for i, text in docs:
+            lines = {}
+            for p, v, own in windows(item, short):
+                for q, w, other in windows(text or "", short):
+                    if v == w:
+                        lines.setdefault(q - p, []).append((p, own, other))
+            runs = [r for rows in lines.values() for r in decontaminate.consistent_runs(sorted(rows), min(rules.window, size))]
+            covered = {k for a, b in runs for k in range(a, b)}
+            if runs and (max(b - a for a, b in runs) >= rules.min_run or 100 * len(covered) >= rules.min_percent * size):
+                found.add((i, text, j))
+    return found
+
+
+def test_leaks_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [*(f"word{c}" for c in "abcdefghij"), "12", "7", "km", "hours", "Boston", "Lisbon", "Rome", "five."]
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = [(k, text(rng.integers(3, 40))) for k in range(12)] + [(20, "12 7 12 Boston 7 km 5 hours 9 Rome 3 km"), (21, "four short words here")]
+    rows = []
+    for i in range(60):
+        own = items[rng.integers(len(items))][1].split()
+        cut = own[rng.integers(0, 3) :] if i % 3 else text(10).split()
+        rows.append((i, text(15) + ". " + " ".join("Oslo" if w == "Rome" and i % 2 else w for w in cut) + " " + text(10)))
+    rows += [rows[1], rows[1], (rows[1][0], "some other text of the same id"), (None, rows[4][1]), (None, "clean and without an id"), (70, (rows[1][1] + " ") * 300), (71, None)]
+    got = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(rows, items, decontaminate.TemplateRules())
+    assert len(want) > 20 and any(j == 20 for *_, j in want) and any(j == 21 for *_, j in want)
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter((i, j) for i, _, j in want)
+    kept = decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    leaked = {(i, t) for i, t, _ in want}
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(x for x in rows if x not in leaked)
+
+
 def test_slots_must_be_consistent():
     item = ["num:0:4", "num:3:4"]
     assert decontaminate.consistent_runs([(0, item, ["num:0:7", "num:3:7"])], 8) == [(0, 8)]

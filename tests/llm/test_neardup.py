@@ -97,6 +97,23 @@ def test_one_of_each_group_stays(spark):
     assert sum(not shingles(t, 5) for _, t in kept) == sum(n == 0 for _, n, _ in groups)
 
 
+def test_ids_do_not_make_duplicates(spark):
+    """Rows that share an id but no text both stay, and extra columns may have any name."""
+    line = lambda k: " ".join(f"w{k}_{i}" for i in range(40))
+    rows = [(None, line(1)), (None, line(2)), (2, line(3)), (2, line(4)), (2, line(4)), (3, line(4)), (4, ""), (4, ""), (5, None)]
+    docs = frame(spark, rows).selectExpr("*", "'a' as _id", "'b' as _hash", "'c' as root", "'d' as row")
+    out = keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((i or 0, t or "") for i, t in [*rows[:4], (4, ""), (4, ""), (5, None)])
+
+
+def test_links_of_documents(spark):
+    """All pairs of whole documents by brute force."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = near_groups(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), NearRules(shingle=3, percent=85)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, 3, 85))
+
+
 def test_empty_table(spark):
     assert near_groups(empty(spark)).count() == 0
     assert keep_one(empty(spark)).count() == 0

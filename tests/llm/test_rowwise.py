@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,42 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def plain_secrets(text):
+    """The patterns as they are stated."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def test_secret_patterns_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pieces = ["password", "Token", "api_key", "apikey=", " = ", ": ", '"', "AKIA", "Q7Q7Q7Q7", "deadbeef", "0123456789abcdef", "x", " ", "\n", "é", "secret", "AKIAAKIA"]
+    rows = [(i, "".join(rng.choice(pieces, 25))) for i in range(400)]
+    rows += [(None, "token=abcdefgh1"), (1, rows[1][1]), (1, rows[1][1]), (900, "token=" + "a1" * 200_000), (901, "f" * 200_000 + " AKIA" + "Z" * 100_000)]
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.find_secrets(frame(spark, rows)).collect())
+    want = Counter()
+    for i, t in rows:
+        spans = plain_secrets(t or "")
+        kinds = [k for _, k, _ in spans]
+        want[i, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_entropy_by_class():
+    rules = secrets.EntropyRules()
+    allowed = re.compile("|".join(f"(?:{x})" for x in rules.allow)).fullmatch
+    found = lambda t: bool(secrets._entropy_spans(t, rules, allowed))
+    rng = np.random.default_rng(9)
+    every = lambda chars, n=40: "".join(rng.choice(list(chars), n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for chars in (letters, letters + "0123456789", letters + "0123456789+/", "0123456789abcdef"):
+        assert sum(found(every(chars)) for _ in range(200)) > 190, chars
+    assert found("qWeRtYuIoPaSdFgHjKlZxCvBnMpLkJhG")
+    for clean in ("getHttpResponseCodeFromServer", "a-rather-long-file_name/with/parts", "internationalisationandmore", "2024-01-02/2024-01-03", "aaaaaaaaaaaaaaaaaaaaaaaa", "THISISALLINCAPITALLETTERS", "123e4567-e89b-12d3-a456-426614174000"):
+        assert not found(clean), clean
+
+
 def test_entropy_by_increments_is_that_of_each_window():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -117,15 +154,47 @@ def test_tagger_finds_held_out_spans():
             parts[rng.integers(60)] = make()
         return " ".join(parts)
 
-    rules = pii.TaggerRules(steps=150)
+    rules = pii.TaggerRules(steps=250)
     tagger = pii.Tagger(rules)
-    losses = tagger.fit(*pii.training_windows([text() for _ in range(200)], rules))
+    windows = list(pii.training_windows([text() for _ in range(200)], rules))
+    losses = tagger.fit(*(np.stack([np.frombuffer(w[k], np.uint8) for w in windows]).astype(np.int64) for k in (1, 2)))
     assert losses[-1] < losses[0] / 20
     test = [text() for _ in range(60)]
     found = pii.model_spans(test, tagger)
     want, got = [set(pii.base_spans(t)) for t in test], [set(x) for x in found]
     hits = sum(len(a & b) for a, b in zip(want, got))
     assert hits > 0.85 * sum(map(len, want)) and hits > 0.85 * sum(map(len, got))
+    # forms that the patterns do not know
+    planted = []
+    for t in test:
+        for kind, x, y in pii.base_spans(t)[:1]:
+            other = pii.written_otherwise(kind, t[x:y], rng)
+            planted.append((t[:x] + other + t[y:], kind, x, x + len(other)))
+    found = pii.model_spans([t for t, *_ in planted], tagger)
+    caught = sum(any(k == kind and a < y and x < b for k, a, b in own) for (_, kind, x, y), own in zip(planted, found))
+    known = sum((kind, x, y) in pii.base_spans(t) for t, kind, x, y in planted)
+    assert len(planted) > 30 and known == 0 and caught > 0.8 * len(planted)
+    plain = [" ".join(rng.choice(words, 80)) for _ in range(20)]
+    assert sum(map(len, pii.model_spans(plain, tagger))) <= 1
+    # one text, decoded in one go over its blended scores, and in small batches of windows
+    long = " ".join(t for t in test)
+    zones = np.concatenate([z for _, _, z in pii._zones([long], tagger, 7)], axis=2)
+    whole = zones.transpose(2, 0, 1).reshape(1, -1, pii.N_TAGS)
+    path = tagger.decode(whole, np.array([len(long)]))[0]
+    assert pii.model_spans([long], tagger)[0] == pii._spans(path, 0)
+
+
+def test_base_spans_in_awkward_texts():
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+    assert pii.base_spans("0" * 5000 + "7.1.1.1") == [(1, 0, 5007)]
+    began = time.time()
+    for text in ("a" * 300_000 + " @", "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" * 150_000, "@" * 300_000, "a@" + "b." * 150_000):
+        pii.base_spans(text)
+    assert time.time() - began < 20
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("a1.@+- _%("), rng.integers(1, 60)))
+        assert pii.base_spans(text) == plain_base(text), text
 
 
 def test_personal_data_rows(spark):
