@@ -36,6 +36,8 @@ LABELLED = "@|[0-9][0-9.() -]{6}"
 #: Tags: 0 outside, then begin and inside of each kind.
 N_TAGS = 1 + 2 * len(KINDS)
 CLASSES = 64
+#: What a character has to lose at least to be left out of the decoding.
+MARGIN = 0.3
 
 
 @dataclass(frozen=True)
@@ -48,10 +50,10 @@ class TaggerRules:
 
     train_docs: int = 2000
     train_windows: int = 2000
-    window: int = 80
-    stride: int = 60
+    window: int = 96
+    stride: int = 80
     embed: int = 8
-    hidden: int = 10
+    hidden: int = 8
     steps: int = 400
     batch: int = 64
     rate: float = 0.02
@@ -269,25 +271,30 @@ class Tagger:
 
     def decode(self, scores: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         """Best tags of each sequence; scores: (batch, time, tags), padded after sizes."""
-        n = scores.shape[1]
-        best, back = scores[:, 0], np.zeros(scores.shape, np.int8)
-        finals = [None] * len(scores)
-        rows = np.arange(len(scores))
-        steps = [best]
+        by_time = np.ascontiguousarray(scores.transpose(1, 2, 0))
+        moves = self.w["moves"]
+        n, _, size = by_time.shape
+        back = np.zeros((n, N_TAGS, size), np.int8)
+        steps = np.empty_like(by_time)
+        steps[0] = by_time[0]
+        step, better = np.empty((N_TAGS, size), by_time.dtype), np.empty((N_TAGS, size), bool)
         for t in range(1, n):
-            z = best[:, :, None] + self.w["moves"]
-            back[:, t] = z.argmax(1)
-            best = z.max(1) + scores[:, t]
-            steps.append(best)
-        path = np.zeros(scores.shape[:2], np.int8)
-        last = np.array([steps[s - 1][i].argmax() for i, s in enumerate(sizes)])
+            top = steps[t]
+            np.add(steps[t - 1, 0], moves[0][:, None], out=top)
+            for k in range(1, N_TAGS):
+                np.add(steps[t - 1, k], moves[k][:, None], out=step)
+                np.greater(step, top, out=better)
+                np.maximum(top, step, out=top)
+                np.copyto(back[t], k, where=better)
+            top += by_time[t]
+        path = np.zeros((size, n), np.int8)
+        rows = np.arange(size)
+        last = steps[sizes - 1, :, rows].argmax(axis=1)
         for t in range(n - 1, -1, -1):
             inside = t < sizes
             path[inside, t] = last[inside]
-            last = np.where(inside & (t > 0), back[rows, t, last], last)
-        for i, s in enumerate(sizes):
-            finals[i] = path[i, :s]
-        return finals
+            last = np.where(inside & (t > 0), back[t, last, rows], last)
+        return [path[i, :s] for i, s in enumerate(sizes)]
 
 
 def _spans(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
@@ -302,7 +309,7 @@ def _spans(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _zones(texts: list[str], tagger: Tagger, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _zones(texts: list[str], tagger: Tagger, most: int = 1200) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text, place, scores) of zones of a stride each, in order; a text's windows begin at its zones and reach into the next."""
     rules = tagger.rules
     over = rules.window - rules.stride
@@ -311,7 +318,7 @@ def _zones(texts: list[str], tagger: Tagger, most: int = 4096) -> Iterator[tuple
     first = np.concatenate([[0], np.cumsum(-(-sizes // rules.stride))])
     place = (np.arange(len(owner)) - first[owner]) * rules.stride
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    classes = np.concatenate([_classes("".join(texts)), np.zeros(rules.window, np.int64)]).astype(np.int16)
+    classes = np.concatenate([_classes("".join(texts)), np.zeros(rules.window, np.int64)])
     fade = (np.arange(1, over + 1) / (over + 1)).astype(np.float32)[:, None, None]
     tail = None
     for a in range(0, len(owner), most):
@@ -330,27 +337,34 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
     """(kind, start, end) of what the network finds in each text."""
     stride, moves = tagger.rules.stride, tagger.w["moves"]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    # what one step of a path through other tags can gain over staying outside, besides its scores
-    gain = max(0.05, float(moves.max() - moves[0, 0]))
-    # so many characters that each lose more than that outweigh any difference between moves
-    pad = min(stride, 2 + int((moves.max() - moves.min()) / gain))
+    # What a stretch of other tags can gain over staying outside, besides its scores: from each step within, and at its ends.
+    within, ends_gain = float(moves[1:, 1:].max() - moves[0, 0]), float(moves[0, 1:].max() + moves[1:, 0].max() - 2 * moves[0, 0])
+    need = within - ends_gain  # the least sum of (score + within) over a stretch that pays
+    level = min(0.0, need) - within - MARGIN
+    # so many characters that each lose more than the margin outweigh any difference between moves
+    pad = min(stride, 2 + int((moves.max() - moves.min()) / MARGIN))
     held = None
     for owner, place, zones in _zones(texts, tagger):
-        # a path that leaves "outside" takes one step more than it has characters
-        alive = (zones[:, 1:].max(axis=1) - zones[:, 0] + 2 * gain >= 0).T
-        flat = zones.transpose(2, 0, 1).reshape(-1, N_TAGS)
+        best = (zones[:, 1:].max(axis=1) - zones[:, 0]).T
+        alive = best >= level
+        pays = np.maximum(best + within, 0).ravel()
         if held is not None:
-            owner, place, alive, flat = np.concatenate([held[0], owner]), np.concatenate([held[1], place]), np.concatenate([held[2], alive]), np.concatenate([held[3], flat])
+            owner, place, alive, pays = np.concatenate([held[0], owner]), np.concatenate([held[1], place]), np.concatenate([held[2], alive]), np.concatenate([held[3], pays])
+            zones = np.concatenate([held[4], zones], axis=2)
         there = np.flatnonzero(alive.ravel())
         starts, stops = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(there):
             first = np.flatnonzero(place == 0)
             begins = np.concatenate([[0], first * stride])[np.searchsorted(first, there // stride, "right")]
             sizes = np.array([len(texts[i]) for i in owner[there // stride]])
-            ends = np.minimum((there // stride) * stride - place[there // stride] + sizes, len(flat))  # of the text, or what there is of it
+            ends = np.minimum((there // stride) * stride - place[there // stride] + sizes, alive.size)  # of the text, or what there is of it
             low, high = np.maximum(there - pad, begins), np.minimum(there + 1 + pad, ends)
             apart = np.flatnonzero((low[1:] > high[:-1]) | (begins[1:] != begins[:-1])) + 1
             starts, stops = low[np.concatenate([[0], apart])], high[np.concatenate([apart - 1, [len(high) - 1]])]
+            sums = np.concatenate([[0.0], np.cumsum(pays, dtype=np.float64)])
+            open_end = stops == alive.size  # may go on
+            able = (sums[stops] - sums[starts] >= need - 1e-3) | open_end
+            starts, stops = starts[able], stops[able]
         ended = place[-1] + stride >= len(texts[owner[-1]])
         keep = len(owner) if ended else len(owner) - 1
         if not ended and len(stops) and stops[-1] > keep * stride - pad:
@@ -364,12 +378,14 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
             sizes = stops[own] - starts[own]
             scores = np.zeros((len(own), sizes.max(), N_TAGS), np.float32)
             for i, r in enumerate(own):
-                scores[i, : sizes[i]] = flat[starts[r] : stops[r]]
+                zone = starts[r] // stride
+                own_scores = zones[:, :, zone : -(-stops[r] // stride)].transpose(2, 0, 1).reshape(-1, N_TAGS)
+                scores[i, : sizes[i]] = own_scores[starts[r] - zone * stride : stops[r] - zone * stride]
             for r, path in zip(own, tagger.decode(scores, sizes), strict=True):
                 if path.any():
                     zone = starts[r] // stride
                     found[owner[zone]] += _spans(path, int(place[zone] + starts[r] % stride))
-        held = None if keep == len(owner) else (owner[keep:], place[keep:], alive[keep:], flat[keep * stride :].copy())
+        held = None if keep == len(owner) else (owner[keep:], place[keep:], alive[keep:], pays[keep * stride :], zones[:, :, keep:].copy())
     return [sorted(x, key=lambda s: s[1]) for x in found]
 
 
