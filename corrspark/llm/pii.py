@@ -38,6 +38,8 @@ N_TAGS = 1 + 2 * len(KINDS)
 CLASSES = 64
 #: What a character has to lose at least to be left out of the decoding.
 MARGIN = 0.3
+#: Keeps cells whose input gate is shut from decaying to subnormal numbers, which processors are slow with.
+TINY = np.float32(1e-15)
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,8 @@ class TaggerRules:
     """``train_docs``: documents expected in the sample for training, drawn by hash from those with digits or an at sign.
 
     ``train_windows``: windows with spans at most, and twice as many without. ``window``, ``stride``: characters of a window
-    and from one to the next, so that two overlap at most. ``hidden``: units for each direction. The seed fixes the result.
+    and from one to the next, so that two overlap at most. ``hidden``: units for each direction. ``entry``: log-odds taken from
+    each step into a span after training, as windows with spans are drawn far more often than they occur. The seed fixes the result.
     """
 
     train_docs: int = 2000
@@ -57,6 +60,7 @@ class TaggerRules:
     steps: int = 400
     batch: int = 64
     rate: float = 0.02
+    entry: float = 3.0
     seed: int = 5
 
 
@@ -186,6 +190,7 @@ class Tagger:
             cell *= gates[h : 2 * h]
             new *= gates[:h]
             cell += new
+            cell += TINY
             np.abs(cell, out=step)
             step += 1
             np.divide(cell, step, out=step)
@@ -267,6 +272,7 @@ class Tagger:
                 second[k] = 0.99 * second[k] + 0.01 * v**2
                 self.w[k] = (self.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             losses.append(loss)
+        self.w["moves"][0, 1:] -= self.rules.entry
         return losses
 
     def decode(self, scores: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -280,12 +286,18 @@ class Tagger:
         step, better = np.empty((N_TAGS, size), by_time.dtype), np.empty((N_TAGS, size), bool)
         for t in range(1, n):
             top = steps[t]
-            np.add(steps[t - 1, 0], moves[0][:, None], out=top)
-            for k in range(1, N_TAGS):
-                np.add(steps[t - 1, k], moves[k][:, None], out=step)
-                np.greater(step, top, out=better)
-                np.maximum(top, step, out=top)
-                np.copyto(back[t], k, where=better)
+            if size < 24:  # few sequences: all moves at once
+                every = steps[t - 1][:, None] + moves[:, :, None]
+                every.argmax(axis=0, out=(best := np.empty((N_TAGS, size), np.int64)))
+                back[t] = best
+                every.max(axis=0, out=top)
+            else:
+                np.add(steps[t - 1, 0], moves[0][:, None], out=top)
+                for k in range(1, N_TAGS):
+                    np.add(steps[t - 1, k], moves[k][:, None], out=step)
+                    np.greater(step, top, out=better)
+                    np.maximum(top, step, out=top)
+                    np.copyto(back[t], k, where=better)
             top += by_time[t]
         path = np.zeros((size, n), np.int8)
         rows = np.arange(size)
@@ -337,13 +349,14 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
     """(kind, start, end) of what the network finds in each text."""
     stride, moves = tagger.rules.stride, tagger.w["moves"]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    lengths = np.array([len(t) for t in texts])
     # What a stretch of other tags can gain over staying outside, besides its scores: from each step within, and at its ends.
     within, ends_gain = float(moves[1:, 1:].max() - moves[0, 0]), float(moves[0, 1:].max() + moves[1:, 0].max() - 2 * moves[0, 0])
     need = within - ends_gain  # the least sum of (score + within) over a stretch that pays
     level = min(0.0, need) - within - MARGIN
     # so many characters that each lose more than the margin outweigh any difference between moves
     pad = min(stride, 2 + int((moves.max() - moves.min()) / MARGIN))
-    held = None
+    held, runs = None, []
     for owner, place, zones in _zones(texts, tagger):
         best = (zones[:, 1:].max(axis=1) - zones[:, 0]).T
         alive = best >= level
@@ -356,7 +369,7 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
         if len(there):
             first = np.flatnonzero(place == 0)
             begins = np.concatenate([[0], first * stride])[np.searchsorted(first, there // stride, "right")]
-            sizes = np.array([len(texts[i]) for i in owner[there // stride]])
+            sizes = lengths[owner[there // stride]]
             ends = np.minimum((there // stride) * stride - place[there // stride] + sizes, alive.size)  # of the text, or what there is of it
             low, high = np.maximum(there - pad, begins), np.minimum(there + 1 + pad, ends)
             apart = np.flatnonzero((low[1:] > high[:-1]) | (begins[1:] != begins[:-1])) + 1
@@ -372,20 +385,22 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
         while len(cut_through := starts[(starts < keep * stride) & (stops > keep * stride)]):
             keep = int(cut_through[0]) // stride
         done = stops <= keep * stride
-        order = np.flatnonzero(done)[np.argsort((stops - starts)[done], kind="stable")]
-        for at in range(0, len(order), 512):
-            own = order[at : at + 512]
-            sizes = stops[own] - starts[own]
-            scores = np.zeros((len(own), sizes.max(), N_TAGS), np.float32)
-            for i, r in enumerate(own):
-                zone = starts[r] // stride
-                own_scores = zones[:, :, zone : -(-stops[r] // stride)].transpose(2, 0, 1).reshape(-1, N_TAGS)
-                scores[i, : sizes[i]] = own_scores[starts[r] - zone * stride : stops[r] - zone * stride]
-            for r, path in zip(own, tagger.decode(scores, sizes), strict=True):
-                if path.any():
-                    zone = starts[r] // stride
-                    found[owner[zone]] += _spans(path, int(place[zone] + starts[r] % stride))
+        flat = zones.transpose(2, 0, 1).reshape(-1, N_TAGS) if done.any() else None
+        for a, b in zip(starts[done].tolist(), stops[done].tolist(), strict=True):
+            runs.append((int(owner[a // stride]), int(place[a // stride]) + a % stride, flat[a:b].copy()))
         held = None if keep == len(owner) else (owner[keep:], place[keep:], alive[keep:], pays[keep * stride :], zones[:, :, keep:].copy())
+    runs.sort(key=lambda r: len(r[2]))
+    at = 0
+    while at < len(runs):
+        part = [r for r in runs[at : at + 512] if len(r[2]) <= 16 + 1.3 * len(runs[at][2])]
+        at += len(part)
+        sizes = np.array([len(r[2]) for r in part])
+        scores = np.zeros((len(part), sizes[-1], N_TAGS), np.float32)
+        for own, (_, _, x) in zip(scores, part, strict=True):
+            own[: len(x)] = x
+        for (text, start, _), path in zip(part, tagger.decode(scores, sizes), strict=True):
+            if path.any():
+                found[text] += _spans(path, start)
     return [sorted(x, key=lambda s: s[1]) for x in found]
 
 
