@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 OPS = "array<struct<n:int,op:string>>"
 
@@ -66,76 +64,65 @@ def is_pure_insertion(ops: Column) -> Column:
     return render(normalize(ops)).rlike(r"^[0-9]+=[0-9]+I[0-9]+=$")
 
 
-def _simplify(ops: list[tuple[int, str]], min_net: int, max_opposite: int, max_mismatch: int) -> tuple[list[tuple[int, str]], str]:
-    """[left =][net I or D][right =] if one kind of gap dominates, else the operations as they are; and the mode."""
-    merged: list[list] = []
-    for n, op in ops:
-        op = "=" if op == "M" else op
-        if merged and merged[-1][1] == op:
-            merged[-1][0] += n
-        elif n > 0:
-            merged.append([n, op])
-    same = [(n, op) for n, op in merged]
-    total = {k: sum(n for n, op in same if op == k) for k in "=XID"}
-    net = total["I"] - total["D"]
-    if abs(net) < min_net or total["X"] > max_mismatch or (total["D"] if net > 0 else total["I"]) > max_opposite:
-        return same, "none"
-    kind = "I" if net > 0 else "D"
-    longest = max(n for n, op in same if op == kind)
-    at = next(i for i, (n, op) in enumerate(same) if op == kind and n == longest)
-    other = "MX=" + ("D" if kind == "I" else "I")
-    left = sum(n for n, op in same[:at] if op in "=XD") if kind == "I" else sum(n for n, op in same[:at] if op in "=XI")
-    right = sum(n for n, op in same[at:] if op in other) if kind == "I" else sum(n for n, op in same[at:] if op in other)
-    return [x for x in ((left, "="), (abs(net), kind), (right, "=")) if x[0] > 0], f"1{kind}"
-
-
-@F.pandas_udf(T.StructType([T.StructField("cigar", T.StringType()), T.StructField("mode", T.StringType())]))
-def simplify(text: pd.Series) -> pd.DataFrame:
-    """Simplifies a CIGAR whose net gap is at least 100 with at most 50 opposite and 200 mismatching bases."""
-    import re
-
-    rows = []
-    for x in text:
-        if x is None or not re.fullmatch(r"(\d+[M=XID])+", x):
-            rows.append((None, None))
-            continue
-        ops, mode = _simplify([(int(n), op) for n, op in re.findall(r"(\d+)([M=XID])", x)], 100, 50, 200)
-        rows.append(("".join(f"{n}{op}" for n, op in ops), mode))
-    return pd.DataFrame(rows, columns=["cigar", "mode"])
-
-
-def _trim_side(ops: list[tuple[int, str]], ref: int, qry: int) -> list[tuple[int, str]] | None:
-    """Drops operations from the front until both axes have lost what they should; None if they cannot."""
-    held = list(ops)
-    while (ref > 0 or qry > 0) and held:
-        n, op = held.pop(0)
-        on_ref, on_qry = op in "M=XD", op in "M=XI"
-        if on_ref and on_qry:
-            take = min(n, max(ref, qry))
-            ref, qry = ref - take, qry - take
-        elif on_ref:
-            take = min(n, ref) if ref > 0 else n
-            ref -= min(take, max(ref, 0))
-        else:
-            take = min(n, qry) if qry > 0 else n
-            qry -= min(take, max(qry, 0))
-        if take < n:
-            held.insert(0, (n - take, op))
-    return None if ref > 0 or qry > 0 else held
-
-
-@F.pandas_udf(T.StringType())
-def trim(text: pd.Series, ref_left: pd.Series, qry_left: pd.Series, ref_right: pd.Series, qry_right: pd.Series) -> pd.Series:
-    """Trims a CIGAR by reference and query bases on both sides; null where nothing would be left or the axes disagree."""
-    import re
-
-    found = []
-    for x, a, b, c, d in zip(text, ref_left, qry_left, ref_right, qry_right, strict=True):
-        ops = [(int(n), op) for n, op in re.findall(r"(\d+)([M=XID])", x or "")]
-        size = lambda kinds, held: sum(n for n, op in held if op in kinds)
-        ref, qry = size("M=XD", ops) - a - c, size("M=XI", ops) - b - d
-        left = _trim_side(ops, a, b)
-        both = _trim_side(left[::-1], c, d) if left else None
-        good = both and size("M=XD", both) == ref and size("M=XI", both) == qry
-        found.append("".join(f"{n}{op}" for n, op in both[::-1]) if good else None)
-    return pd.Series(found, dtype=object)
+def simplify(ops: Column, min_net: int = 100, max_opposite: int = 50, max_mismatch: int = 200) -> Column:
+    """Struct of ops and mode, from normal operations (see normalize): one net gap between matches where one kind of gap dominates.
+
+    Mode is 1I or 1D, or raw where the gap is smaller or other operations are too many; then the operations stay. The
+    gap stands behind as many bases as align before the longest gap of its kind, the first of equals.
+    """
+    ref, qry = reference_bases(ops), query_bases(ops)
+    net = qry - ref
+    kind = F.when(net > 0, "I").otherwise("D")
+    opposite = F.when(net > 0, _total(ops, "D")).otherwise(_total(ops, "I"))
+    simple = (F.abs(net) >= min_net) & (opposite <= max_opposite) & (_total(ops, "X") <= max_mismatch)
+    longest = F.array_max(F.transform(F.filter(ops, lambda o: o["op"] == kind), lambda o: o["n"]))
+    at = F.array_position(ops, F.struct(longest.alias("n"), kind.alias("op"))).cast("int")
+    shared = F.least(ref, qry)
+    left = F.least(_total(F.slice(ops, F.lit(1), F.greatest(at - 1, F.lit(0))), "=X"), shared)
+    piece = lambda n, op: F.struct(n.cast("int").alias("n"), op.alias("op"))
+    made = F.filter(F.array(piece(left, F.lit("=")), piece(F.abs(net), kind), piece(shared - left, F.lit("="))), lambda o: o["n"] > 0)
+    return F.struct(F.when(simple, made).otherwise(ops).alias("ops"), F.when(ops.isNull(), None).when(simple, F.concat(F.lit("1"), kind)).otherwise("raw").alias("mode"))
+
+
+def _trimmed(ops: Column, ref: Column, qry: Column, whole_gaps: bool) -> Column:
+    """ops without what lies before ``ref`` and ``qry`` more bases of the axes; and how many bases of each went.
+
+    A match takes bases of both axes, as many as the needier one wants. A gap on an axis that wants no more goes as a
+    whole if ``whole_gaps``, as the other axis still does; else what is left of it stops the trimming.
+    """
+    state = F.struct(F.array().cast(OPS).alias("rest"), ref.cast("long").alias("ref"), qry.cast("long").alias("qry"), F.lit(0).cast("long").alias("gone_ref"), F.lit(0).cast("long").alias("gone_qry"), F.lit(False).alias("stuck"))
+
+    def step(a: Column, o: Column) -> Column:
+        n = o["n"].cast("long")
+        active = ((a["ref"] > 0) | (a["qry"] > 0)) & ~a["stuck"]
+        gap = lambda own, other: F.when((other > 0) & F.lit(whole_gaps), n).otherwise(F.least(n, F.greatest(own, F.lit(0))))
+        take = F.when(~active, 0).when(o["op"] == "D", gap(a["ref"], a["qry"])).when(o["op"] == "I", gap(a["qry"], a["ref"])).otherwise(F.least(n, F.greatest(a["ref"], a["qry"])))
+        other = F.when(o["op"] == "D", a["qry"]).when(o["op"] == "I", a["ref"]).otherwise(0)
+        of_ref, of_qry = F.when(o["op"] == "I", 0).otherwise(take), F.when(o["op"] == "D", 0).otherwise(take)
+        rest = F.when(take < n, F.concat(a["rest"], F.array(F.struct((n - take).cast("int").alias("n"), o["op"].alias("op"))))).otherwise(a["rest"])
+        return F.struct(
+            rest.cast(OPS).alias("rest"),
+            (a["ref"] - of_ref).cast("long").alias("ref"),
+            (a["qry"] - of_qry).cast("long").alias("qry"),
+            (a["gone_ref"] + of_ref).cast("long").alias("gone_ref"),
+            (a["gone_qry"] + of_qry).cast("long").alias("gone_qry"),
+            (a["stuck"] | (active & (take < n) & (other > 0))).alias("stuck"),
+        )
+
+    return F.aggregate(ops, state, step)
+
+
+def trim_to_window(df: DataFrame, window: tuple[Column, Column, Column, Column], ops: str = "ops") -> DataFrame:
+    """Trims the operations of records with tstart, tend, qstart, qend to a window (target low, high, query low, high).
+
+    ops and the four ends are replaced; ops is null where nothing is left or the window cannot be met.
+    """
+    t_low, t_high, q_low, q_high = window
+    zero = F.lit(0)
+    first = df.withColumn("_l", _trimmed(F.col(ops), F.greatest(t_low - F.col("tstart"), zero), F.greatest(q_low - F.col("qstart"), zero), True))
+    both = first.withColumn("_r", _trimmed(F.reverse("_l.rest"), F.greatest(F.col("tend") - t_high, zero), F.greatest(F.col("qend") - q_high, zero), False))
+    ends = both.withColumns({"_t": F.col("tstart") + F.col("_l.gone_ref"), "_u": F.col("tend") - F.col("_r.gone_ref"), "_q": F.col("qstart") + F.col("_l.gone_qry"), "_w": F.col("qend") - F.col("_r.gone_qry")})
+    good = (F.size("_r.rest") > 0) & (F.col("_u") > F.col("_t")) & (F.col("_w") > F.col("_q")) & (F.col("_t") >= t_low) & (F.col("_u") <= t_high) & (F.col("_q") >= q_low) & (F.col("_w") <= q_high)
+    ends = ends.withColumn("_ok", good)
+    made = {ops: F.when(F.col("_ok"), F.reverse("_r.rest"))} | {c: F.when(F.col("_ok"), F.col(x)).otherwise(F.col(c)) for c, x in (("tstart", "_t"), ("tend", "_u"), ("qstart", "_q"), ("qend", "_w"))}
+    return ends.withColumns(made).drop("_l", "_r", "_t", "_u", "_q", "_w", "_ok")

@@ -32,15 +32,18 @@ def fetch(seq: Column, start: Column, end: Column) -> Column:
 
 
 def mask(seq: Column, intervals: Column, char: str = "n", soft: bool = False) -> Column:
-    """The sequence with all (start, end) of an array of disjoint intervals masked: by ``char``, or in lower case."""
-
-    def put(s: Column, iv: Column) -> Column:
-        a = F.greatest(iv["start"], F.lit(0)).cast("int")
-        n = (F.least(iv["end"], F.length(s)) - a).cast("int")
-        inside = F.translate(F.substring(s, a + 1, n), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if soft else F.repeat(F.lit(char), n)
-        return F.when(n > 0, F.concat(F.substring(s, F.lit(1), a), inside, F.substring(s, a + n + 1, F.length(s)))).otherwise(s)
-
-    return F.aggregate(intervals, seq, put)
+    """The sequence with all (start, end) of an array of disjoint intervals masked: by ``char``, or in lower case.
+
+    The pieces between and inside the intervals are cut once and joined once, whatever their number.
+    """
+    size = F.length(seq)
+    inside = F.transform(intervals, lambda i: F.struct(F.greatest(i["start"], F.lit(0)).cast("int").alias("a"), F.least(i["end"], size).cast("int").alias("b")))
+    held = F.sort_array(F.filter(inside, lambda i: i["b"] > i["a"]))
+    low = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    part = lambda a, b: F.substring(seq, a + 1, b - a)
+    before = lambda i: F.coalesce(F.get(held, i - 1)["b"], F.lit(0))
+    pieces = F.transform(held, lambda x, i: F.concat(part(before(i), x["a"]), low(part(x["a"], x["b"])) if soft else F.repeat(F.lit(char), x["b"] - x["a"])))
+    return F.concat(F.array_join(pieces, ""), part(F.coalesce(F.try_element_at(held, F.lit(-1))["b"], F.lit(0)), size))
 
 
 def wrap(seq: Column, width: int) -> Column:

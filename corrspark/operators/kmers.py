@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrspark.functions.sequence import canonical
+from corrspark.functions.sequence import reverse_complement
 from corrspark.operators.intervals import merge
 
 
+#: Positions that one piece of a sequence covers.
+PIECE = 1 << 12
+
+
 def positions(seqs: DataFrame, by: list[str], k: int, seq: str = "seq") -> DataFrame:
     """by, pos, kmer (canonical) of all windows without N.
 
-    Windows are cut from bytes, which takes the same time anywhere in a sequence.
+    Sequences are cut into pieces that share k - 1 bases, so no row holds more positions than a piece has; a piece's
+    reverse complement is made once, and windows are cut from bytes, which takes the same time anywhere.
     """
     whole = seqs.select(*by, F.upper(seq).cast("binary").alias("_b")).where(F.octet_length("_b") >= k)
-    places = whole.select(*by, "_b", F.explode(F.sequence(F.lit(0), F.octet_length("_b") - k)).alias("pos"))
-    windows = places.select(*by, "pos", F.substring("_b", F.col("pos") + 1, F.lit(k)).cast("string").alias("_w"))
-    return windows.where(~F.col("_w").contains("N")).select(*by, "pos", canonical(F.col("_w")).alias("kmer"))
+    cuts = whole.select(*by, "_b", F.explode(F.sequence(F.lit(0), F.octet_length("_b") - k, F.lit(PIECE))).alias("_at"))
+    pieces = cuts.select(*by, "_at", F.substring("_b", F.col("_at") + 1, F.lit(PIECE + k - 1)).cast("string").alias("_s"))
+    pieces = pieces.select(*by, "_at", F.col("_s").cast("binary").alias("_b"), reverse_complement(F.col("_s")).cast("binary").alias("_rc"), F.col("_s").contains("N").alias("_n"))
+    places = pieces.select(*by, "_at", "_b", "_rc", "_n", F.explode(F.sequence(F.lit(0), F.octet_length("_b") - k)).alias("_p"))
+    window = F.substring("_b", F.col("_p") + 1, F.lit(k)).cast("string")
+    other = F.substring("_rc", F.octet_length("_rc") - k - F.col("_p") + 1, F.lit(k)).cast("string")
+    return places.where(~F.col("_n") | ~window.contains("N")).select(*by, (F.col("_at") + F.col("_p")).alias("pos"), F.least(window, other).alias("kmer"))
 
 
 def count(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -48,6 +57,20 @@ def unique_fraction(targets: DataFrame, rare: DataFrame, by: list[str], k: int,
     return joined.select(*by, F.coalesce("n_kmers", F.lit(0)).alias("n_kmers"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"), F.when(F.col("n_kmers") > 0, F.col("n_unique") / F.col("n_kmers")).alias("fraction"))
 
 
+def single_fraction(seqs: DataFrame, by: list[str], k: int, seq: str = "seq") -> DataFrame:
+    """unique_fraction() for k-mers that occur once in all of ``seqs``: one shuffle by k-mer, no join.
+
+    A k-mer that occurs once has one owner, so the least owner is the owner.
+    """
+    own = positions(seqs, by, k, seq)
+    single = own.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in by)).where("n = 1")
+    found = single.groupBy(*by).agg(F.lit(0).cast("long").alias("n_kmers"), F.count(F.lit(1)).alias("n_unique"))
+    sizes = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n_kmers"), F.lit(0).cast("long").alias("n_unique"))
+    none = seqs.select(*by, F.lit(0).cast("long").alias("n_kmers"), F.lit(0).cast("long").alias("n_unique"))
+    sums = none.unionByName(sizes).unionByName(found).groupBy(*by).agg(F.sum("n_kmers").alias("n_kmers"), F.sum("n_unique").alias("n_unique"))
+    return sums.withColumn("fraction", F.when(F.col("n_kmers") > 0, F.col("n_unique") / F.col("n_kmers")))
+
+
 def unique_runs(seqs: DataFrame, rare: DataFrame, by: list[str], k: int, seq: str = "seq") -> DataFrame:
     """by, start, end: merged stretches that rare k-mers cover."""
     hits = positions(seqs, by, k, seq).join(rare.select("kmer"), "kmer", "left_semi")

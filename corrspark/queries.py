@@ -9,6 +9,7 @@ from corrspark.functions import cigar, coords, sequence
 from corrspark.functions.labels import matches_label
 from corrspark.operators import chaining, context, intervals, kmers, matching, records, signal, sketch, uniqueness
 from corrspark.plans import substrates as sub
+from corrspark.session import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -166,7 +167,13 @@ def kmer_frequency_track(spark, sf_dir):
 @query(f"with {KMERS} select s.name, coalesce(n_kmers, 0) as n_kmers, coalesce(n_unique, 0) as n_unique, n_unique / n_kmers as fraction from seqs s left join (select name, count(*) as n_kmers, count(*) filter (n <= 1) as n_unique from km join counts using (kmer) group by name) using (name)")
 def unique_kmer_fraction(spark, sf_dir):
     seqs = sub.sequences(spark, sf_dir)
-    return kmers.unique_fraction(seqs, kmers.limited(kmers.count(seqs, 12), 1), ["name"], 12)
+    return kmers.single_fraction(seqs, ["name"], 12)
+
+
+@query(f"with {KMERS} select s.name, coalesce(n_kmers, 0) as n_kmers, coalesce(n_unique, 0) as n_unique, n_unique / n_kmers as fraction from seqs s left join (select name, count(*) as n_kmers, count(*) filter (n <= 2) as n_unique from km join counts using (kmer) group by name) using (name)")
+def rare_kmer_fraction(spark, sf_dir):
+    seqs = sub.sequences(spark, sf_dir)
+    return kmers.unique_fraction(seqs, kmers.limited(kmers.count(seqs, 12), 2), ["name"], 12)
 
 
 @query(f"with {KMERS}, hit as (select name as chrom, pos as s, pos + 12 as e from km join counts using (kmer) where n <= 1), {merged_sql('hit', 'm')} select chrom as name, s::bigint as start, e::bigint as \"end\" from m")
@@ -242,7 +249,7 @@ def percentile_index_threshold(spark, sf_dir):
 
 
 def _minima(spark, sf_dir):
-    sig = sub.masked_signal(spark, sf_dir)
+    sig = cut(sub.masked_signal(spark, sf_dir), "signal")  # thresholds, minima and islands read it
     thr = signal.percentile_threshold(sig, ["chrom"], 30)
     return sig, thr, signal.local_minima(sig, thr, ["chrom"], 20)
 
@@ -382,7 +389,10 @@ def ref_uid_dictionary(spark, sf_dir):
     return uniqueness.dictionary(_contexts(spark, sf_dir)).select("sample", "anchor_id", "ambiguous", "uid")
 
 
-@query()
+@query(
+    f"""with {TOK} select sample, chrom, list_reduce(list({{'s': s::bigint, 'e': e::bigint, 'n': 1::bigint}} order by e, s), lambda a, b: case when b.s > a.e then {{'s': b.s, 'e': b.e, 'n': a.n + 1}} else a end).n as n
+ from mus group by sample, chrom"""
+)
 def disjoint_unique_substrings(spark, sf_dir):
     mus = uniqueness.minimal_unique(_tokens(spark, sf_dir)[1], 6)
     return mus.groupBy("sample", "chrom").agg(uniqueness.disjoint_count(F.collect_list(F.struct("s", "e"))).alias("n"))
@@ -529,9 +539,21 @@ def cigar_normalize(spark, sf_dir):
     return sub.cigars(spark, sf_dir).withColumn("o", ops).select("l_orderkey", cigar.render(F.col("o")).alias("cigar"), cigar.dominant(F.col("o"))["op"].alias("longest"))
 
 
-@query()
+@query(
+    f"""with {CIG}, g as (select *, i - row_number() over (partition by l_orderkey, op order by i) as isl from ops), m as (select l_orderkey, op, isl, min(i) as i, sum(n)::bigint as n from g group by l_orderkey, op, isl),
+ t as (select l_orderkey, coalesce(sum(n) filter (where op in ('=', 'X')), 0) as mx, coalesce(sum(n) filter (where op = 'I'), 0) as ins, coalesce(sum(n) filter (where op = 'X'), 0) as x, string_agg(n || op, '' order by i) as raw, string_agg(op, '' order by i) as shape from m group by l_orderkey),
+ d as (select l_orderkey, min(i) as spot from (select *, rank() over (partition by l_orderkey order by n desc) as r from m where op = 'I') where r = 1 group by l_orderkey),
+ l as (select m.l_orderkey, coalesce(sum(n) filter (where op in ('=', 'X') and i < spot), 0) as lft from m join d using (l_orderkey) group by m.l_orderkey),
+ s as (select t.*, coalesce(lft, 0) as lft, mx - coalesce(lft, 0) as rgt, ins >= 100 and x <= 200 as simple from t left join l using (l_orderkey)),
+ c as (select *, (simple or shape = '=I=') and lft >= 20 and rgt >= 20 as cuts, case when simple then '1I' else 'raw' end as mode from s)
+ select l_orderkey, mode, null::int as half, null::int as hidden, 0::bigint as tstart, mx::bigint as tend, 0::bigint as qstart, (mx + ins)::bigint as qend,
+  case when simple then (case when lft > 0 then lft || '=' else '' end) || ins || 'I' || (case when rgt > 0 then rgt || '=' else '' end) else raw end as cigar from c where not cuts
+ union all select l_orderkey, mode, 0, ins::int, 0, lft::bigint, 0, lft::bigint, lft || '=' from c where cuts
+ union all select l_orderkey, mode, 1, ins::int, (mx - rgt)::bigint, mx::bigint, (mx + ins - rgt)::bigint, (mx + ins)::bigint, rgt || '=' from c where cuts"""
+)
 def cigar_simplify_split(spark, sf_dir):
-    rows = sub.cigars(spark, sf_dir).withColumn("s", cigar.simplify("cigar")).select("l_orderkey", F.col("s.cigar").alias("cigar"), "s.mode")
+    rows = sub.cigars(spark, sf_dir).withColumn("o", cigar.normalize(cigar.parse(F.col("cigar")))).withColumn("s", cigar.simplify(F.col("o")))
+    rows = rows.select("l_orderkey", cigar.render(F.col("s.ops")).alias("cigar"), "s.mode")
     n = cigar.parse(F.col("cigar"))
     placed = rows.withColumns({"tname": F.lit("t"), "qname": F.lit("q"), "strand": F.lit("+"), "tstart": F.lit(0).cast("long"), "tend": cigar.reference_bases(n), "qstart": F.lit(0).cast("long"), "qend": cigar.query_bases(n), "nmatch": cigar.matches(n), "alen": cigar.alignment_length(n)})
     return records.split_insertions(placed, 20).select("l_orderkey", "mode", "half", "hidden", "tstart", "tend", "qstart", "qend", "cigar")

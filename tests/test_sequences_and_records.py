@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from corrspark.functions import cigar, sequence, text
@@ -41,10 +44,74 @@ def test_cigars(spark):
     assert [one(spark, f(ops)) for f in (cigar.reference_bases, cigar.query_bases, cigar.matches, cigar.alignment_length)] == [17, 18, 10, 20]
     assert one(spark, cigar.parse(F.lit("10=Z"))) is None and one(spark, cigar.parse(F.lit("0="))) is None and one(spark, cigar.parse(F.lit(""))) is None
     assert one(spark, cigar.render(cigar.normalize(cigar.parse(F.lit("5M5=2I3I1X"))))) == "10=5I1X"
-    df = spark.createDataFrame([("600=150I10X600=",), ("5=",)], "c string").select(cigar.simplify("c").alias("s")).select("s.*")
-    assert [tuple(r) for r in df.collect()] == [("600=150I610=", "1I"), ("5=", "none")]
-    t = spark.createDataFrame([("10=2D10=", 3, 3, 4, 4), ("5=", 9, 9, 0, 0)], "c string, a int, b int, d int, e int")
-    assert [r["x"] for r in t.select(cigar.trim("c", "a", "b", "d", "e").alias("x")).collect()] == ["7=2D6=", None]
+    df = spark.createDataFrame([("600=150I10X600=",), ("5=",), ("10D600=150I10X600=",), ("5=120D5=3X",), ("300X150I5=",)], "c string")
+    got = df.withColumn("o", cigar.normalize(cigar.parse(F.col("c")))).select(cigar.simplify(F.col("o")).alias("s")).select(cigar.render(F.col("s.ops")).alias("c"), "s.mode").collect()
+    assert [tuple(r) for r in got] == [("600=150I610=", "1I"), ("5=", "raw"), ("600=140I620=", "1I"), ("5=120D8=", "1D"), ("300X150I5=", "raw")]
+
+
+def plain_trim(ops, t, q, window):
+    """Takes one base after the other from the ends, by the stated rule."""
+    (ts, te), (qs, qe) = t, q
+    t_low, t_high, q_low, q_high = window
+    gone = []
+    for side, (need_t, need_q) in enumerate(((max(0, t_low - ts), max(0, q_low - qs)), (max(0, te - t_high), max(0, qe - q_high)))):
+        held, gt, gq = (ops if side == 0 else ops[::-1]), 0, 0
+        held = list(held)
+        while held and (need_t > 0 or need_q > 0):
+            n, op = held[0]
+            if op in "=MX":
+                k = min(n, max(need_t, need_q))
+            else:
+                own = need_t if op == "D" else need_q
+                k = min(n, max(own, 0))
+                if k == 0:
+                    if side:
+                        return None
+                    k = n
+            gt, gq = gt + k * (op != "I"), gq + k * (op != "D")
+            need_t, need_q = need_t - k * (op != "I"), need_q - k * (op != "D")
+            held[:1] = [(n - k, op)] if k < n else []
+        ops = held if side == 0 else held[::-1]
+        gone.append((gt, gq))
+    ends = ts + gone[0][0], te - gone[1][0], qs + gone[0][1], qe - gone[1][1]
+    good = ops and ends[0] < ends[1] and ends[2] < ends[3] and t_low <= ends[0] and ends[1] <= t_high and q_low <= ends[2] and ends[3] <= q_high
+    return ("".join(f"{n}{op}" for n, op in ops), *ends) if good else None
+
+
+def test_trim_to_window(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for i in range(150):
+        ops = [(rng.randint(1, 9), rng.choice("==XID")) for _ in range(rng.randint(1, 9))]
+        ref, qry = sum(n for n, op in ops if op != "I"), sum(n for n, op in ops if op != "D")
+        window = (100 + rng.randint(-1, 6), 100 + ref - rng.randint(-1, 6), 200 + rng.randint(-1, 6), 200 + qry - rng.randint(-1, 6))
+        rows.append((i, "".join(f"{n}{op}" for n, op in ops), 100, 100 + ref, 200, 200 + qry, *window))
+        want.append(plain_trim(ops, (100, 100 + ref), (200, 200 + qry), window))
+    df = spark.createDataFrame(rows, "i int, c string, tstart long, tend long, qstart long, qend long, a long, b long, d long, e long").withColumn("ops", cigar.parse(F.col("c")))
+    out = cigar.trim_to_window(df, tuple(F.col(x) for x in "abde")).orderBy("i").select(cigar.render(F.col("ops")).alias("c"), "tstart", "tend", "qstart", "qend").collect()
+    got = [tuple(r) if r["c"] is not None else None for r in out]
+    assert got == want and sum(x is not None for x in want) > 30
+
+
+def test_masks_of_many_intervals(spark):
+    seq = "ACGTN" * 40
+    ivs = [(a, a + 2) for a in range(0, 200, 7)] + [(-5, 0), (199, 300)]
+    plain = "".join("n" if any(a <= i < b for a, b in ivs) else c for i, c in enumerate(seq))
+    df = spark.createDataFrame([(seq, ivs[::-1])], "s string, iv array<struct<start:int,end:int>>")
+    assert df.select(sequence.mask(F.col("s"), F.col("iv"))).first()[0] == plain
+    assert df.select(sequence.mask(F.col("s"), F.col("iv"), soft=True)).first()[0] == "".join(c.lower() if p == "n" else c for c, p in zip(seq, plain))
+
+
+def test_kmers_across_pieces(spark):
+    rng = random.Random(5)
+    seq = "".join(rng.choice("ACGTACGTACGTN") for _ in range(9000))
+    turn = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {(p, min(seq[p : p + 11], turn(seq[p : p + 11]))) for p in range(len(seq) - 10) if "N" not in seq[p : p + 11]}
+    df = spark.createDataFrame([("a", seq), ("b", "ACG"), ("c", None)], "name string, seq string")
+    assert {(r["pos"], r["kmer"]) for r in kmers.positions(df, ["name"], 11).collect()} == want
+    got = {r["name"]: tuple(r)[1:] for r in kmers.single_fraction(df, ["name"], 11).collect()}
+    once = sum(n == 1 for n in Counter(k for _, k in want).values())
+    assert got == {"a": (len(want), once, once / len(want)), "b": (0, 0, None), "c": (0, 0, None)}
 
 
 def test_split_insertion(spark):
