@@ -553,7 +553,8 @@ def cigar_normalize(spark, sf_dir):
 )
 def cigar_simplify_split(spark, sf_dir):
     rows = sub.cigars(spark, sf_dir).withColumn("o", cigar.normalize(cigar.parse(F.col("cigar")))).withColumn("s", cigar.simplify(F.col("o")))
-    rows = rows.select("l_orderkey", cigar.render(F.col("s.ops")).alias("cigar"), "s.mode")
+    # written, so that what follows does not repeat the folds in each of its conditions
+    rows = cut(rows.select("l_orderkey", cigar.render(F.col("s.ops")).alias("cigar"), "s.mode"), "simplified")
     n = cigar.parse(F.col("cigar"))
     placed = rows.withColumns({"tname": F.lit("t"), "qname": F.lit("q"), "strand": F.lit("+"), "tstart": F.lit(0).cast("long"), "tend": cigar.reference_bases(n), "qstart": F.lit(0).cast("long"), "qend": cigar.query_bases(n), "nmatch": cigar.matches(n), "alen": cigar.alignment_length(n)})
     return records.split_insertions(placed, 20).select("l_orderkey", "mode", "half", "hidden", "tstart", "tend", "qstart", "qend", "cigar")
