@@ -2,9 +2,9 @@
 
 The network is trained in numpy from spans that the patterns label in a bounded sample of documents, and from the same
 spans written otherwise (an at sign spelled out, a number without its country code), which the patterns miss. Whole texts
-are covered by overlapping windows, whose scores are blended where they overlap. Zones in which no path through another
-tag than "outside" can pay are settled by a bound; over each run of other zones one Viterbi path is decoded, so a span is
-found once, whatever windows it lies in. Gates are clipped lines and squashing is x / (1 + |x|), which numpy does fast.
+are covered by overlapping windows, whose scores are blended where they overlap. Characters that a bound shows to be outside
+on the best path are settled by it; over each run of others one Viterbi path is decoded, so the result is the best path
+of the whole text, whatever windows a span lies in. Gates are clipped lines and squashing is x / (1 + |x|), which numpy does fast.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ LABELLED = "@|[0-9][0-9.() -]{6}"
 #: Tags: 0 outside, then begin and inside of each kind.
 N_TAGS = 1 + 2 * len(KINDS)
 CLASSES = 64
-#: What a character has to lose at least to be left out of the decoding.
-MARGIN = 0.3
+#: Characters of a piece of a long run.
+PIECE = 1024
 #: Keeps cells whose input gate is shut from decaying to subnormal numbers, which processors are slow with.
 TINY = np.float32(1e-15)
 
@@ -308,6 +308,64 @@ class Tagger:
             last = np.where(inside & (t > 0), back[t, last, rows], last)
         return [path[i, :s] for i, s in enumerate(sizes)]
 
+    def _forward(self, by_time: np.ndarray, now: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """Best sums at the last of (time, tags, batch) scores, from ``now`` at the first; fills in the moves taken."""
+        moves = self.w["moves"]
+        step, better = np.empty_like(now), np.empty(now.shape, bool)
+        for t in range(1, len(by_time)):
+            top = now[0] + moves[0][:, None]
+            for k in range(1, N_TAGS):
+                np.add(now[k], moves[k][:, None], out=step)
+                if back is not None:
+                    np.greater(step, top, out=better)
+                    np.copyto(back[t], k, where=better)
+                np.maximum(top, step, out=top)
+            now = top + by_time[t]
+        return now
+
+    def decode_long(self, scores: np.ndarray, size: int = 0) -> np.ndarray:
+        """Best tags of one long sequence of (time, tags) scores.
+
+        Pieces are run side by side from each tag that may come before them, then linked by their best ends, and then
+        run again from the tag that was chosen.
+        """
+        size = size or PIECE
+        moves, n = self.w["moves"], len(scores)
+        count = n // size
+        body = np.ascontiguousarray(scores[: count * size].reshape(count, size, N_TAGS).transpose(1, 2, 0))
+        value = self._forward(body[:, :, :1], body[0, :, :1])[:, 0].astype(np.float64)
+        chosen = np.zeros((count, N_TAGS), np.int64)
+        for a in range(1, count, 64):
+            own = body[:, :, a : a + 64]
+            first = (moves.T[:, None, :] + own[0][:, :, None]).reshape(N_TAGS, -1)
+            ends = self._forward(np.repeat(own, N_TAGS, axis=2), first).reshape(N_TAGS, -1, N_TAGS).transpose(1, 2, 0)
+            for c, end in enumerate(ends, a):
+                every = value[:, None] + end
+                chosen[c], value = every.argmax(axis=0), every.max(axis=0)
+        path = np.zeros(n, np.int8)
+        last = int(value.argmax())
+        if count * size < n:
+            rest = scores[count * size :, :, None]
+            enter = value[:, None] + moves
+            back = np.zeros(rest.shape, np.int8)
+            tag = int(self._forward(rest, (enter.max(axis=0) + scores[count * size])[:, None], back)[:, 0].argmax())
+            for t in range(len(rest) - 1, -1, -1):
+                path[count * size + t] = tag
+                tag = int(back[t, tag, 0]) if t else tag
+            last = int(enter[:, tag].argmax())
+        exits = np.zeros(count, np.int64)
+        for c in range(count - 1, -1, -1):
+            exits[c], last = last, int(chosen[c, last])
+        first = body[0].copy()
+        first[:, 1:] += moves[exits[:-1]].T
+        back = np.zeros(body.shape, np.int8)
+        self._forward(body, first, back)
+        tags, every = exits, np.arange(count)
+        for t in range(size - 1, -1, -1):
+            path[t : count * size : size] = tags
+            tags = back[t, tags, every]
+        return path
+
 
 def _spans(tags: np.ndarray, start: int) -> list[tuple[int, int, int]]:
     found, kind, begin = [], -1, 0
@@ -346,59 +404,79 @@ def _zones(texts: list[str], tagger: Tagger, most: int = 1200) -> Iterator[tuple
 
 
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) of what the network finds in each text."""
+    """(kind, start, end) of what the network finds in each text: those of the best path over the whole text.
+
+    ``u`` bounds what a character adds to a stretch of other tags over staying outside. A stretch that gains less than
+    ``need`` does not pay. Where the best sum that ends at a character is below ``barrier``, going on from it is worse than
+    beginning after it, so it is outside on the best path; only runs between such characters that may pay are decoded.
+    """
     stride, moves = tagger.rules.stride, tagger.w["moves"]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     lengths = np.array([len(t) for t in texts])
-    # What a stretch of other tags can gain over staying outside, besides its scores: from each step within, and at its ends.
-    within, ends_gain = float(moves[1:, 1:].max() - moves[0, 0]), float(moves[0, 1:].max() + moves[1:, 0].max() - 2 * moves[0, 0])
-    need = within - ends_gain  # the least sum of (score + within) over a stretch that pays
-    level = min(0.0, need) - within - MARGIN
-    # so many characters that each lose more than the margin outweigh any difference between moves
-    pad = min(stride, 2 + int((moves.max() - moves.min()) / MARGIN))
-    held, runs = None, []
+    stay = float(moves[0, 0])
+    within, enter, leave = float(moves[1:, 1:].max() - stay), float(moves[0, 1:].max() - stay), float(moves[1:, 0].max() - stay)
+    need = within - enter - leave - 1e-3
+    barrier = within - enter - float((moves[1:, 1:] - moves[0, 1:]).max()) - 1e-3
+    barrier = min(barrier, need - 1e-3)
+    held, carry, runs = None, 0.0, []
     for owner, place, zones in _zones(texts, tagger):
-        best = (zones[:, 1:].max(axis=1) - zones[:, 0]).T
-        alive = best >= level
-        pays = np.maximum(best + within, 0).ravel()
         if held is not None:
-            owner, place, alive, pays = np.concatenate([held[0], owner]), np.concatenate([held[1], place]), np.concatenate([held[2], alive]), np.concatenate([held[3], pays])
-            zones = np.concatenate([held[4], zones], axis=2)
-        there = np.flatnonzero(alive.ravel())
-        starts, stops = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(there):
-            first = np.flatnonzero(place == 0)
-            begins = np.concatenate([[0], first * stride])[np.searchsorted(first, there // stride, "right")]
-            sizes = lengths[owner[there // stride]]
-            ends = np.minimum((there // stride) * stride - place[there // stride] + sizes, alive.size)  # of the text, or what there is of it
-            low, high = np.maximum(there - pad, begins), np.minimum(there + 1 + pad, ends)
-            apart = np.flatnonzero((low[1:] > high[:-1]) | (begins[1:] != begins[:-1])) + 1
-            starts, stops = low[np.concatenate([[0], apart])], high[np.concatenate([apart - 1, [len(high) - 1]])]
-            sums = np.concatenate([[0.0], np.cumsum(pays, dtype=np.float64)])
-            open_end = stops == alive.size  # may go on
-            able = (sums[stops] - sums[starts] >= need - 1e-3) | open_end
-            starts, stops = starts[able], stops[able]
-        ended = place[-1] + stride >= len(texts[owner[-1]])
-        keep = len(owner) if ended else len(owner) - 1
-        if not ended and len(stops) and stops[-1] > keep * stride - pad:
-            keep = int(starts[-1]) // stride
-        while len(cut_through := starts[(starts < keep * stride) & (stops > keep * stride)]):
-            keep = int(cut_through[0]) // stride
-        done = stops <= keep * stride
+            owner, place = np.concatenate([held[0], owner]), np.concatenate([held[1], place])
+            zones = np.concatenate([held[2], zones], axis=2)
+        at = place[:, None] + np.arange(stride)
+        sizes = lengths[owner][:, None]
+        u = (zones[:, 1:].max(axis=1) - zones[:, 0]).T.astype(np.float64) + within
+        u[at == 0] += max(0.0, -enter)
+        u[at == sizes - 1] += max(0.0, -leave)
+        u[at >= sizes] = 0
+        u[0, 0] += max(0.0, carry)
+        flat_u, first = u.ravel(), (at == 0).ravel()
+        first[0] = True
+        after = np.cumsum(flat_u)
+        before = after - flat_u
+        apart = (float(np.ptp(before)) + 1) * np.cumsum(first)  # the least sum is sought within a text only
+        best = after - (np.minimum.accumulate(before - apart) + apart)
+        outside = (best <= barrier) | (at >= sizes).ravel()
+        inside = np.flatnonzero(~outside)
+        if len(inside):
+            new = np.concatenate([[True], (inside[1:] > inside[:-1] + 1) | first[inside[1:]]])
+            starts, stops = inside[new], inside[np.concatenate([new[1:], [True]])] + 1
+            most = np.maximum.reduceat(best[inside], np.flatnonzero(new))
+        else:
+            starts, stops, most = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        keep = len(owner)
+        if place[-1] + stride < lengths[owner[-1]]:
+            low = int(starts[-1]) if len(stops) and stops[-1] == flat_u.size else flat_u.size
+            keep = max(low - 1, 0) // stride  # the character before a run is needed as well
+            while len(across := starts[(starts <= keep * stride) & (stops > keep * stride) & (starts > 0)]):
+                keep = (int(across[0]) - 1) // stride
+            keep = 0 if len(starts) and starts[0] == 0 and stops[0] > keep * stride else keep
+        done = (most >= need) & (stops <= keep * stride)
         flat = zones.transpose(2, 0, 1).reshape(-1, N_TAGS) if done.any() else None
         for a, b in zip(starts[done].tolist(), stops[done].tolist(), strict=True):
-            runs.append((int(owner[a // stride]), int(place[a // stride]) + a % stride, flat[a:b].copy()))
-        held = None if keep == len(owner) else (owner[keep:], place[keep:], alive[keep:], pays[keep * stride :], zones[:, :, keep:].copy())
+            text = int(owner[a // stride])
+            start = int(place[a // stride]) + a % stride
+            pad = int(start > 0), int(start + b - a < lengths[text])
+            own = flat[a - pad[0] : b + pad[1]].copy()
+            for edge in [0] * pad[0] + [-1] * pad[1]:
+                own[edge, 1:] = -1e6  # known to be outside
+            runs.append((text, start - pad[0], own))
+        held = None if keep == len(owner) else (owner[keep:], place[keep:], zones[:, :, keep:].copy())
+        carry = float(best[keep * stride - 1]) if held is not None and keep and place[keep] else carry if held is not None and not keep else 0.0
     runs.sort(key=lambda r: len(r[2]))
     at = 0
     while at < len(runs):
         part = [r for r in runs[at : at + 512] if len(r[2]) <= 16 + 1.3 * len(runs[at][2])]
         at += len(part)
-        sizes = np.array([len(r[2]) for r in part])
-        scores = np.zeros((len(part), sizes[-1], N_TAGS), np.float32)
-        for own, (_, _, x) in zip(scores, part, strict=True):
-            own[: len(x)] = x
-        for (text, start, _), path in zip(part, tagger.decode(scores, sizes), strict=True):
+        if len(part[0][2]) > 2 * PIECE:
+            paths = [tagger.decode_long(x) for _, _, x in part]
+        else:
+            sizes = np.array([len(r[2]) for r in part])
+            scores = np.zeros((len(part), sizes[-1], N_TAGS), np.float32)
+            for own, (_, _, x) in zip(scores, part, strict=True):
+                own[: len(x)] = x
+            paths = tagger.decode(scores, sizes)
+        for (text, start, _), path in zip(part, paths, strict=True):
             if path.any():
                 found[text] += _spans(path, start)
     return [sorted(x, key=lambda s: s[1]) for x in found]

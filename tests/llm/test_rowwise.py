@@ -204,3 +204,32 @@ def test_personal_data_rows(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[950]["n_email"] == 1 and "email:5:19" in by[950]["spans"] and by[951]["n_ip"] == 1
     assert pii.find_personal_data(empty(spark)).count() == 0
+
+
+def test_personal_data_paths_are_the_best_of_whole_texts():
+    rng = np.random.default_rng(3)
+    marks = list("ab 01.@+()-\n")
+    for seed in range(6):
+        tagger = pii.Tagger(pii.TaggerRules(seed=seed))
+        tagger.w["out"] *= 3
+        tagger.w["moves"] = rng.normal(0, 1, tagger.w["moves"].shape).astype(np.float32)
+        tagger.w["moves"][0, 1:] -= seed / 2
+        tagger.w["bias"][0] += seed
+        texts = ["".join(rng.choice(marks, n)) for n in (0, 1, 79, 80, 81, 160, 700, 5000, 130_000 if seed in (0, 3, 5) else 3)] + ["", "a"]
+        whole = [np.zeros((len(t), pii.N_TAGS), np.float32) for t in texts]
+        for owner, place, zones in pii._zones(texts, tagger):
+            for o, p, z in zip(owner, place, zones.transpose(2, 0, 1), strict=True):
+                whole[o][p : p + 80] = z[: len(texts[o]) - p]
+        found = pii.model_spans(texts, tagger)
+        for text, scores, spans in zip(texts, whole, found, strict=True):
+            best = tagger.decode(scores[None], np.array([len(text)]))[0] if text else np.zeros(0, np.int8)
+            assert spans == pii._spans(best, 0)
+
+
+def test_personal_data_long_runs_decode_as_short_ones():
+    tagger = pii.Tagger(pii.TaggerRules())
+    rng = np.random.default_rng(4)
+    tagger.w["moves"] = rng.normal(0, 2, tagger.w["moves"].shape).astype(np.float32)
+    for n in (8, 16, 17, 100, 1111):
+        scores = rng.normal(0, 1, (n, pii.N_TAGS)).astype(np.float32)
+        assert (tagger.decode_long(scores, 8) == tagger.decode(scores[None], np.array([n]))[0]).all()
