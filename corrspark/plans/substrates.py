@@ -52,7 +52,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 60_000_000).cast("double")
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("int").alias("chrom"), minutes.alias("ref_center"), (minutes + F.col("value") / 10).alias("qry_center"), F.col("event_id").alias("rid"), F.col("event_id").alias("qid"))
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 20).alias("chrom"), minutes.alias("ref_center"), (minutes + F.col("value") / 10).alias("qry_center"), F.col("event_id").alias("rid"), F.col("event_id").alias("qid"))
 
 
 def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -453,7 +453,7 @@ def conflict_expand_assign(spark, sf_dir):
 
 # --- chains --------------------------------------------------------------------------------------------------------
 
-LNK = "lnk as (select (user_id % 10)::int as chrom, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::double as r, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::double + value / 10 as q, event_id as rid from events)"
+LNK = "lnk as (select user_id // 20 as chrom, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::double as r, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::double + value / 10 as q, event_id as rid from events)"
 CHAIN = f"""recursive {LNK}, o as (select *, row_number() over (partition by chrom order by r, q, rid) as i from lnk),
  st(chrom, i, r, q, skip, chain, kept) as (select chrom, i, r, q, 0, 0, true from o where i = 1 union all
   select o.chrom, o.i, case when ok or st.skip >= 5 then o.r else st.r end, case when ok or st.skip >= 5 then o.q else st.q end, case when ok or st.skip >= 5 then 0 else st.skip + 1 end, case when not ok and st.skip >= 5 then st.chain + 1 else st.chain end, ok or st.skip >= 5
