@@ -40,15 +40,18 @@ def distinct_names(names: list[str]) -> list[str]:
 
 
 def expand_inputs(values: list[str]) -> list[str]:
-    """Paths from repeated, quoted or comma-joined values, glob patterns (sorted) and @files with a path on each line."""
+    """Paths from repeated, quoted or joined values (by commas or blanks), glob patterns and @files with a path on each line.
+
+    What a pattern finds is sorted; a pattern that finds nothing stays as it is, so that the reader reports it.
+    """
     out: list[str] = []
     for value in values:
-        for part in (p.strip().strip("'\"") for p in value.split(",")):
+        for part in (p.strip("'\"") for p in re.split(r"[,\s]+", value)):
             if part.startswith("@"):
                 with open(part[1:]) as lines:
                     out += expand_inputs([x.split("#")[0].strip() for x in lines if x.split("#")[0].strip()])
             elif any(c in part for c in "*?["):
-                out += sorted(glob.glob(part))
+                out += sorted(glob.glob(part)) or [part]
             elif part:
                 out.append(part)
     return list(dict.fromkeys(out))

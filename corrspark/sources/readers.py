@@ -110,9 +110,10 @@ def clusters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def blast6(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Tabular hits; four columns are enough, further ones that a row lacks are null."""
     names = ["qseqid", "sseqid", "pident", "length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "evalue", "bitscore"]
     kinds = ["string", "string", "double", "long", "long", "long", "long", "long", "long", "long", "double", "double"]
-    return _fields(spark, paths).where("size(c) >= 12").select(*[_at(i).try_cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))]).where("length is not null")
+    return _fields(spark, paths).where("size(c) >= 4").select(*[_at(i).try_cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))]).where("length is not null")
 
 
 def families(spark: SparkSession, paths: str | list[str]) -> DataFrame:

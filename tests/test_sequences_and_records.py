@@ -155,3 +155,17 @@ def test_names(tmp_path):
     assert text.sample_and_base("x/s1/b.bed", ".bed") == ("s1", "b")
     (tmp_path / "l").write_text("p # c\n\nq\n")
     assert text.expand_inputs(["'a',b", f"@{tmp_path}/l"]) == ["a", "b", "p", "q"]
+
+
+def test_inputs_and_short_hit_tables(spark, tmp_path):
+    from corrspark.functions.text import expand_inputs
+    from corrspark.sources import readers
+
+    for name in ("b.fa", "a.fa"):
+        (tmp_path / name).write_text(">x\nA\n")
+    (tmp_path / "list").write_text("one.fa # first\n\n two.fa\n")
+    given = [f"{tmp_path}/*.fa,c.fa", "'d.fa' e.fa", "none*.fa", f"@{tmp_path}/list", "c.fa"]
+    assert expand_inputs(given) == [f"{tmp_path}/a.fa", f"{tmp_path}/b.fa", "c.fa", "d.fa", "e.fa", "none*.fa", "one.fa", "two.fa"]
+    (tmp_path / "hits").write_text("q1\ts1\t99.5\t120\nq2\ts2\t90\n# note\nq3\ts3\t80.0\t7\t0\t0\t1\t7\t2\t8\t1e-5\t40\n")
+    rows = readers.blast6(spark, str(tmp_path / "hits")).orderBy("qseqid").collect()
+    assert [(r["qseqid"], r["pident"], r["length"], r["send"]) for r in rows] == [("q1", 99.5, 120, None), ("q3", 80.0, 7, 8)]
