@@ -43,7 +43,8 @@ class PackingRules:
     sweeps: int = 60
 
 
-#: Marks that the tokenizers here keep apart from letters, so that a word's ids are those of its letters and of its last marks.
+#: Marks that the tokenizers here keep apart from letters and digits, so that the ids of a word are those of what ends in one and of
+#: the marks after it. Marks after any other character may be one piece with it, so such a word is encoded whole.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -73,14 +74,21 @@ class WordEncoder(dict):
         self._added = re.compile(b"|".join(added)).search if added else lambda _: None
         # whether letters stay letters, lower-cased, and marks after them make a piece of their own
         alphabet = "abcdefghijklmnopqrstuvwxyz"
-        clean = self._whole.normalizer.normalize_str if self._whole.normalizer else str
-        self._plain = clean(alphabet.upper()) == alphabet and all([x for x, _ in self._split(alphabet + mark)] == [alphabet, mark] for mark in MARKS.decode())
+        self._clean = self._whole.normalizer.normalize_str if self._whole.normalizer else str
+        self._plain = self._clean(alphabet.upper()) == alphabet and all([x for x, _ in self._split(alphabet + mark)] == [alphabet, mark] for mark in MARKS.decode())
+
+    def _apart(self, core: bytes) -> bool:
+        """Whether marks after ``core`` are a piece of their own: it ends in a letter or digit, and still does when normalised."""
+        if core[-1:].isalnum():  # ASCII
+            return True
+        last = self._clean(core.decode()[-1:])
+        return unicodedata.category(last[-1:] or " ")[0] in "LN"
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(MARKS)
         if not self._plain or self._added(word):
             ids = self._whole.encode(word.decode(), add_special_tokens=False).ids
-        elif core and len(core) < len(word):
+        elif core and len(core) < len(word) and self._apart(core):
             self[word] = found = self[core] + self[word[len(core) :]]
             return found
         elif word.isalpha():  # ASCII letters

@@ -1,6 +1,7 @@
 """Packing, decontamination, language-model scores, URL filter and the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -47,6 +48,18 @@ def test_words_are_encoded_like_texts():
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_mixed_marks_are_encoded_like_texts():
+    encoder = packing.WordEncoder(packing.PackingRules())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["“hello”.", "he said “yes”, then", "«oui».", "wait…!", "1°.", "20 £,", "日本。.", "«да»,", "İ! x\u0302! ½. Ⅳ, ²)", "e\u0301. =\u0338.", "한\u1100\u1161. ﬁ."]
+    rng = random.Random(5)
+    alphabet = list("abzAZ09 \n\t") + list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + list("“”«»…°£€–—’。、「」¿¡·×÷éßøдяΣςאبक日本한글①²½Ⅳ") + ["\u0301", "\u0302", "\u0338", "\u200d", "\u00a0", "\u2003", "\u3000", "😀", "İ", "ſ", "<|endoftext|>"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    texts += ["".join(chr(c) for c in (rng.randrange(1, 0x3100) for _ in range(rng.randint(1, 8))) if not 0xD800 <= c < 0xE000) + rng.choice(("", ".", "),", "!?")) for _ in range(20_000)]
+    different = [t for t, got in zip(texts, encoder.encode([t.encode() for t in texts])) if np.frombuffer(got, "<u4").tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert different == []
+
+
 def test_plan_uses_up_the_histogram():
     rng = np.random.default_rng(0)
     for _ in range(20):
