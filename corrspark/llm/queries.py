@@ -4,6 +4,7 @@ from corrspark.llm.decontaminate import op10_decontamination
 from corrspark.llm.linededup import op1_line_dedup
 from corrspark.llm.lmscore import op6_lm_score
 from corrspark.llm.neardup import op4_near_dedup
+from corrspark.llm.negatives import OP13_SQL, op13_hard_negatives
 from corrspark.llm.packing import op7_packing
 from corrspark.llm.pii import op5_personal_data
 from corrspark.llm.quality import op3_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": OP13_SQL}
