@@ -1,5 +1,6 @@
 """The corpus operators' queries and, where SQL can express one, its SQL."""
 
+from corrspark.llm.classifier import op12_quality_classifier
 from corrspark.llm.decontaminate import op10_decontamination
 from corrspark.llm.linededup import op1_line_dedup
 from corrspark.llm.lmscore import op6_lm_score
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
