@@ -66,7 +66,7 @@ def _matrix(kinds: list[str], blobs: list[bytes]) -> np.ndarray:
 
 
 def _products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact products of rows, as doubles where these are exact, else as Python's whole numbers."""
+    """Exact products of rows, as doubles where these are exact, else as Python's whole numbers, cut to what a long holds."""
     width = min(p.shape[1], q.shape[1])
     p, q = p[:, :width], q[:, :width]
     if width == 0:
@@ -74,7 +74,7 @@ def _products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     if float(np.abs(p).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < _EXACT:
         return p @ q.T
     whole = lambda x: np.array([[int(v) for v in r] for r in x], object).reshape(x.shape)
-    return whole(p) @ whole(q).T
+    return np.clip(whole(p) @ whole(q).T, -_LONG, _LONG)
 
 
 class Bucket:
@@ -248,7 +248,7 @@ def _tiles(anchors: DataFrame, held: DataFrame, key: list[str], most: int, same:
                 bucket = Bucket(row["label"], ids, np.frombuffer(row["matrix"], row["kind"]).astype(float).reshape(len(ids), row["width"]))
                 search.compare(bucket, places[(labels == bucket.label) == same])
             for aid, best in zip(own["aid"], search.best, strict=True):
-                out += [(aid, slot, i, max(-_LONG, min(_LONG, -s))) for slot, found in enumerate(best) for s, i in found]
+                out += [(aid, slot, i, -s) for slot, found in enumerate(best) for s, i in found]
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["aid", "slot", "partner", "score"])
 
@@ -274,7 +274,7 @@ def mine(embeddings: DataFrame, m: Mining = Mining()) -> DataFrame:
 
     Rows with a null id, label or vector, or with a null or non-finite component, take no part. Of vectors of different sizes
     the shorter counts as if it ended in zeros. Repeated rows count each as partners and once as anchors; a row is no partner of
-    its own vec_id. Products beyond 64 bits are compared exactly and come out as the greatest or least long. Anchors without
+    its own vec_id. Products beyond 64 bits count as the greatest long, or its negative. Anchors without
     a positive, and positives without a negative, give no rows; an empty table gives an empty table. Other columns are not read.
     """
     c = F.col

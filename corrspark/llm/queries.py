@@ -1,5 +1,6 @@
 """The corpus operators' queries and, where SQL can express one, its SQL."""
 
+from corrspark.llm.balltree import OP11_SQL, op11_ranked_search
 from corrspark.llm.classifier import op12_quality_classifier
 from corrspark.llm.decontaminate import op10_decontamination
 from corrspark.llm.linededup import op1_line_dedup
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op13_hard_negatives": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_ranked_search": OP11_SQL, "op13_hard_negatives": OP13_SQL}
