@@ -495,28 +495,6 @@ def merge_parallel_bundles(spark, sf_dir):
     return chaining.emit(chaining.merge_parallel(_bundles(spark, sf_dir), ["chrom"], 0.5, 600.0, 600.0, 5000.0), ["chrom"])
 
 
-def _refine_inputs(spark, sf_dir):
-    q, r = _signed(spark, sf_dir)
-    _, choices = _choices(spark, sf_dir)
-    done = matching.assign(q, choices, [1, 2])
-    pairs = done.where("status = 'assign'").select("qid", "rid")
-    items = pairs.join(q.select(F.col("anchor_id").alias("qid"), F.col("center").alias("qry_center"), "chrom"), "qid").join(r.select(F.col("anchor_id").alias("rid"), F.col("center").alias("ref_center"), F.col("chrom").alias("_rc")), "rid").where("chrom = _rc").drop("_rc")
-    bundles = chaining.bundle_stats(chaining.chain(items, ["chrom"], 20_000, 20_000, (0.1, 10)), ["chrom"])
-    return q, r, bundles, pairs
-
-
-@query()
-def gap_refine(spark, sf_dir):
-    q, r, bundles, pairs = _refine_inputs(spark, sf_dir)
-    return matching.refine_gaps(q, r, bundles, pairs, [1, 2])
-
-
-@query()
-def around_refine(spark, sf_dir):
-    q, r, bundles, pairs = _refine_inputs(spark, sf_dir)
-    return matching.refine_around(q, r, bundles.where("slope_med is not null"), pairs, [1_000, 5_000], [1, 2], {"gap_ref": 20_000, "gap_qry": 20_000, "slope": (0.1, 10)}, 1.0)
-
-
 # --- records -------------------------------------------------------------------------------------------------------
 
 CIG = """cig as (select l_orderkey, string_agg(cast(l_quantity as int) || case l_returnflag when 'A' then '=' when 'N' then 'I' else 'X' end, '' order by l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int), case l_returnflag when 'A' then '=' when 'N' then 'I' else 'X' end) as cigar from lineitem group by l_orderkey),
