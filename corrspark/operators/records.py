@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from corrspark.functions import cigar
 from corrspark.functions.coords import lift
 
-#: Codes of the na:i tag for records that could not be aligned.
-FAILURES = {"span": 1, "empty": 2, "align": 3, "cigar": 4, "bridge": 5, "trim": 7}
+#: Codes of the na:i tag for records that could not be made, in the order in which they are looked for.
+FAILURES = {"contig": 1, "empty": 2, "align": 3, "parse": 7, "bridge": 4, "trim": 5}
 
 
 def best(records: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -41,9 +41,7 @@ def lift_records(records: DataFrame, qry_begin: Column, qry_end: Column, ref_beg
 
 def retag(tags: Column, new: dict[str, Column]) -> Column:
     """Tags without those of the new names, then the new ones: name (like ``id:Z``) to value."""
-    held = tags
-    for name in new:
-        held = F.filter(held, lambda t, n=name: ~t.startswith(f"{n}:"))
+    held = F.filter(tags, lambda t: ~F.array_contains(F.array(*[F.lit(n) for n in new]), F.substring_index(t, ":", 2)))
     return F.concat(held, F.array(*[F.concat(F.lit(f"{n}:"), v.cast("string")) for n, v in new.items()]))
 
 
@@ -83,11 +81,11 @@ def bridges(aligned: DataFrame, tolerance: int) -> Column:
     return (c("tstart") <= tolerance) & (c("tlen") - c("tend") <= tolerance) & (c("qstart") <= tolerance) & (c("qlen") - c("qend") <= tolerance)
 
 
-def status_code(span_ok: Column, has_bases: Column, aligned: Column, parsed: Column, bridged: Column, trimmed: Column) -> Column:
-    """The first failure's code, or 0."""
+def status_code(passed: dict[str, Column]) -> Column:
+    """The code of the first step (see FAILURES) that was not passed, or 0."""
     out = F.lit(0)
-    for ok, name in reversed(list(zip((span_ok, has_bases, aligned, parsed, bridged, trimmed), FAILURES, strict=True))):
-        out = F.when(~ok, FAILURES[name]).otherwise(out)
+    for name in reversed([x for x in FAILURES if x in passed]):
+        out = F.when(~passed[name], FAILURES[name]).otherwise(out)
     return out
 
 
@@ -103,7 +101,7 @@ def resolve_contigs(wanted: DataFrame, contigs: DataFrame, name: str, forced: st
     w = Window.partitionBy("_base").orderBy(F.desc("length"), "contig")
     by_base = contigs.withColumn("_base", base(F.col("contig"))).withColumn("_i", F.row_number().over(w)).where("_i = 1").select("_base", F.col("contig").alias("_like"))
     single = contigs.agg(F.when(F.count(F.lit(1)) == 1, F.first("contig")).alias("_only"))  # one row
-    joined = wanted.join(exact, F.col(name) == F.col("_exact"), "left").withColumn("_b", base(F.col(name))).join(by_base, F.col("_b") == F.col("_base"), "left").join(F.broadcast(single), F.lit(True), "left")
+    joined = wanted.join(exact, F.col(name) == F.col("_exact"), "left").withColumn("_b", base(F.col(name))).join(by_base, F.col("_b") == F.col("_base"), "left").join(F.broadcast(single), F.lit(True), "left")  # an aggregate without keys has one row
     return joined.withColumn("contig", F.coalesce("_exact", "_only", "_like")).drop("_exact", "_b", "_base", "_like", "_only")
 
 
