@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,6 +48,20 @@ def slices(texts: list[bytes], most: int = 4 << 20) -> list[tuple[int, int]]:
     return found + [(start, len(texts))] * (start < len(texts))
 
 
+class Reach:
+    """How far the spans (start, end) that begin at or before a place reach; any number of them is asked in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self._starts = [a for a, _ in spans]
+        self._ends = list(itertools.accumulate((b for _, b in spans), max))
+
+    def to(self, place: int) -> int:
+        """The greatest end of a span that starts at ``place`` or before, -1 if none does."""
+        i = bisect.bisect_right(self._starts, place)
+        return self._ends[i - 1] if i else -1
+
+
 _LOWER = bytes.maketrans(_UPPER.encode(), _UPPER.lower().encode())
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrspark.llm.common import as_text, documents
+from corrspark.llm.common import Reach, as_text, documents
 from corrspark.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -571,7 +571,8 @@ def find_personal_data(docs: DataFrame, rules: TaggerRules = TaggerRules()) -> D
             tagged = [x for a, b in _parts(texts) for x in model_spans(texts[a:b], tagger)] if tagger else [[] for _ in texts]
             rows = []
             for own, more in zip(base, tagged, strict=True):
-                new = [x for x in more if not any(a < x[2] and x[1] < b for _, a, b in own)]
+                reach = Reach([(a, b) for _, a, b in own])
+                new = [x for x in more if reach.to(x[2] - 1) <= x[1]]
                 kinds = [k for k, _, _ in own]
                 rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(show(own).encode()).hexdigest(), show(sorted(own + new)), len(new)))
             columns = list(zip(*rows, strict=True)) or [[] for _ in FIELDS]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from corrspark.llm.common import as_text, documents
+from corrspark.llm.common import Reach, as_text, documents
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -93,7 +93,8 @@ def scan(text: str, rules: EntropyRules, allowed) -> tuple:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    more = [(a, 3, b) for a, b in _entropy_spans(text, rules, allowed) if not any(s <= a and b <= e for s, _, e in base)]
+    reach = Reach([(a, b) for a, _, b in base])
+    more = [(a, 3, b) for a, b in _entropy_spans(text, rules, allowed) if reach.to(a) < b]
     show = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
     kinds = [k for _, k, _ in base]
     return (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(show(base).encode()).hexdigest(), show(sorted(base + more)), len(more))
@@ -112,7 +113,7 @@ FIELDS = [
 def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataFrame:
     """One row per row of ``docs``: doc_id and FIELDS; positions are code points, ends exclusive.
 
-    A null or empty text has no span. Repeated rows and null ids are scanned row by row; other columns are
+    A null or empty text has no span; very long ones are scanned whole. Repeated rows and null ids are scanned row by row; other columns are
     not read. An empty table gives an empty table.
     """
 

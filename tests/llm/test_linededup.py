@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from helpers import corpus, empty, frame
@@ -86,3 +87,12 @@ def test_removed_lines_leave_the_text(spark):
 def test_empty_table(spark):
     assert judge_lines(empty(spark)).count() == 0
     assert dedup_lines(empty(spark)).count() == 0
+
+
+def test_very_many_lines(spark):
+    """Time in proportion: 60,000 repeated lines, and as many of which each is new."""
+    again, fresh = "\n".join(f"line {i % 3} says so" for i in range(60_000)), "\n".join(f"w{i} x{i} y{i}" for i in range(60_000))
+    began = time.time()
+    text = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, [(1, again), (2, fresh + "\n" + "line 1 says so\n" * 2)])).collect()}
+    assert text[1].split("\n") == [f"line {i} says so" for i in range(3)]
+    assert text[2] == fresh + "\n" and time.time() - began < 60

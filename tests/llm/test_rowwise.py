@@ -233,3 +233,24 @@ def test_personal_data_long_runs_decode_as_short_ones():
     for n in (8, 16, 17, 100, 1111):
         scores = rng.normal(0, 1, (n, pii.N_TAGS)).astype(np.float32)
         assert (tagger.decode_long(scores, 8) == tagger.decode(scores[None], np.array([n]))[0]).all()
+
+
+def test_reach_against_comparing_all():
+    import random
+
+    from corrspark.llm.common import Reach
+
+    rng = random.Random(4)
+    for _ in range(200):
+        base = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(9)))]
+        reach = Reach(base)
+        for a, b in ((a, a + rng.randint(1, 12)) for a in range(60)):
+            assert (reach.to(b - 1) > a) == any(s < b and a < e for s, e in base)
+            assert (reach.to(a) >= b) == any(s <= a and b <= e for s, e in base)
+
+
+def test_very_many_spans(spark):
+    text = " ".join(f"AKIA{i:016d} Zq{i:06d}Rt8Yp1Lm6Wn4Kc9V" for i in range(20_000))
+    began = time.time()
+    row = secrets.find_secrets(frame(spark, [(1, text)])).first()
+    assert row["n_access"] == 20_000 and row["n_entropy"] > 15_000 and time.time() - began < 40
