@@ -105,14 +105,17 @@ def resolve_contigs(wanted: DataFrame, contigs: DataFrame, name: str, forced: st
     return joined.withColumn("contig", F.coalesce("_exact", "_only", "_like")).drop("_exact", "_b", "_base", "_like", "_only")
 
 
-def from_pairs(pairs: DataFrame, half: int) -> DataFrame:
-    """A record of [center - half, center + half) on both axes, clipped, for each pair of centers (with both lengths)."""
+def from_pairs(pairs: DataFrame, half: int, keep: list[str] = ()) -> DataFrame:
+    """A record of [center - half, center + half) on both axes, clipped, for each pair of centers (with both lengths).
+
+    Tags are those of the pairs, if they have any; ``keep``: more columns that stay.
+    """
     c = F.col
     at = lambda x, n: (F.greatest(F.bround(c(x)).cast("long") - half, F.lit(0)), F.least(F.bround(c(x)).cast("long") + half, c(n)))
     (ts, te), (qs, qe) = at("ref_center", "tlen"), at("qry_center", "qlen")
     rows = pairs.withColumns({"tstart": ts, "tend": te, "qstart": qs, "qend": qe}).where("tend > tstart and qend > qstart")
     n = F.least(c("tend") - c("tstart"), c("qend") - c("qstart"))
-    return rows.select("qname", "qlen", "qstart", "qend", F.lit("+").alias("strand"), "tname", "tlen", "tstart", "tend", n.alias("nmatch"), n.alias("alen"), F.lit(60).alias("mapq"), F.array().cast("array<string>").alias("tags"))
+    return rows.select("qname", "qlen", "qstart", "qend", F.lit("+").alias("strand"), "tname", "tlen", "tstart", "tend", n.alias("nmatch"), n.alias("alen"), F.lit(60).alias("mapq"), (c("tags") if "tags" in pairs.columns else F.array().cast("array<string>")).alias("tags"), *keep)
 
 
 def with_aligner(segments: DataFrame, align: Callable[[str, str], str | None] | None = None) -> DataFrame:

@@ -35,11 +35,11 @@ def disjoint_count(intervals: Column) -> Column:
     return F.aggregate(ordered, start, fold, lambda a: a["n"])
 
 
-def least_context(ordered: DataFrame, unique: DataFrame, most: int, longest: int, target: int = 1) -> DataFrame:
-    """sample, chrom, anchor_id, k_min (0 if none up to ``most``), alpha: unique substrings apart in the window of k_min.
+def _near_unique(ordered: DataFrame, unique: DataFrame, most: int) -> DataFrame:
+    """by, anchor_id, idx, n, _mus: the unique substrings in an anchor's widest window, earliest ends first, each with the least k it needs.
 
-    The window of k is the 2k tokens on both sides. Substrings that reach it from an anchor are found by an equi-join
-    on blocks of tokens, so no contig is paired with itself as a whole.
+    The window of k is the 2k tokens on both sides. Substrings that reach it are found by an equi-join on blocks of tokens, so
+    no contig is paired with itself as a whole.
     """
     reach = 2 * most
     width = max(2 * reach, 64)
@@ -48,16 +48,39 @@ def least_context(ordered: DataFrame, unique: DataFrame, most: int, longest: int
     mus = unique.withColumn("_block", F.floor(F.col("s") / width))
     near = spread.join(mus, [*BY, "_block"]).where((F.col("s") >= F.col("t0") - reach) & (F.col("e") <= F.col("t0") + reach))
     need = F.greatest(F.ceil(F.greatest(F.col("t0") - F.col("s"), F.col("e") - F.col("t0")) / 2), F.lit(1)).cast("int")
-    found = near.withColumn("need", need).groupBy(*BY, "anchor_id", "idx", "n").agg(F.collect_list(F.struct("need", "s", "e")).alias("_mus"))
-    fits = F.least(F.col("idx"), F.col("n") - 1 - F.col("idx"), F.lit(most)).cast("int")
+    return near.withColumn("need", need).groupBy(*BY, "anchor_id", "idx", "n").agg(F.array_sort(F.collect_list(F.struct("e", "s", "need"))).alias("_mus"))
+
 
-    def apart(k: Column) -> Column:
-        return disjoint_count(F.filter("_mus", lambda x: x["need"] <= k))
+def least_contexts(ordered: DataFrame, unique: DataFrame, most: int, targets: list[int], shown: int = 3) -> DataFrame:
+    """sample, chrom, anchor_id, idx, gid, target, k_min, alpha, evidence: for each target the least k whose window has as many
+    unique substrings apart.
 
+    Windows of growing k are nested; the picks of each are folded once and serve all targets. k_min and alpha are 0 and evidence empty where
+    no k up to ``most`` will do or the group is empty. evidence names the contig, the window and the first picks.
+    """
+    fits = F.least(F.col("idx"), F.col("n") - 1 - F.col("idx"), F.lit(most)).cast("int")
     ks = F.when(fits >= 1, F.sequence(F.lit(1), fits)).otherwise(F.array().cast("array<int>"))
-    first = F.try_element_at(F.filter(ks, lambda k: apart(k) >= target), F.lit(1))
-    scored = found.withColumn("k_min", F.coalesce(first, F.lit(0))).withColumn("alpha", F.when(F.col("k_min") > 0, apart(F.col("k_min"))).otherwise(0).cast("long"))
-    return ordered.select(*BY, "anchor_id", "idx", "gid").join(scored.select(*BY, "anchor_id", "k_min", "alpha"), [*BY, "anchor_id"], "left").withColumns({"k_min": F.when(F.col("gid") == "", 0).otherwise(F.coalesce("k_min", F.lit(0))), "alpha": F.coalesce("alpha", F.lit(0).cast("long"))})
+    start = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("used"))
+
+    def pick(a: Column, x: Column) -> Column:
+        text = F.concat(F.lit("("), x["s"].cast("string"), F.lit(", "), x["e"].cast("string"), F.lit(")"))
+        used = F.when(a["n"] < shown, F.concat(a["used"], F.array(text))).otherwise(a["used"])
+        return F.when(x["s"] > a["end"], F.struct(x["e"].cast("long").alias("end"), (a["n"] + 1).alias("n"), used.alias("used"))).otherwise(a)
+
+    picks = F.transform(ks, lambda k: F.struct(k.alias("k"), F.aggregate(F.filter("_mus", lambda x: x["need"] <= k), start, pick).alias("p")))
+    found = _near_unique(ordered, unique, most).select(*BY, "anchor_id", picks.alias("_picks"))
+    wanted = F.explode(F.array(*[F.lit(t) for t in targets]))
+    rows = ordered.select(*BY, "anchor_id", "idx", "gid", wanted.alias("target")).join(found, [*BY, "anchor_id"], "left")
+    first = F.when(F.col("gid") != "", F.try_element_at(F.filter("_picks", lambda x: x["p"]["n"] >= F.col("target")), F.lit(1)))
+    rows = rows.withColumn("_first", first)
+    k, n, t0 = F.col("_first.k"), F.col("_first.p.n"), 2 * F.col("idx")
+    evidence = F.concat(F.lit("chrom="), F.col("chrom").cast("string"), F.lit(" win=["), (t0 - 2 * k).cast("string"), F.lit(","), (t0 + 2 * k).cast("string"), F.lit("] mus_picked=["), F.array_join("_first.p.used", ", "), F.lit("] (n="), n.cast("string"), F.lit(")"))
+    return rows.select(*BY, "anchor_id", "idx", "gid", "target", F.coalesce(k, F.lit(0)).alias("k_min"), F.coalesce(n, F.lit(0).cast("long")).alias("alpha"), F.coalesce(evidence, F.lit("")).alias("evidence"))
+
+
+def least_context(ordered: DataFrame, unique: DataFrame, most: int, longest: int, target: int = 1) -> DataFrame:
+    """least_contexts() for one target."""
+    return least_contexts(ordered, unique, most, [target]).drop("target")
 
 
 def dictionary(contexts: DataFrame) -> DataFrame:
