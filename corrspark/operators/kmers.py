@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corrspark.functions.sequence import reverse_complement
@@ -93,6 +93,42 @@ def id_consistency(left: DataFrame, right: DataFrame, id_column: str) -> DataFra
     return flags.agg(n(F.col("_r").isNull()).alias("only_left"), n(F.col("_l").isNull()).alias("only_right"), n(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("both"))
 
 
+def check_ids(left: DataFrame, right: DataFrame, id_column: str, mode: str = "error", observation: Observation | None = None) -> DataFrame:
+    """The rows of ``left``, whose ids should all be in ``right``, checked while they are read.
+
+    error: a missing one fails the job and is named. warn: all pass. off: nothing is looked at. In the first two modes the
+    observation, if given, has n_rows, missing (rows of left) and extra (ids of right that left lacks) once the rows were read.
+    """
+    if mode not in ("error", "warn", "off"):
+        raise ValueError(f"{mode!r} is none of error, warn, off")
+    if mode == "off":
+        return left
+    own = left.withColumn("_l", F.lit(True))
+    known = right.select(id_column).where(F.col(id_column).isNotNull()).distinct().withColumn("_r", F.lit(True))
+    met = own.join(known, id_column, "full")
+    lacks = F.col("_l") & F.col("_r").isNull()
+    n = lambda c: F.count(F.when(c, 1))
+    if observation is not None:
+        met = met.observe(observation, n(F.col("_l")).alias("n_rows"), n(lacks).alias("missing"), n(F.col("_l").isNull()).alias("extra"))
+    if mode == "error":
+        name = F.concat(F.lit("an id is missing: "), F.coalesce(F.col(id_column).cast("string"), F.lit("null")))
+        met = met.where(F.when(lacks, F.raise_error(name).cast("boolean")).otherwise(True))
+    return met.where("_l").select(*left.columns)
+
+
+def anchor_table(groups: DataFrame, intervals: DataFrame, seqs: DataFrame) -> DataFrame:
+    """sample, anchor_id, group_id, chrom, center, strand, len of each row of ``groups`` (sample, anchor_id, group_id).
+
+    Where ``intervals`` (sample, anchor_id, chrom, start, end, strand) lack an anchor its contig and strand are empty and its center is NaN;
+    where ``seqs`` (sample, anchor_id, seq) do, its length is 0.
+    """
+    key = ["sample", "anchor_id"]
+    c = F.col
+    joined = groups.join(intervals.select(*key, "chrom", "start", "end", "strand"), key, "left").join(seqs.select(*key, F.length("seq").alias("len")), key, "left")
+    center = F.coalesce((c("start").cast("double") + c("end").cast("double")) / 2, F.lit(float("nan")))
+    return joined.select(*key, F.coalesce("group_id", F.lit("")).alias("group_id"), F.coalesce("chrom", F.lit("")).alias("chrom"), center.alias("center"), F.coalesce("strand", F.lit("")).alias("strand"), F.coalesce("len", F.lit(0)).alias("len"))
+
+
 def duplicates(df: DataFrame, id_column: str) -> DataFrame:
     return df.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -6,23 +6,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrspark.functions.text import numeric
+from corrspark.operators.kmers import last_by_name
+from corrspark.sources import blockgzip
 
 
-def fasta(spark: SparkSession, paths: str | list[str], upper: bool = True) -> DataFrame:
-    """path, name (first token of the header), seq. A record is a row, whatever lines it has."""
-    raw = spark.read.option("lineSep", ">").text(paths).withColumn("path", F.col("_metadata.file_path")).where(F.length(F.trim("value")) > 0)
-    header = F.substring_index("value", "\n", 1)
-    body = F.regexp_replace(F.substring(F.col("value"), F.length(header) + 1, F.length("value")), r"\s", "")
-    return raw.select("path", F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), (F.upper(body) if upper else body).alias("seq"))
+def _place() -> Column:
+    """The order of rows in files: by path, then where the file's part begins, then row by row."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
-def fasta_lengths(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return fasta(spark, paths).select("path", "name", F.length("seq").cast("long").alias("length"))
+def fasta(spark: SparkSession, paths: str | list[str], upper: bool = True) -> DataFrame:
+    """path, name (first token of the header), seq, place (the order in and of files). A record is a row, whatever lines it has.
+
+    Files that end in .bgz are read block by block in several tasks; gzip and plain text by Spark.
+    """
+    every = [paths] if isinstance(paths, str) else list(paths)
+    blocks = [p for p in every if p.endswith(".bgz")]
+    plain = [p for p in every if not p.endswith(".bgz")]
+    found = None
+    if plain:
+        raw = spark.read.option("lineSep", ">").text(plain).withColumns({"path": F.col("_metadata.file_path"), "place": _place()}).where(F.length(F.trim("value")) > 0)
+        header = F.substring_index("value", "\n", 1)
+        body = F.substring(F.col("value"), F.length(header) + 1, F.length("value"))
+        found = raw.select("path", header.alias("header"), body.alias("body"), "place")
+    if blocks:
+        own = blockgzip.fasta_records(spark, blocks).select("path", "header", "body", F.struct("path", F.lit(0).cast("long").alias("block"), F.col("place").alias("row")).alias("place"))
+        found = own if found is None else found.unionByName(own)
+    text = F.regexp_replace("body", r"\s", "")
+    return found.select("path", F.regexp_extract("header", r"^\s*(\S*)", 1).alias("name"), (F.upper(text) if upper else text).alias("seq"), "place")
+
+
+def fasta_lengths(spark: SparkSession, paths: str | list[str], first_only: bool = False) -> DataFrame:
+    """path, name, length. ``first_only``: of each file's first record alone."""
+    rows = fasta(spark, paths).select("path", "name", F.length("seq").cast("long").alias("length"), "place")
+    if not first_only:
+        return rows.drop("place")
+    return rows.groupBy("path").agg(F.min_by(F.struct("name", "length"), "place").alias("r")).select("path", "r.*")
+
+
+def fasta_dictionary(spark: SparkSession, paths: str | list[str], upper: bool = False) -> DataFrame:
+    """name, seq: of records with one name the last, by file and place."""
+    return last_by_name(fasta(spark, paths, upper), "name", "place").select("name", "seq")
 
 
 def _fields(spark: SparkSession, paths: str | list[str], separator: str = "\t") -> DataFrame:
-    lines = spark.read.text(paths).where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(r"^\s*(#|track|browser)"))
-    return lines.select(F.split(F.trim("value") if separator == r"\s+" else F.col("value"), separator, -1).alias("c"))
+    lines = spark.read.text(paths).withColumn("place", _place()).where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(r"^\s*(#|track|browser)"))
+    return lines.select(F.split(F.trim("value") if separator == r"\s+" else F.col("value"), separator, -1).alias("c"), "place")
 
 
 def _at(i: int) -> Column:
@@ -105,7 +134,7 @@ def kmer_existence(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def clusters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """label, group_id from cluster (.uc) rows; the last row of a label counts."""
-    rows = _fields(spark, paths).where("size(c) >= 9").select(_at(8).alias("label"), _at(1).try_cast("int").alias("cluster"), F.monotonically_increasing_id().alias("_row")).where("label <> '*' and cluster is not null")
+    rows = _fields(spark, paths).where("size(c) >= 9").select(_at(8).alias("label"), _at(1).try_cast("int").alias("cluster"), F.col("place").alias("_row")).where("label <> '*' and cluster is not null")
     return rows.groupBy("label").agg(F.max_by("cluster", "_row").alias("cluster")).select("label", F.format_string("VS:%06d", "cluster").alias("group_id"))
 
 
@@ -117,11 +146,22 @@ def blast6(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def families(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The wide table as rows: ref_anchor_id, sample, chrom, center, anchor_id; samples come from the column names."""
-    wide = spark.read.options(header=True, sep="\t", inferSchema=True).csv(paths)
-    samples = [c.removeprefix("center_") for c in wide.columns if c.startswith("center_")]
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"chrom_{s}").cast("string").alias("chrom"), F.col(f"center_{s}").cast("double").alias("center"), F.col(f"anchor_id_{s}").cast("string").alias("anchor_id")) for s in samples]))
-    return wide.select("ref_anchor_id", rows.alias("r")).select("ref_anchor_id", "r.*").where("center is not null")
+    """The wide table of families as it is: see operators.families."""
+    return spark.read.options(header=True, sep="\t").csv(paths)
+
+
+def placed_centers(spark: SparkSession, root: str, pattern: str = "*.bed") -> DataFrame:
+    """lane (the folder's name), anchor_id, center from all BED files below ``root``; of an id that repeats in a lane the last file counts."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).withColumn("place", _place())
+    rows = lines.select(F.split("value", "\t", -1).alias("c"), "place").where("size(c) >= 4")
+    placed = rows.select(F.regexp_extract("place.path", r"([^/]+)/[^/]+$", 1).alias("lane"), _at(3).alias("anchor_id"), ((_at(1).try_cast("double") + _at(2).try_cast("double")) / 2).alias("center"), "place").where("center is not null")
+    return placed.groupBy("lane", "anchor_id").agg(F.max_by("center", "place").alias("center"))
+
+
+def settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """Flat ``key: value`` lines of a configuration file; comments and blank lines are passed over, quotes go, the last of a key counts."""
+    rows = spark.read.text(path).withColumn("place", _place()).select(F.regexp_extract("value", r"^\s*([A-Za-z_][\w.-]*)\s*:", 1).alias("k"), F.trim(F.regexp_replace(F.regexp_extract("value", r"^[^:]*:(.*)$", 1), r"\s+#.*$", "")).alias("v"), "place")
+    return {r["k"]: r["v"].strip("\"'") for r in rows.where("k <> ''").orderBy("place").collect()}  # a small file of settings
 
 
 def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
