@@ -136,7 +136,8 @@ def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRule
     maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, bits))
     keyed = maybe.select("line", "odd").distinct().select(_keys(_words(F.col("line"), F.col("odd")), levels).alias("keys"))
     keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
-    sets = keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"])
+    # written, as are the links, so that each step's shuffle files go before the next has its own
+    sets = cut(keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"]), "line-sets")
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("class_a").alias(name), F.col("class_b").alias(f"{name}_b"), F.col("keys").alias(f"{name}_keys"), F.col("first").alias(f"{name}_first"))
@@ -144,7 +145,7 @@ def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRule
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("x_keys", "y_keys"))
     matching = both.where(common * 100 >= (F.size("x_keys") + F.size("y_keys") - common) * rules.percent)
-    return matching.select(F.col("x").alias("x_a"), "x_b", F.col("y").alias("y_a"), "y_b", F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later"))
+    return cut(matching.select(F.col("x").alias("x_a"), "x_b", F.col("y").alias("y_a"), "y_b", F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later")), "line-links")
 
 
 def line_links(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
