@@ -80,14 +80,18 @@ def bundle_stats(chained: DataFrame, by: list[str], min_links: int = 1, min_span
     return out.where(F.col("ref_end") - F.col("ref_start") >= min_span)
 
 
-def invert_links(links: DataFrame, length: str) -> DataFrame:
-    """Query centers on the reversed axis."""
-    return links.withColumn("qry_center", F.col(length) - F.col("qry_center"))
+def both_strands(links: DataFrame, length: str) -> DataFrame:
+    """Each link as it is (strand +), and, where the query's length is known, with its center on the reversed axis (-)."""
+    there = F.array(F.struct(F.lit("+").alias("strand"), F.col("qry_center").alias("at")), F.struct(F.lit("-").alias("strand"), (F.col(length) - F.col("qry_center")).alias("at")))
+    spread = links.withColumn("_s", F.explode(there)).where(F.col("_s.at").isNotNull())
+    return spread.withColumns({"strand": F.col("_s.strand"), "qry_center": F.col("_s.at")}).drop("_s")
 
 
-def invert_bundles(bundles: DataFrame, length: str) -> DataFrame:
+def raw_bundles(bundles: DataFrame, length: str) -> DataFrame:
+    """Query ranges of - bundles on the axis as it is."""
     a, b = invert(F.col("qry_start"), F.col("qry_end"), F.col(length))
-    return bundles.withColumns({"qry_start": a, "qry_end": b})
+    minus = F.col("strand") == "-"
+    return bundles.withColumns({"qry_start": F.when(minus, a).otherwise(F.col("qry_start")), "qry_end": F.when(minus, b).otherwise(F.col("qry_end"))})
 
 
 def parallel(base: str, other: str, slope_tol: float, pad: float):
@@ -96,10 +100,11 @@ def parallel(base: str, other: str, slope_tol: float, pad: float):
     return (F.abs(c(f"{other}.slope_med") - c(f"{base}.slope_med")) <= slope_tol) & (c(f"{other}.ref_end") >= c(f"{base}.ref_start") - pad) & (c(f"{base}.ref_end") + pad >= c(f"{other}.ref_start"))
 
 
-def merge_parallel(bundles: DataFrame, by: list[str], slope_tol: float = 0.06, ref_gap: float = 50_000.0, qry_gap: float = 50_000.0, b0_tol: float = 5_000.0) -> DataFrame:
+def merge_parallel(bundles: DataFrame, by: list[str], slope_tol: float = 0.06, ref_gap: float = 50_000.0, qry_gap: float = 50_000.0, b0_tol: float = 5_000.0, near: bool = True) -> DataFrame:
     """Joins successive bundles of one strand whose slope is that of the run's first and which are close on both axes.
 
-    The slope becomes the median of two, the intercept stays the first's; a bundle that does not fit opens a new run.
+    The slope becomes the median of two, the intercept stays the first's; a bundle that does not fit opens a new run. Without ``near``
+    the query's axis plays no part.
     """
     schema = bundles.schema
 
@@ -114,8 +119,7 @@ def merge_parallel(bundles: DataFrame, by: list[str], slope_tol: float = 0.06, r
                 and abs(row["slope_med"] - seed) <= slope_tol
                 and abs(row["b0_med"] - now["b0_med"]) <= b0_tol
                 and row["ref_start"] <= now["ref_end"] + ref_gap
-                and row["qry_start"] <= now["qry_end"] + qry_gap
-                and now["qry_start"] <= row["qry_end"] + qry_gap
+                and (not near or (row["qry_start"] <= now["qry_end"] + qry_gap and now["qry_start"] <= row["qry_end"] + qry_gap))
             )
             if not fits:
                 runs.append(dict(row))
@@ -131,12 +135,17 @@ def merge_parallel(bundles: DataFrame, by: list[str], slope_tol: float = 0.06, r
     return bundles.groupBy(*by).applyInPandas(fold, schema)
 
 
-def emit(bundles: DataFrame, by: list[str]) -> DataFrame:
-    """Bundle rows for output: whole coordinates (half to even), spans, ids B000001 and on for each key."""
+def emit(bundles: DataFrame, by: list[str], ids: bool = False) -> DataFrame:
+    """Bundle rows for output: whole coordinates (half to even), spans, ids B000001 and on for each key.
+
+    The links' ids come joined by commas, or, with ``ids``, as the arrays rids and qids.
+    """
     from pyspark.sql import Window
 
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("ref_start", "chain"))
+    order = [c for c in ("chrom", "strand") if c in bundles.columns and c not in by]
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order, "ref_start", "chain"))
     whole = bundles.withColumn("bundle_id", F.format_string("B%06d", number))
     for c in ("ref_start", "ref_end", "qry_start", "qry_end"):
         whole = whole.withColumn(c, F.bround(c).cast("long"))
-    return whole.withColumns({"ref_span": F.col("ref_end") - F.col("ref_start"), "qry_span": F.col("qry_end") - F.col("qry_start"), "ref_anchor_ids": F.array_join(F.col("rids").cast("array<string>"), ","), "qry_anchor_ids": F.array_join(F.col("qids").cast("array<string>"), ",")}).drop("rids", "qids", "chain")
+    whole = whole.withColumns({"ref_span": F.col("ref_end") - F.col("ref_start"), "qry_span": F.col("qry_end") - F.col("qry_start")}).drop("chain")
+    return whole if ids else whole.withColumns({"ref_anchor_ids": F.array_join(F.col("rids").cast("array<string>"), ","), "qry_anchor_ids": F.array_join(F.col("qids").cast("array<string>"), ",")}).drop("rids", "qids")

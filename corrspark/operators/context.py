@@ -32,12 +32,6 @@ def inverted(signed: DataFrame) -> DataFrame:
     return signed.withColumns({"left": F.col("right"), "right": F.col("left")})
 
 
-def at_k(signed: DataFrame, k: int | Column) -> DataFrame:
-    """Anchors with k neighbours on both sides, with l and r cut to these."""
-    size = F.lit(k) if isinstance(k, int) else k
-    return signed.where(F.col("k_max") >= size).select("sample", "chrom", "anchor_id", "gid", size.alias("k"), F.slice("left", F.lit(1), size).alias("l"), F.slice("right", F.lit(1), size).alias("r"))
-
-
 def tokens(ordered: DataFrame, reverse: bool = False) -> DataFrame:
     """sample, chrom, t, token, anchor_id: groups (G:) and gap bins (D:) in turn, 2n - 1 for each contig."""
     pair = F.array(F.concat(F.lit("G:"), F.col("gid")), F.concat(F.lit("D:"), F.col("bin").cast("string")))

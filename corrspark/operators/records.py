@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corrspark.functions import cigar
 from corrspark.functions.coords import lift
@@ -118,25 +120,20 @@ def from_pairs(pairs: DataFrame, half: int, keep: list[str] = ()) -> DataFrame:
     return rows.select("qname", "qlen", "qstart", "qend", F.lit("+").alias("strand"), "tname", "tlen", "tstart", "tend", n.alias("nmatch"), n.alias("alen"), F.lit(60).alias("mapq"), (c("tags") if "tags" in pairs.columns else F.array().cast("array<string>")).alias("tags"), *keep)
 
 
+def identity_cigar(t: str, q: str) -> str | None:
+    """Matches and mismatches of two sequences of one length, else nothing."""
+    if len(t) != len(q) or not t:
+        return None
+    runs = [(op, len(list(same))) for op, same in itertools.groupby("=" if a == b else "X" for a, b in zip(t, q, strict=True))]
+    return "".join(f"{n}{op}" for op, n in runs)
+
+
 def with_aligner(segments: DataFrame, align: Callable[[str, str], str | None] | None = None) -> DataFrame:
-    """Adds cigar to rows with tseq and qseq by a function of both, by default equal length and identity alone."""
-
-    def plain(t: str, q: str) -> str | None:
-        if len(t) != len(q) or not t:
-            return None
-        out, last, n = [], "", 0
-        for a, b in zip(t, q, strict=True):
-            op = "=" if a == b else "X"
-            if op != last and n:
-                out.append(f"{n}{last}")
-                n = 0
-            last, n = op, n + 1
-        return "".join([*out, f"{n}{last}"])
-
-    run_one = align or plain
+    """Adds cigar to rows with tseq and qseq by a function of both, by default identity_cigar()."""
+    run_one = align or identity_cigar
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield x.assign(cigar=[run_one(t, q) if t is not None and q is not None else None for t, q in zip(x["tseq"], x["qseq"], strict=True)])
+            yield x.assign(cigar=[run_one(t, q) if t and q else None for t, q in zip(x["tseq"], x["qseq"], strict=True)])
 
-    return segments.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema) + ", cigar string")
+    return segments.mapInPandas(run, T.StructType([*segments.schema, T.StructField("cigar", T.StringType())]))

@@ -45,7 +45,7 @@ def encode_runs(signal: DataFrame, by: list[str], value: str = "value") -> DataF
     return _joined(parts, by, {}, ["value"])
 
 
-def _positions(ranges: DataFrame, by: list[str], more: list[str] = ()) -> DataFrame:
+def spread_ranges(ranges: DataFrame, by: list[str], more: list[str] = ()) -> DataFrame:
     """by, pos and more: a row for each position of [start, end). Ranges are dealt out in chunks before they are spread."""
     c = F.col
     chunks = ranges.select(*by, "start", "end", *more, F.explode(F.sequence(F.floor(c("start") / CHUNK), F.floor((c("end") - 1) / CHUNK))).alias("_chunk")).repartition(*by, "_chunk")
@@ -55,10 +55,10 @@ def _positions(ranges: DataFrame, by: list[str], more: list[str] = ()) -> DataFr
 
 def densify(runs: DataFrame, lengths: DataFrame, by: list[str], default: float = 0.0) -> DataFrame:
     """A value for each position of [0, length): by, pos, value. Of runs that overlap, the one with the greatest ``row`` counts, where there is such a column."""
-    spine = _positions(lengths.where("length > 0").select(*by, F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end")), by)
+    spine = spread_ranges(lengths.where("length > 0").select(*by, F.lit(0).cast("long").alias("start"), F.col("length").cast("long").alias("end")), by)
     inside = runs.join(lengths.select(*by, "length"), by).withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "length")}).where("end > start")
     row = [c for c in ("row",) if c in runs.columns]
-    points = _positions(inside, by, ["value", *row])
+    points = spread_ranges(inside, by, ["value", *row])
     last = F.max_by("value", "row") if row else F.max("value")
     return spine.join(points.groupBy(*by, "pos").agg(last.alias("value")), [*by, "pos"], "left").withColumn("value", F.coalesce("value", F.lit(default)))
 
@@ -189,11 +189,10 @@ def radius(window: int, given: int | None = None) -> int:
     return max(int(max(1, 2 * window / 5)) if given is None else given, int(max(1, 2 * window / 10)))
 
 
-def coverage(dense: DataFrame, smooth: DataFrame, by: list[str]) -> DataFrame:
-    """by, pos1, coverage_raw, coverage_smooth of each position, as text with six digits."""
-    both = dense.select(*by, "pos", "value").join(smooth.select(*by, "pos", "sm"), [*by, "pos"])
+def coverage(smooth: DataFrame, by: list[str]) -> DataFrame:
+    """by, pos1, coverage_raw, coverage_smooth of each position (with value and sm), as text with six digits."""
     text = lambda c: F.format_string("%.6f", F.col(c).cast("double"))
-    return both.select(*by, (F.col("pos") + 1).alias("pos1"), text("value").alias("coverage_raw"), text("sm").alias("coverage_smooth"))
+    return smooth.select(*by, (F.col("pos") + 1).alias("pos1"), text("value").alias("coverage_raw"), text("sm").alias("coverage_smooth"))
 
 
 def fixed_spans(valleys: DataFrame, lengths: DataFrame, by: list[str], half: int) -> DataFrame:

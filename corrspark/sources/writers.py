@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrspark.functions.sequence import wrap
+from corrspark.operators import signal
 
 
 def _text(lines: DataFrame, path: str, compress: bool) -> None:
@@ -28,9 +29,18 @@ def metrics(df: DataFrame, path: str) -> None:
     delimited(df.select("anchor_id", F.coalesce(F.format_string("%.6f", "fraction"), F.lit("NaN")).alias("UniqueKmerFrac"), F.col("n_unique").alias("NumUnique"), F.col("n_kmers").alias("NumKmers")), path, header=True)
 
 
-def paf(records: DataFrame, path: str) -> None:
+def coverage(smooth: DataFrame, path: str, by: list[str]) -> None:
+    """pos1, coverage_raw, coverage_smooth of all positions, gzipped, in a folder for each key, in order within it."""
+    rows = signal.coverage(smooth, by)
+    delimited(rows.repartitionByRange(*by, "pos1").sortWithinPartitions(*by, "pos1"), path, header=True, compress=True, by=by)
+
+
+def paf(records: DataFrame, path: str, by: list[str] = ()) -> None:
+    """``by``: columns that make folders."""
     fixed = [F.col(c).cast("string") for c in ("qname", "qlen", "qstart", "qend", "strand", "tname", "tlen", "tstart", "tend", "nmatch", "alen", "mapq")]
-    _text(records.select(F.concat_ws("\t", *fixed, "tags").alias("value")), path, False)
+    lines = records.select(F.concat_ws("\t", *fixed, "tags").alias("value"), *by)
+    writer = lines.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).text(path)
 
 
 def ids(df: DataFrame, path: str, column: str) -> None:

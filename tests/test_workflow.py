@@ -30,7 +30,8 @@ def test_correspondence_of_a_copy(spark):
         g = rng.choice("abcdefghij")
         rows += [("r", "c", f"a{i}", at, g), ("q", "c", f"b{i}", at + 7, g)]
     anchors = spark.createDataFrame(rows, "sample string, chrom string, anchor_id string, center double, gid string")
-    known, assigned, bundles = correspond(anchors, "r", Settings(contexts=(1, 2, 3), min_span=0.0, gap_bin=10.0, longest_unique=9))
+    found = correspond(anchors, "r", Settings(contexts=(1, 2, 3), min_span=0.0, gap_bin=10.0, longest_unique=9))
+    known, assigned, bundles = found.dictionary, found.assigned, found.bundles
     good = assigned.where("status = 'assign'").collect()
     assert len(good) > 30 and sum(x["qid"].split("b")[-1] == x["rid"].split("a")[-1] for x in good) == len(good)
     assert bundles.first()["n_links"] > 30 and known.where("not ambiguous").count() > 30
@@ -43,8 +44,8 @@ def test_files_to_files(spark, tmp_path):
         (tmp_path / f"{n}.fa").write_text(f">c1\n{seq}\n")
         (tmp_path / f"{n}.bed").write_text("c1\t0\t3000\tHSat2\n")
     args = [x for n in "rq" for x in ("--fasta", str(tmp_path / f"{n}.fa"), "--bed", str(tmp_path / f"{n}.bed"))]
-    main([*args, "--names", "r,q", "--outdir", str(tmp_path / "out")])
-    assert (tmp_path / "out/assignments").exists() and (tmp_path / "out/masked").exists()
+    main(["run", *args, "--names", "r,q", "--outdir", str(tmp_path / "out")])
+    assert all((tmp_path / "out" / x).exists() for x in ("assignments", "masked", "pairs", "bundles", "records"))
 
 
 def test_stream_of_files(spark, tmp_path):
