@@ -125,26 +125,76 @@ def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
     return rows.alias("x").join(rows.alias("y"), on).select(x("class_a").alias("x"), y("class_a").alias("y")).distinct()
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
+    """``wanted`` (class_a, class_b, line_hash of one of its lines, more) with keys, its set of words, from the lines themselves.
+
+    Written, as are links, so that each step's shuffle files go before the next has its own.
+    """
+    there, bits = bitmap(wanted, "line_hash", rules.most_filter_bits)
+    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, bits))
+    keyed = maybe.select("line", "odd").distinct().select(_keys(_words(F.col("line"), F.col("odd")), levels).alias("keys"))
+    keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
+    return cut(keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"]), "line-sets")
+
+
+def _similar(x: str, y: str, rules: LineRules) -> Column:
+    common = F.size(F.array_intersect(x, y))
+    return common * 100 >= (F.size(x) + F.size(y) - common) * rules.percent
+
+
+def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
+    """class_a, class_b, first, later for each class: its first line's place, and whether a class whose first line is earlier matches it.
+
+    Classes are numbered by their first lines, so a pair's later one is known from the numbers. A class is compared with the
+    candidate whose parity bits are nearest; only where that one fails with all others. So what is compared grows with the classes,
+    not with the pairs among many variants of a line.
+    """
+    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits", "line_hash")]
+    classes = lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), *values)
+    classes = cut(classes.orderBy("first").withColumn("number", F.monotonically_increasing_id()), "line-classes")
+    rows = classes.select("number", "bits", "n", F.posexplode("prefix").alias("place", "key"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    ordered = (x("n") < y("n")) | ((x("n") == y("n")) & (x("number") < y("number")))
+    met = rows.alias("x").join(rows.alias("y"), (x("key") == y("key")) & ordered & _places_fit(x, y, rules) & _may_match(x, y, rules))
+    differ = F.bit_count(x("bits").bitwiseXOR(y("bits"))).alias("differ")
+    pairs = cut(met.select(F.least(x("number"), y("number")).alias("earlier"), F.greatest(x("number"), y("number")).alias("later"), differ).distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("number")).distinct()
+    sets = _sets(docs, classes.join(wanted, "number", "left_semi").select("class_a", "class_b", "line_hash", "number"), levels, rules)
+
+    def matched(some: DataFrame) -> DataFrame:
+        own = some.join(sets.select(F.col("number").alias("earlier"), F.col("keys").alias("_x")), "earlier")
+        both = own.join(sets.select(F.col("number").alias("later"), F.col("keys").alias("_y")), "later")
+        return both.where(_similar("_x", "_y", rules)).select("later").distinct()
+
+    nearest = pairs.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("b")).select("later", "b.earlier")
+    sure = cut(matched(nearest), "line-matches")
+    rest = pairs.join(sure, "later", "left_anti").join(nearest, ["later", "earlier"], "left_anti")
+    found = sure.unionByName(cut(matched(rest), "line-matches")).select(F.col("later").alias("number"), F.lit(True).alias("later"))
+    return classes.select("class_a", "class_b", "first", "number").join(found, "number", "left").select("class_a", "class_b", "first", F.coalesce("later", F.lit(False)).alias("later"))
+
+
+def removed_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """doc_id, text_hash, line_no of the lines that an earlier one matches or has the same set of words as."""
+    levels = _rarity(docs, rules.rarity_bits)
+    lines = cut(_line_table(docs, levels, rules), "lines")
+    known = _later_classes(docs, lines, levels, rules)
+    joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
+    return joined.where(F.col("later") | (F.col("first") < _place())).select("doc_id", "text_hash", "line_no")
+
+
 def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
     """All pairs of classes that match: x_a, x_b, y_a, y_b, and later: the one whose first line is later, "x" or "y"."""
     values = [F.first(c).alias(c) for c in ("n", "prefix", "bits")]
     pairs = cut(_candidates(lines.groupBy("class_a", "class_b").agg(*values), rules), "line-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class_a")).distinct()
     wanted = cut(lines.join(wanted, "class_a", "left_semi").groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), F.min("line_hash").alias("line_hash")), "paired-lines")
-    there, bits = bitmap(wanted, "line_hash", rules.most_filter_bits)
-    # the sets of the classes in pairs, from the lines themselves
-    maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, bits))
-    keyed = maybe.select("line", "odd").distinct().select(_keys(_words(F.col("line"), F.col("odd")), levels).alias("keys"))
-    keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
-    # written, as are the links, so that each step's shuffle files go before the next has its own
-    sets = cut(keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"]), "line-sets")
+    sets = _sets(docs, wanted, levels, rules)
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("class_a").alias(name), F.col("class_b").alias(f"{name}_b"), F.col("keys").alias(f"{name}_keys"), F.col("first").alias(f"{name}_first"))
 
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    common = F.size(F.array_intersect("x_keys", "y_keys"))
-    matching = both.where(common * 100 >= (F.size("x_keys") + F.size("y_keys") - common) * rules.percent)
+    matching = both.where(_similar("x_keys", "y_keys", rules))
     return cut(matching.select(F.col("x").alias("x_a"), "x_b", F.col("y").alias("y_a"), "y_b", F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later")), "line-links")
 
 
@@ -208,7 +258,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
     Each line looks up its own byte in a mask of its document's lines, so a text of very many lines takes time in proportion.
     """
-    found = _by_document(mark_lines(docs, rules)).where(F.size("removed_lines") > 0)
+    found = removed_lines(docs, rules).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
     gone = F.col("removed_lines")
     before = F.concat(F.array(F.lit(-1)), F.slice(gone, F.lit(1), F.size(gone) - 1))
     mask = F.array_join(F.zip_with(before, gone, lambda a, b: F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1"))), "").cast("binary")

@@ -4,7 +4,7 @@ import time
 
 import pytest
 from helpers import corpus, empty, frame
-from corrspark.llm.linededup import dedup_lines, judge_lines, line_links
+from corrspark.llm.linededup import dedup_lines, judge_lines, line_links, mark_lines, removed_lines
 
 
 def brute(rows):
@@ -89,6 +89,14 @@ def test_empty_table(spark):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_removal_agrees_with_all_links(spark, seed):
+    """Comparing the nearest candidate first, and all where it fails, removes what all links remove."""
+    docs = frame(spark, variants(seed) + variants(seed + 10)[:20] + [(200, "w0 w1\nw1 w0"), (None, "w0 w1 w2")])
+    full = {(r["doc_id"], r["line_no"]) for r in mark_lines(docs).where("removed").collect()}
+    assert {(r["doc_id"], r["line_no"]) for r in removed_lines(docs).collect()} == full and len(full) > 5
+
+
 def test_very_many_lines(spark):
     """Time in proportion: 60,000 repeated lines, and as many of which each is new."""
     again, fresh = "\n".join(f"line {i % 3} says so" for i in range(60_000)), "\n".join(f"w{i} x{i} y{i}" for i in range(60_000))
