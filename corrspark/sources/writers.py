@@ -26,7 +26,7 @@ def delimited(df: DataFrame, path: str, header: bool = False, compress: bool = F
 
 def metrics(df: DataFrame, path: str) -> None:
     """anchor_id, fraction with six digits or NaN, n_unique, n_kmers."""
-    delimited(df.select("anchor_id", F.coalesce(F.format_string("%.6f", "fraction"), F.lit("NaN")).alias("UniqueKmerFrac"), F.col("n_unique").alias("NumUnique"), F.col("n_kmers").alias("NumKmers")), path, header=True)
+    delimited(df.select("anchor_id", F.when(F.col("fraction").isNull(), "NaN").otherwise(F.format_string("%.6f", "fraction")).alias("UniqueKmerFrac"), F.col("n_unique").alias("NumUnique"), F.col("n_kmers").alias("NumKmers")), path, header=True)
 
 
 def coverage(smooth: DataFrame, path: str, by: list[str]) -> None:
