@@ -490,11 +490,6 @@ def _bundles(spark, sf_dir):
     return chaining.bundle_stats(_chained(spark, sf_dir), ["chrom"], min_links=5).withColumn("strand", F.lit("+"))
 
 
-@query()
-def merge_parallel_bundles(spark, sf_dir):
-    return chaining.emit(chaining.merge_parallel(_bundles(spark, sf_dir), ["chrom"], 0.5, 600.0, 600.0, 5000.0), ["chrom"])
-
-
 # --- records -------------------------------------------------------------------------------------------------------
 
 CIG = """cig as (select l_orderkey, string_agg(cast(l_quantity as int) || case l_returnflag when 'A' then '=' when 'N' then 'I' else 'X' end, '' order by l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int), case l_returnflag when 'A' then '=' when 'N' then 'I' else 'X' end) as cigar from lineitem group by l_orderkey),

@@ -179,6 +179,25 @@ def bundle_residuals(spark, sf_dir):
     return stats.select("chrom", "chain", F.round("resid_mad", 6).alias("resid_mad"), F.array_join(F.col("rids").cast("array<string>"), ",").alias("ids"))
 
 
+@query(
+    f"""with {CHAIN}, kp as (select st.chrom, chain, o.r, o.q, rid from st join o on o.chrom = st.chrom and o.i = st.i where kept), d as (select *, r - lag(r) over w as dr, q - lag(q) over w as dq from kp window w as (partition by chrom, chain order by r, q)),
+ a as (select chrom, chain, coalesce(median(dq / dr) filter (dr > 0), 1) as slope, max(dr) as gr, max(abs(dq)) as gq, min(r) as r0, max(r) as r1, min(q) as q0, max(q) as q1, count(*) as n, string_agg(rid::varchar, ',' order by r, q, rid) as rids from d group by chrom, chain having count(*) >= 5),
+ b as (select chrom, chain, median(q - slope * r) as b0 from d join a using (chrom, chain) group by chrom, chain), z as (select a.*, b0, row_number() over (partition by chrom order by r0, chain) as i from a join b using (chrom, chain)),
+ mg(chrom, i, run, first, seed, slope, b0, r0, r1, q0, q1, gr, gq, n, rids) as (select chrom, i, 1, chain, slope, slope, b0, r0, r1, q0, q1, gr, gq, n, rids from z where i = 1 union all
+  select z.chrom, z.i, case when fit then m.run else m.run + 1 end, case when fit then m.first else z.chain end, case when fit then m.seed else z.slope end, case when fit then (m.slope + z.slope) / 2 else z.slope end, case when fit then m.b0 else z.b0 end,
+   case when fit then least(m.r0, z.r0) else z.r0 end, case when fit then greatest(m.r1, z.r1) else z.r1 end, case when fit then least(m.q0, z.q0) else z.q0 end, case when fit then greatest(m.q1, z.q1) else z.q1 end,
+   case when fit then greatest(m.gr, z.gr) else z.gr end, case when fit then greatest(m.gq, z.gq) else z.gq end, case when fit then m.n + z.n else z.n end, case when fit then m.rids || ',' || z.rids else z.rids end
+  from mg m join z on z.chrom = m.chrom and z.i = m.i + 1, lateral (select abs(z.slope - m.seed) <= 0.5 and abs(z.b0 - m.b0) <= 5000 and z.r0 <= m.r1 + 600 and z.q0 <= m.q1 + 600 and m.q0 <= z.q1 + 600 as fit) t),
+ e as (select * from mg qualify row_number() over (partition by chrom, run order by i desc) = 1)
+ select chrom, 'B' || lpad((row_number() over (partition by chrom order by r0, first))::varchar, 6, '0') as bundle_id, round_even(r0, 0)::bigint as ref_start, round_even(r1, 0)::bigint as ref_end, round_even(q0, 0)::bigint as qry_start, round_even(q1, 0)::bigint as qry_end,
+  (round_even(r1, 0) - round_even(r0, 0))::bigint as ref_span, (round_even(q1, 0) - round_even(q0, 0))::bigint as qry_span, n::bigint as n_links, round(slope, 6) as slope_med, round(b0, 6) as b0_med, gr as max_gap_ref, round(gq, 6) as max_gap_qry, rids as ref_anchor_ids from e"""
+)
+def merge_parallel_bundles(spark, sf_dir):
+    merged = chaining.emit(chaining.merge_parallel(_bundles(spark, sf_dir), ["chrom"], 0.5, 600.0, 600.0, 5000.0), ["chrom"])
+    short = [F.round(c, 6).alias(c) for c in ("slope_med", "b0_med", "max_gap_qry")]
+    return merged.select("chrom", "bundle_id", "ref_start", "ref_end", "qry_start", "qry_end", "ref_span", "qry_span", "n_links", "max_gap_ref", "ref_anchor_ids", *short)
+
+
 @query(
     f"""with {MINK}, {SIGN[SIGN.index('nb as'):]}, kr as (select anchor_id, coalesce(k_min, 0) as k_min from mink where sample = 0),
  ix as (select gid, k, l, r, min(c.anchor_id) as rid, min(k_min) as k_min from ctx c join kr using (anchor_id) where k_min > 0 group by gid, k, l, r having count(*) = 1)
