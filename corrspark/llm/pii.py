@@ -119,6 +119,28 @@ def written_otherwise(kind: int, span: str, rng: np.random.Generator) -> str:
     return pick(f"({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}{mark}{own[3:6]}{mark}{own[6:]}", f"00{digits}", f"0{own[:3]}/{own[3:]}")
 
 
+_AT = re.compile(r"@|[(\[{<]\s*at\s*[)\]}>]|\sat\s", re.IGNORECASE)
+_DOT = re.compile(r"\.|[(\[{<]\s*dot\s*[)\]}>]|\sdot\s", re.IGNORECASE)
+
+
+def plausible(kind: int, span: str) -> bool:
+    """Whether a span can be what the network takes it for, however it is written.
+
+    An address has a sign for at, and after it one for a dot; four numbers of an ip are at most 255; a card has 16 to 19 digits that pass Luhn;
+    a phone has 8 to 15 digits (two zeros may stand for the plus) of more than two kinds.
+    """
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == 0:
+        at = _AT.search(span)
+        return bool(at and span[: at.start()].strip() and _DOT.search(span, at.end()))
+    if kind == 1:
+        numbers = re.findall(r"[0-9]+", span)
+        return len(numbers) == 4 and all(len(x) < 4 and int(x) < 256 for x in numbers)
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits.removeprefix("00")) <= 15 and len(set(digits)) > 2
+
+
 def _classes(text: str) -> np.ndarray:
     """A class for each character: digits and letters apart by kind, common marks one by one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -554,8 +576,8 @@ FIELDS = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField
 def find_personal_data(docs: DataFrame, rules: TaggerRules = TaggerRules()) -> DataFrame:
     """One row for each row of ``docs``: doc_id and FIELDS; positions are code points, ends exclusive.
 
-    Spans of the network that touch one of the patterns or of another kind are dropped, base ones stay. A null or empty
-    text has no spans; repeated rows and null ids are searched row by row. Where the sample labels nothing, only the
+    Spans of the network that touch one of the patterns, or cannot be what they are taken for (see plausible()), are dropped;
+    base ones stay. A null or empty text has no spans; very long ones are searched whole; repeated rows and null ids are searched row by row. Where the sample labels nothing, only the
     patterns are used. An empty table gives an empty table. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rules))  # a few thousand weights
@@ -570,9 +592,9 @@ def find_personal_data(docs: DataFrame, rules: TaggerRules = TaggerRules()) -> D
             base = [base_spans(t) for t in texts]
             tagged = [x for a, b in _parts(texts) for x in model_spans(texts[a:b], tagger)] if tagger else [[] for _ in texts]
             rows = []
-            for own, more in zip(base, tagged, strict=True):
+            for text, own, more in zip(texts, base, tagged, strict=True):
                 reach = Reach([(a, b) for _, a, b in own])
-                new = [x for x in more if reach.to(x[2] - 1) <= x[1]]
+                new = [x for x in more if reach.to(x[2] - 1) <= x[1] and plausible(x[0], text[x[1] : x[2]])]
                 kinds = [k for k, _, _ in own]
                 rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(show(own).encode()).hexdigest(), show(sorted(own + new)), len(new)))
             columns = list(zip(*rows, strict=True)) or [[] for _ in FIELDS]

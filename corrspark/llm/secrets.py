@@ -1,8 +1,9 @@
 """Secret scan: fixed formats, and Shannon entropy in a sliding window over candidate strings.
 
-A candidate is a maximal run of token characters. Its character class (hexadecimal, letters, letters and digits, or
-base64 with its marks) sets how many bits a window needs; the window's counts are updated by the character that leaves and the one that enters.
-Candidates that an allow-list pattern matches in full are left alone.
+A candidate is a maximal run of token characters. Its character class (hexadecimal, letters of one case, letters, letters and
+digits, or base64 with its marks) sets how many bits a window needs; the window's counts are updated by the character that leaves and
+the one that enters. Candidates that the allow-list has are left alone: those that a pattern matches in full, and names, whose letters
+follow each other as they do in the corpus.
 """
 
 from __future__ import annotations
@@ -13,42 +14,85 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrspark.llm.common import Reach, as_text, documents
+from corrspark.llm.common import Reach, as_bytes, as_text, documents
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_BYTES = re.compile(CANDIDATE.pattern.encode())
 
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """``window``: characters, also the least length of a candidate; bits a window needs, by class; ``allow``: patterns of whole candidates that are no secrets."""
+    """``window``: characters, also the least length of a candidate; bits a window needs, by class. ``name_digits``, ``name_bits``: digits that a
+    name may have, and bits a pair of its letters that it must be likelier than chance; ``allow``: patterns of whole candidates that are no secrets.
+    """
 
     window: int = 20
     hex_bits: float = 2.9
-    letter_bits: float = 3.9
-    alnum_bits: float = 3.7
-    base64_bits: float = 3.8
+    case_bits: float = 3.2
+    letter_bits: float = 3.5
+    alnum_bits: float = 3.5
+    base64_bits: float = 3.6
+    name_digits: int = 8
+    name_bits: float = 0.25
     allow: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-        r"([A-Z]?[a-z]+|[A-Z]+)([-_/=+]+([A-Z]?[a-z]+|[A-Z]+))*",  # words
-        r"[a-z]*([A-Z][a-z]{2,}|[A-Z]{2,4}(?=[A-Z][a-z]{2,}))+",  # names of several words in one
         r"[0-9]+([-_/=][0-9]+)*",  # numbers and dates
-        r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,6}",  # words and one number
-        r"(?i:.*example.*|.*0123456789abcdef.*|.*abcdefghij.*|.*1234567890.*)",  # placeholders
+        r"(?i:your|my|the|key|example|sample|dummy|test|placeholder|changeme|x{4,}|0123456789(abcdef)?|abcdef(ghij(klmnop(qrstuvwxyz)?)?)?|1234567890|[-_/=+])+",  # placeholders
         r"(da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)",  # digests of nothing
     )
 
 
+_FOLD = np.full(256, 26, np.uint16)
+_FOLD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)] = _FOLD[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = np.arange(26)
+
+
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """(27, 27): how many bits likelier than by chance a letter follows another in words shorter than a candidate, over all documents.
+
+    The last row and column stand for all other characters and count nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            for x in as_bytes(batch.column(0)):
+                codes = _FOLD[np.frombuffer(CANDIDATE_BYTES.sub(b" ", x), np.uint8)]
+                total += np.bincount(codes[:-1] * np.uint16(27) + codes[1:], minlength=27 * 27)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(27 * 27), pa.int32()), pa.array(total)], ["pair", "n"])
+
+    counts = np.zeros(27 * 27)
+    for row in docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 729 rows at most
+        counts[row["pair"]] = row["n"]
+    counts = counts.reshape(27, 27)[:26, :26] + 0.5
+    out = np.zeros((27, 27))
+    out[:26, :26] = np.log2(counts / counts.sum(1, keepdims=True) * 26)
+    return out
+
+
+def is_name(word: str, pairs: np.ndarray, rules: EntropyRules) -> bool:
+    """Whether the letters follow each other as in the corpus, by ``name_bits`` a pair, with few digits among them."""
+    codes = _FOLD[np.frombuffer(word.encode(), np.uint8)]
+    both = (codes[:-1] < 26) & (codes[1:] < 26)
+    n = int(both.sum())
+    digits = sum(map(str.isdigit, word))
+    if n < 6 or digits > rules.name_digits or digits * 3 > len(word):
+        return False
+    return float(pairs[codes[:-1], codes[1:]].sum()) >= rules.name_bits * n
+
+
 def entropy_runs(text: str, bits: float, window: int) -> list[tuple[int, int]]:
     """Merged ranges of the windows whose entropy is at least ``bits``."""
-    term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a character enters before one leaves
     counts: dict[str, int] = {}
     total = 0.0
     runs: list[tuple[int, int]] = []
@@ -71,7 +115,13 @@ def entropy_runs(text: str, bits: float, window: int) -> list[tuple[int, int]]:
 
 
 #: Candidates of one class, and the rule that limits it; the first that holds counts.
-CLASSES = ((re.compile(r"[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*"), "hex_bits"), (re.compile(r"[A-Za-z]+"), "letter_bits"), (re.compile(r"[A-Za-z0-9]+"), "alnum_bits"), (re.compile(r".+"), "base64_bits"))
+CLASSES = ((re.compile(r"[0-9]*[a-f][0-9a-f]*|[0-9]*[A-F][0-9A-F]*"), "hex_bits"), (re.compile(r"[a-z]+|[A-Z]+"), "case_bits"), (re.compile(r"[A-Za-z]+"), "letter_bits"), (re.compile(r"[A-Za-z0-9]+"), "alnum_bits"), (re.compile(r".+"), "base64_bits"))
+
+
+def allow_list(rules: EntropyRules, pairs: np.ndarray):
+    """A function that tells whether a candidate is left alone."""
+    listed = re.compile("|".join(f"(?:{x})" for x in rules.allow)).fullmatch if rules.allow else lambda _: None
+    return lambda word: bool(listed(word)) or is_name(word, pairs, rules)
 
 
 def _entropy_spans(text: str, rules: EntropyRules, allowed) -> list[tuple[int, int]]:
@@ -117,8 +167,10 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
     not read. An empty table gives an empty table.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(letter_pairs(docs))  # 729 numbers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = re.compile("|".join(f"(?:{x})" for x in rules.allow)).fullmatch if rules.allow else lambda _: None
+        allowed = allow_list(rules, shared.value)
         for batch in batches:
             columns = list(zip(*(scan(x, rules, allowed) for x in as_text(batch.column(1))), strict=True)) or [[] for _ in FIELDS]
             arrays = [pa.array(c, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for c, f in zip(columns, FIELDS, strict=True)]

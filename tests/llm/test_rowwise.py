@@ -47,7 +47,8 @@ def test_quality_of_nothing(spark):
 def test_secrets(spark):
     key = "AKIA" + "Q7" * 8
     text = f'é Password: "hunter2hunter2" {key} api_key=short deadbeef{"0f" * 16} x{"Zq3Rt8Yp1Lm6Wn4Kc9Vb2"} 123e4567-e89b-12d3-a456-426614174000 thisisanordinarylongword token=abc'
-    got = {r["doc_id"]: r for r in secrets.find_secrets(frame(spark, [(1, text), (2, None), (3, "")])).collect()}
+    prose = [(100 + i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").collect())] + [(99, "this is an ordinary long word and no ordinary or long word is in this " * 40)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(frame(spark, [(1, text), (2, None), (3, ""), *prose])).collect()}
     spans = [s.split(":") for s in got[1]["spans"].split(",")]
     found = {(k, text[int(a) : int(b)]) for k, a, b in spans}
     assert ("access", key) in found and ("hex", "deadbeef" + "0f" * 16) in found
@@ -80,17 +81,21 @@ def test_secret_patterns_by_brute_force(spark):
     assert got == want
 
 
-def test_entropy_by_class():
+def test_entropy_by_class(spark):
+    """Of random strings of each class at least 95 in 100 are found at 20 characters; names and placeholders are not."""
     rules = secrets.EntropyRules()
-    allowed = re.compile("|".join(f"(?:{x})" for x in rules.allow)).fullmatch
+    pairs = secrets.letter_pairs(spark.read.parquet(f"{SF}/documents.parquet"))
+    allowed = secrets.allow_list(rules, pairs)
     found = lambda t: bool(secrets._entropy_spans(t, rules, allowed))
     rng = np.random.default_rng(9)
     every = lambda chars, n=40: "".join(rng.choice(list(chars), n))
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    for chars in (letters, letters + "0123456789", letters + "0123456789+/", "0123456789abcdef"):
-        assert sum(found(every(chars)) for _ in range(200)) > 190, chars
+    for chars in (letters, letters[:26], letters[26:], letters[:26] + "0123456789", letters + "0123456789", letters + "0123456789+/", "0123456789abcdef"):
+        for n in (20, 24, 40):
+            assert sum(found(every(chars, n)) for _ in range(400)) >= 370, (chars, n)
+    assert sum(found(every(letters, 22) + "42") for _ in range(200)) > 190 and found("x9Kq2LmZ7Rt5Vb8Nw3Yc/example")
     assert found("qWeRtYuIoPaSdFgHjKlZxCvBnMpLkJhG")
-    for clean in ("getHttpResponseCodeFromServer", "a-rather-long-file_name/with/parts", "internationalisationandmore", "2024-01-02/2024-01-03", "aaaaaaaaaaaaaaaaaaaaaaaa", "THISISALLINCAPITALLETTERS", "123e4567-e89b-12d3-a456-426614174000"):
+    for clean in ("getHttpResponseCodeFromServer", "a-rather-long-file_name/with/parts", "internationalisationandmore", "2024-01-02/2024-01-03", "aaaaaaaaaaaaaaaaaaaaaaaa", "your-example-key-1234567890", "abcdefghijklmnopqrstuvwxyz", "handle_request_2024_v2", "THISISALLINCAPITALLETTERS", "123e4567-e89b-12d3-a456-426614174000"):
         assert not found(clean), clean
 
 
@@ -254,3 +259,9 @@ def test_very_many_spans(spark):
     began = time.time()
     row = secrets.find_secrets(frame(spark, [(1, text)])).first()
     assert row["n_access"] == 20_000 and row["n_entropy"] > 15_000 and time.time() - began < 40
+
+
+def test_spans_that_cannot_be_what_they_are_taken_for():
+    good = [(0, "me(at)example(dot)org"), (0, "a.b at c.de"), (1, "10[.]1[.]2[.]255"), (2, "4111.1111.1111.1111"), (3, "(030) 123-4567"), (3, "0049301234567")]
+    bad = [(0, "pfgetz pfgetz"), (0, "me@nowhere"), (0, "@x.y"), (1, "10.1.2"), (1, "10.1.2.256"), (2, "4111.1111.1111.1112"), (2, "411111111111"), (3, "4111111111111111"), (3, "1234567"), (3, "0000000000")]
+    assert all(pii.plausible(k, s) for k, s in good) and not any(pii.plausible(k, s) for k, s in bad)
