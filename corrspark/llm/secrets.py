@@ -81,13 +81,14 @@ def letter_pairs(docs: DataFrame) -> np.ndarray:
 
 def is_name(word: str, pairs: np.ndarray, rules: EntropyRules) -> bool:
     """Whether the letters follow each other as in the corpus, by ``name_bits`` a pair, with few digits among them."""
-    codes = _FOLD[np.frombuffer(word.encode(), np.uint8)]
-    both = (codes[:-1] < 26) & (codes[1:] < 26)
+    raw = np.frombuffer(word.encode(), np.uint8)
+    codes = _FOLD[raw]
+    both = (codes[:-1] < 26) & (codes[1:] < 26) & ((raw[:-1] < 97) | (raw[1:] >= 97))  # a capital after a small letter begins a word
     n = int(both.sum())
     digits = sum(map(str.isdigit, word))
     if n < 6 or digits > rules.name_digits or digits * 3 > len(word):
         return False
-    return float(pairs[codes[:-1], codes[1:]].sum()) >= rules.name_bits * n
+    return float(pairs[codes[:-1], codes[1:]][both].sum()) >= rules.name_bits * n
 
 
 def entropy_runs(text: str, bits: float, window: int) -> list[tuple[int, int]]:
