@@ -4,41 +4,81 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrspark.functions.coords import invert
+from corrspark.session import cut
+
+
+def _walk(r: list[float], q: list[float], limits: tuple[float, float, float, float], max_skip: int, skipped: int) -> tuple[list[int], list[int], int]:
+    """Places that stay, their chains (from 0), and how many were dropped last, from a state that no link can go on from."""
+    gap_ref, gap_qry, low, high = limits
+    kept: list[int] = []
+    numbers: list[int] = []
+    last, number = None, -1
+    for i, (x, y) in enumerate(zip(r, q, strict=True)):
+        if last is not None:
+            dr, dq = x - last[0], y - last[1]
+            goes_on = 0 < dr <= gap_ref * (skipped + 1) and abs(dq) <= gap_qry * (skipped + 1) and low <= dq / dr <= high
+        else:
+            goes_on = False
+        if not goes_on:
+            if skipped < max_skip:
+                skipped += 1
+                continue
+            number += 1
+        kept.append(i)
+        numbers.append(number)
+        last, skipped = (x, y), 0
+    return kept, numbers, skipped
 
 
 def chain(links: DataFrame, by: list[str], gap_ref: float, gap_qry: float, slope: tuple[float, float], max_skip: int = 5) -> DataFrame:
     """The links that stay, with chain (a number for each key).
 
     Links are taken by (ref_center, qry_center, rid). One that does not go on from the last is dropped, and limits grow with
-    each drop in a row; after ``max_skip`` drops the next opens a chain. The state runs along a contig, so each key is
-    one group.
+    each drop in a row; after ``max_skip`` drops the next opens a chain. A key is cut where no link can go on, whatever was dropped before.
+    Only the number of drops passes such a gap, so each segment says for each of these numbers how it ends; the segments' answers are put together
+    for each key, a row for each segment, and then each segment is walked by itself.
     """
-    low, high = slope
+    limits = (gap_ref, gap_qry, *slope)
+    order = Window.partitionBy(*by).orderBy("ref_center", "qry_center", "rid")
+    far = F.col("ref_center") - F.lag("ref_center").over(order) > gap_ref * (max_skip + 1)
+    placed = links.withColumn("_far", F.when(far, 1).otherwise(0)).withColumn("_segment", F.sum("_far").over(order)).drop("_far")
+    cut_up = cut(placed, "chain-segments")
+    keys = T.StructType([*(links.schema[c] for c in by), T.StructField("_segment", T.LongType())])
+    ends = T.StructType([*keys, T.StructField("_ends", T.ArrayType(T.IntegerType())), T.StructField("_opened", T.ArrayType(T.IntegerType()))])
+    starts = T.StructType([*keys, T.StructField("_skipped", T.IntegerType()), T.StructField("_before", T.LongType())])
+    columns = ["ref_center", "qry_center", "rid"]
+
+    def answer(k: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(columns)
+        r, q = x["ref_center"].tolist(), x["qry_center"].tolist()
+        found = [_walk(r, q, limits, max_skip, s) for s in range(max_skip + 1)]
+        return pd.DataFrame([(*k, [e for *_, e in found], [n[-1] + 1 if n else 0 for _, n, _ in found])], columns=ends.names)
+
+    def put_together(x: pd.DataFrame) -> pd.DataFrame:
+        out, skipped, before = [], max_skip, 0  # the first link of all opens a chain
+        for row in x.sort_values("_segment").to_dict("records"):
+            out.append((*(row[c] for c in keys.names), skipped, before))
+            before += row["_opened"][skipped]
+            skipped = row["_ends"][skipped]
+        return pd.DataFrame(out, columns=starts.names)
+
+    sizes = cut_up.groupBy(*by).agg(F.max("_segment").alias("_last"))
+    several = cut_up.join(sizes.where("_last > 0"), by).drop("_last")
+    known = several.groupBy(*by, "_segment").applyInPandas(answer, ends).groupBy(*by).applyInPandas(put_together, starts)
+    whole = sizes.where("_last = 0").select(*by, F.lit(0).cast("long").alias("_segment"), F.lit(max_skip).alias("_skipped"), F.lit(0).cast("long").alias("_before"))
+    ready = cut_up.join(known.unionByName(whole), [*by, "_segment"]).select(*links.columns, "_segment", "_skipped", "_before")
 
     def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["ref_center", "qry_center", "rid"])
-        kept, numbers = [], []
-        last, skipped, number = None, 0, 0
-        for i, (r, q) in enumerate(zip(x["ref_center"].tolist(), x["qry_center"].tolist(), strict=True)):
-            if last is not None:
-                dr, dq = r - last[0], q - last[1]
-                room = skipped + 1
-                if not (0 < dr <= gap_ref * room and abs(dq) <= gap_qry * room and low <= dq / dr <= high):
-                    if skipped < max_skip:
-                        skipped += 1
-                        continue
-                    number += 1
-            kept.append(i)
-            numbers.append(number)
-            last, skipped = (r, q), 0
-        return x.iloc[kept].assign(chain=numbers)
-
-    return links.groupBy(*by).applyInPandas(fold, T.StructType([*links.schema, T.StructField("chain", T.LongType())]))
+        x = x.sort_values(columns)
+        kept, numbers, _ = _walk(x["ref_center"].tolist(), x["qry_center"].tolist(), limits, max_skip, int(x["_skipped"].iloc[0]))
+        return x.iloc[kept].assign(chain=[n + int(x["_before"].iloc[0]) for n in numbers]).drop(columns=["_segment", "_skipped", "_before"])
+
+    return ready.groupBy(*by, "_segment").applyInPandas(fold, T.StructType([*links.schema, T.StructField("chain", T.LongType())]))
 
 
 def bundle_stats(chained: DataFrame, by: list[str], min_links: int = 1, min_span: float = 0.0) -> DataFrame:
@@ -140,8 +180,6 @@ def emit(bundles: DataFrame, by: list[str], ids: bool = False) -> DataFrame:
 
     The links' ids come joined by commas, or, with ``ids``, as the arrays rids and qids.
     """
-    from pyspark.sql import Window
-
     order = [c for c in ("chrom", "strand") if c in bundles.columns and c not in by]
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*order, "ref_start", "chain"))
     whole = bundles.withColumn("bundle_id", F.format_string("B%06d", number))

@@ -52,6 +52,31 @@ def test_chain_drops_what_is_off_the_line(spark):
     assert (stats["n_links"], stats["slope_med"], stats["b0_med"], stats["resid_mad"], stats["max_gap_ref"]) == (4, 1.0, 0.0, 0.0, 2.0)
 
 
+def test_chains_by_segments_are_those_of_one_walk(spark):
+    rng = random.Random(11)
+    links, want = [], {}
+    for key in range(12):
+        at, rows = 0.0, []
+        for i in range(rng.choice((1, 3, 9, 60))):
+            at += rng.choice((0, 1, 3, 3, 3, 10, 12, 90)) if key else 2
+            rows.append((at, at * rng.choice((1, 1, 1, 1.4)) + rng.choice((0, 0, 0, 40)), i))
+        links += [(f"k{key}", r, q, i, i) for r, q, i in rows]
+        last, skipped, number = None, 0, 0
+        for r, q, i in sorted(rows):
+            if last is not None:
+                dr, dq = r - last[0], q - last[1]
+                if not (0 < dr <= 4 * (skipped + 1) and abs(dq) <= 9 * (skipped + 1) and 0.5 <= dq / dr <= 2):
+                    if skipped < 2:
+                        skipped += 1
+                        continue
+                    number += 1
+            last, skipped = (r, q), 0
+            want[f"k{key}", i] = number
+    df = spark.createDataFrame(links, "chrom string, ref_center double, qry_center double, rid long, qid long")
+    got = {(r["chrom"], r["rid"]): r["chain"] for r in chaining.chain(df, ["chrom"], 4, 9, (0.5, 2), max_skip=2).collect()}
+    assert got == want and max(want.values()) > 3
+
+
 def test_parallel_bundles_merge(spark):
     rows = [("c", i, 100.0 * i, 100.0 * i + 50, 100.0 * i, 100.0 * i + 50, 5, s, 0.0, 0.0, 1.0, 1.0, [i], [i], "+") for i, s in enumerate((1.0, 1.01, 2.0))]
     df = spark.createDataFrame(rows, "chrom string, chain long, ref_start double, ref_end double, qry_start double, qry_end double, n_links long, slope_med double, b0_med double, resid_mad double, max_gap_ref double, max_gap_qry double, rids array<long>, qids array<long>, strand string")
