@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrspark.llm.common import bitmap, documents, in_bitmap
-from corrspark.session import cut
+from corrspark.session import Scratch, cut
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
     return rows.alias("x").join(rows.alias("y"), on).select(x("class_a").alias("x"), y("class_a").alias("y")).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, levels: list[int], rules: LineRules, keep=cut) -> DataFrame:
     """``wanted`` (class_a, class_b, line_hash of one of its lines, more) with keys, its set of words, from the lines themselves.
 
     Written, as are links, so that each step's shuffle files go before the next has its own.
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, levels: list[int], rules: LineRule
     maybe = _lines(docs).where(in_bitmap(F.xxhash64("line"), there, bits))
     keyed = maybe.select("line", "odd").distinct().select(_keys(_words(F.col("line"), F.col("odd")), levels).alias("keys"))
     keyed = keyed.select(F.xxhash64("keys").alias("class_a"), F.xxhash64(F.lit(7), "keys").alias("class_b"), "keys")
-    return cut(keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"]), "line-sets")
+    return keep(keyed.join(wanted.drop("line_hash"), ["class_a", "class_b"]).dropDuplicates(["class_a", "class_b"]), "line-sets")
 
 
 def _similar(x: str, y: str, rules: LineRules) -> Column:
@@ -142,44 +142,72 @@ def _similar(x: str, y: str, rules: LineRules) -> Column:
     return common * 100 >= (F.size(x) + F.size(y) - common) * rules.percent
 
 
-def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
+def _wide_parity(keys: Column) -> Column:
+    """512 parity bits of a set, as eight longs."""
+    return F.array(*[_parity(F.filter(keys, _in_eighth(w))) for w in range(8)])
+
+
+def _in_eighth(w: int):
+    return lambda k: F.shiftright(k, 6).bitwiseAND(7) == w
+
+
+def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules, keep) -> DataFrame:
     """class_a, class_b, first, later for each class: its first line's place, and whether a class whose first line is earlier matches it.
 
-    Classes are numbered by their first lines, so a pair's later one is known from the numbers. A class is compared with the
-    candidate whose parity bits are nearest; only where that one fails with all others. So what is compared grows with the classes,
-    not with the pairs among many variants of a line.
+    Classes are numbered by their first lines. A class is compared with the first one of like size that has one of its rare words; most
+    variants of a line end there. Only what is left meets all earlier classes on its words, and only pairs that 512 parity bits of both
+    sets do not tell apart are verified. So a large group of variants costs its members, not its pairs.
+    ``keep``: a function that writes a table and reads it again.
     """
     values = [F.first(c).alias(c) for c in ("n", "prefix", "bits", "line_hash")]
     classes = lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), *values)
-    classes = cut(classes.orderBy("first").withColumn("number", F.monotonically_increasing_id()), "line-classes")
+    classes = keep(classes.orderBy("first").withColumn("number", F.monotonically_increasing_id()), "line-classes")
     rows = classes.select("number", "bits", "n", F.posexplode("prefix").alias("place", "key"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    ordered = (x("n") < y("n")) | ((x("n") == y("n")) & (x("number") < y("number")))
-    met = rows.alias("x").join(rows.alias("y"), (x("key") == y("key")) & ordered & _places_fit(x, y, rules) & _may_match(x, y, rules))
-    differ = F.bit_count(x("bits").bitwiseXOR(y("bits"))).alias("differ")
-    pairs = cut(met.select(F.least(x("number"), y("number")).alias("earlier"), F.greatest(x("number"), y("number")).alias("later"), differ).distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("number")).distinct()
-    sets = _sets(docs, classes.join(wanted, "number", "left_semi").select("class_a", "class_b", "line_hash", "number"), levels, rules)
-
-    def matched(some: DataFrame) -> DataFrame:
-        own = some.join(sets.select(F.col("number").alias("earlier"), F.col("keys").alias("_x")), "earlier")
-        both = own.join(sets.select(F.col("number").alias("later"), F.col("keys").alias("_y")), "later")
-        return both.where(_similar("_x", "_y", rules)).select("later").distinct()
-
-    nearest = pairs.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("b")).select("later", "b.earlier")
-    sure = cut(matched(nearest), "line-matches")
-    rest = pairs.join(sure, "later", "left_anti").join(nearest, ["later", "earlier"], "left_anti")
-    found = sure.unionByName(cut(matched(rest), "line-matches")).select(F.col("later").alias("number"), F.lit(True).alias("later"))
+    fits = (x("key") == y("key")) & (x("number") < y("number")) & _places_fit(x, y, rules) & _may_match(x, y, rules)
+    band = F.floor(F.col("n") / 4).alias("band")
+    leaders = rows.groupBy("key", band).agg(F.min(F.struct("number", "n", "place", "bits")).alias("l")).select("key", "band", "l.*")
+    differ = F.bit_count(x("bits").bitwiseXOR(y("bits")))
+    near = leaders.alias("x").join(rows.withColumn("band", F.floor(F.col("n") / 4)).alias("y"), fits & (x("band") == y("band")))
+    near = keep(near.groupBy(y("number").alias("later")).agg(F.min(F.struct(differ.alias("differ"), x("number").alias("earlier"))).alias("b")).select("later", "b.earlier"), "line-leaders")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("number")).distinct()
+        return _sets(docs, classes.join(wanted, "number", "left_semi").select("class_a", "class_b", "line_hash", "number"), levels, rules, keep)
+
+    def both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        own = pairs.join(sets.select(F.col("number").alias("earlier"), F.col(column).alias("_x")), "earlier")
+        return own.join(sets.select(F.col("number").alias("later"), F.col(column).alias("_y")), "later")
+
+    def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return both(pairs, sets, "keys").where(_similar("_x", "_y", rules)).select("later").distinct()
+
+    sure = keep(matched(near, sets_of(near)), "line-matches")
+    open_rows = rows.join(sure.select(F.col("later").alias("number")), "number", "left_anti")
+    rest = rows.alias("x").join(open_rows.alias("y"), fits).select(x("number").alias("earlier"), y("number").alias("later")).distinct()
+    rest = keep(rest.join(near, ["later", "earlier"], "left_anti"), "line-pairs")
+    sets = sets_of(rest)
+    sketches = keep(sets.select("number", F.struct(F.size("keys").alias("n"), _wide_parity(F.col("keys")).alias("bits")).alias("sketch")), "line-sketches")
+    a, b = F.col("_x"), F.col("_y")
+    least = F.ceil((a["n"] + b["n"]) * rules.percent / (100 + rules.percent) - 1e-9)
+    apart = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+    close = keep(both(rest, sketches, "sketch").where(a["n"] + b["n"] - apart >= 2 * least).select("later", "earlier"), "line-close")
+    found = sure.unionByName(keep(matched(close, sets), "line-matches")).select(F.col("later").alias("number"), F.lit(True).alias("later"))
     return classes.select("class_a", "class_b", "first", "number").join(found, "number", "left").select("class_a", "class_b", "first", F.coalesce("later", F.lit(False)).alias("later"))
 
 
 def removed_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """doc_id, text_hash, line_no of the lines that an earlier one matches or has the same set of words as."""
-    levels = _rarity(docs, rules.rarity_bits)
-    lines = cut(_line_table(docs, levels, rules), "lines")
-    known = _later_classes(docs, lines, levels, rules)
-    joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
-    return joined.where(F.col("later") | (F.col("first") < _place())).select("doc_id", "text_hash", "line_no")
+    """doc_id, text_hash, removed_lines (from 0, in order) of the documents with lines that an earlier one matches or has the same set of words as.
+
+    Of all that is written on the way only this table is left.
+    """
+    with Scratch(docs.sparkSession) as tmp:
+        levels = _rarity(docs, rules.rarity_bits)
+        lines = tmp.cut(_line_table(docs, levels, rules), "lines")
+        known = _later_classes(docs, lines, levels, rules, tmp.cut)
+        joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
+        gone = joined.where(F.col("later") | (F.col("first") < _place()))
+        return cut(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines")), "removed-lines")
 
 
 def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
@@ -258,7 +286,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
     Each line looks up its own byte in a mask of its document's lines, so a text of very many lines takes time in proportion.
     """
-    found = removed_lines(docs, rules).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+    found = removed_lines(docs, rules)
     gone = F.col("removed_lines")
     before = F.concat(F.array(F.lit(-1)), F.slice(gone, F.lit(1), F.size(gone) - 1))
     mask = F.array_join(F.zip_with(before, gone, lambda a, b: F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1"))), "").cast("binary")
