@@ -45,14 +45,44 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+class Scratch:
+    """Tables that are written on the way to a result and deleted when the block ends: with Scratch(spark) as tmp: tmp.cut(df, label).
+
+    What leaves the block must have been written by cut(), so that nothing reads the deleted tables afterwards.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        self._paths.append(path := _fresh(self._spark, label))
+        return _write(df, path)
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
+        for path in self._paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def _fresh(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     It cuts the lineage, so a lost executor costs at most the stage that runs, and later readers do not
     compute ``df`` again. The files live in ``spark.checkpoint.dir`` and go when that folder is cleared.
     """
+    return _write(df, _fresh(df.sparkSession, label))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
