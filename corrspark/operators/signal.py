@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def _joined(parts: DataFrame, by: list[str], aggregates: dict[str, Column], same: list[str] = ()) -> DataFrame:
+def joined_runs(parts: DataFrame, by: list[str], aggregates: dict[str, Column], same: list[str] = ()) -> DataFrame:
     """Runs (start, end) that touch, and agree in ``same``, become one: by, start, end, same and the aggregates.
 
     Parts come from chunks of the axis, so the order along a contig holds runs, not positions.
@@ -42,7 +42,7 @@ def encode_runs(signal: DataFrame, by: list[str], value: str = "value") -> DataF
     opens = F.when((before["pos"] == F.col("pos") - 1) & before["v"].eqNullSafe(F.col(value)), 0).otherwise(1)
     runs = signal.withColumn("_chunk", F.floor(F.col("pos") / CHUNK)).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
     parts = runs.groupBy(*by, "_chunk", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.first(value).alias("value")).drop("_chunk", "_run")
-    return _joined(parts, by, {}, ["value"])
+    return joined_runs(parts, by, {}, ["value"])
 
 
 def spread_ranges(ranges: DataFrame, by: list[str], more: list[str] = ()) -> DataFrame:
@@ -137,7 +137,7 @@ def low_islands(signal: DataFrame, thresholds: DataFrame, by: list[str], factor:
     """Maximal runs with sm <= thr * factor: by, start, end, low (least sm), low_pos (its first position)."""
     low = signal.join(thresholds, by).where(F.col("sm") <= F.col("thr") * factor)
     parts = _chunk_runs(low, by, {"_low": F.min(F.struct("sm", "pos"))})
-    return _joined(parts, by, {"_low": F.min("_low")}).select(*by, "start", "end", F.col("_low.sm").alias("low"), F.col("_low.pos").alias("low_pos"))
+    return joined_runs(parts, by, {"_low": F.min("_low")}).select(*by, "start", "end", F.col("_low.sm").alias("low"), F.col("_low.pos").alias("low_pos"))
 
 
 #: Positions of a bin in which valleys and islands meet.
@@ -209,7 +209,7 @@ def high_runs(signal: DataFrame, thresholds: DataFrame, by: list[str], min_lengt
     """Maximal unmasked runs with sm > thr of at least a length: by, start, end, name, score; names count the runs that are kept."""
     high = signal.join(thresholds, by).where(~F.col("masked") & (F.col("sm") > F.col("thr")))
     parts = _chunk_runs(high, by, {"_sum": F.sum("sm"), "_n": F.count(F.lit(1))})
-    runs = _joined(parts, by, {"mean": F.sum("_sum") / F.sum("_n")})
+    runs = joined_runs(parts, by, {"mean": F.sum("_sum") / F.sum("_n")})
     kept = runs.where(F.col("end") - F.col("start") >= min_length)
     number = F.row_number().over(Window.partitionBy(*by).orderBy("start"))
     return kept.select(*by, "start", "end", F.concat(F.lit("repeat_"), number.cast("string")).alias("name"), F.bround(F.col("mean") * scale).cast("long").alias("score"))

@@ -1,6 +1,9 @@
+import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corrspark.functions import cigar, sequence, text
@@ -169,3 +172,64 @@ def test_inputs_and_short_hit_tables(spark, tmp_path):
     (tmp_path / "hits").write_text("q1\ts1\t99.5\t120\nq2\ts2\t90\n# note\nq3\ts3\t80.0\t7\t0\t0\t1\t7\t2\t8\t1e-5\t40\n")
     rows = readers.blast6(spark, str(tmp_path / "hits")).orderBy("qseqid").collect()
     assert [(r["qseqid"], r["pident"], r["length"], r["send"]) for r in rows] == [("q1", 99.5, 120, None), ("q3", 80.0, 7, 8)]
+
+
+def _windows(rows, k):
+    flip = str.maketrans("ACGT", "TGCA")
+    return [(n, p, min(s[p : p + k], s[p : p + k].translate(flip)[::-1])) for n, s in rows for p in range(len(s) - k + 1) if "N" not in s[p : p + k]]
+
+
+@pytest.mark.parametrize("k", [5, 13, 33])
+def test_kmers_by_code_agree_with_windows_as_text(spark, monkeypatch, k):
+    # pieces, tables, bitmaps and runs against plain windows, with N, letters besides the bases, and sequences of several pieces
+    monkeypatch.setattr(kmers, "PIECE", 40)
+    rng = random.Random(k)
+    rows = [(i, "".join(rng.choice("ACGT" * 8 + "AAAAN" + "R" * (i % 3 == 0)) for _ in range(rng.choice((0, k - 1, k, 90, 200))))) for i in range(20)] + [(20, "A" * 150), (21, "ACGTTGCA" * 20)]
+    seqs = spark.createDataFrame(rows, "name int, seq string").repartition(3)
+    all_windows = _windows(rows, k)
+    n = Counter(w for *_, w in all_windows)
+    assert {r["kmer"]: r["n"] for r in kmers.count(seqs, k).collect()} == n
+    rare = kmers.limited(kmers.count(seqs, k), 2)
+    got = {r["name"]: (r["n_kmers"], r["n_unique"]) for r in kmers.unique_fraction(seqs, rare, ["name"], k).collect()}
+    assert got == {i: (sum(x == i for x, *_ in all_windows), sum(x == i and n[w] <= 2 for x, _, w in all_windows)) for i, _ in rows}
+    single = {r["name"]: r["n_unique"] for r in kmers.single_fraction(seqs, ["name"], k).collect()}
+    assert single == {i: sum(x == i and n[w] == 1 for x, _, w in all_windows) for i, _ in rows}
+    covered = {(i, p + d) for i, p, w in all_windows if n[w] <= 2 for d in range(k)}
+    runs = kmers.unique_runs(seqs, rare, ["name"], k).collect()
+    assert sorted((r["name"], p) for r in runs for p in range(r["start"], r["end"])) == sorted(covered)
+    assert all((r["name"], r["end"]) not in covered and (r["name"], r["start"] - 1) not in covered for r in runs)
+    value = {(i, p): n[w] for i, p, w in all_windows}
+    track = kmers.frequency_runs(seqs, ["name"], k).collect()
+    assert sorted((r["name"], p, r["value"]) for r in track for p in range(r["start"], r["end"])) == sorted((*at, v) for at, v in value.items())
+    assert all(value.get((r["name"], r["end"])) != r["value"] for r in track)
+
+
+def test_kmers_are_not_rows_up_to_a_tables_length(spark, monkeypatch):
+    # each position was a row of text, shuffled by k-mer and back
+    def no(*_):
+        raise AssertionError("a row for each position")
+
+    monkeypatch.setattr(kmers, "positions", no)
+    monkeypatch.setattr(sketch, "positions", no)
+    seqs = spark.createDataFrame([(0, "ACGTTACGGRAC"), (1, "CCCCNA")], "name int, seq string")
+    rare = kmers.limited(kmers.count(seqs, 4), 1)
+    for df in (rare, kmers.unique_fraction(seqs, rare, ["name"], 4), kmers.unique_runs(seqs, rare, ["name"], 4), kmers.frequency_runs(seqs, ["name"], 4), sketch.md5_groups(seqs, ["name"], 4)):
+        assert df.count() > 0
+
+
+def test_sketches_by_code_agree_with_windows_as_text(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "BLOCK", 64)
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ACGTACGTN" + "R" * (i % 2)) for _ in range(rng.choice((0, 30, 150))))) for i in range(20)]
+    seqs = spark.createDataFrame(rows, "name int, seq string")
+    own = {i: {w for x, _, w in _windows(rows, 6) if x == i} for i, _ in rows}
+    least = lambda i: [min(hashlib.md5(f"{j}:{w}".encode()).hexdigest() for w in own[i]) for j in range(2)] if own[i] else []
+    assert {r["name"]: r["group_id"] for r in sketch.md5_groups(seqs, ["name"], 6).collect()} == {i: "LSH:" + hashlib.md5("-".join(least(i)).encode()).hexdigest() for i, _ in rows}
+    factors, offsets = sketch.permutations(80, 42)
+
+    def group(kmers_of):
+        mins = [min(int((np.uint64(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")) * factors[j] + offsets[j]) % sketch.PRIME) for w in kmers_of) if kmers_of else 2**64 - 1 for j in range(2)]
+        return "LSH:" + hashlib.blake2b(np.array(mins, np.uint64).tobytes(), digest_size=8).hexdigest()
+
+    with np.errstate(over="ignore"):
+        assert {r["name"]: r["group_id"] for r in sketch.minhash_groups(seqs, ["name"], 6).collect()} == {i: group(own[i]) for i, _ in rows}
