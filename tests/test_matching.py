@@ -82,3 +82,15 @@ def test_parallel_bundles_merge(spark):
     df = spark.createDataFrame(rows, "chrom string, chain long, ref_start double, ref_end double, qry_start double, qry_end double, n_links long, slope_med double, b0_med double, resid_mad double, max_gap_ref double, max_gap_qry double, rids array<long>, qids array<long>, strand string")
     out = chaining.emit(chaining.merge_parallel(df, ["chrom"]), ["chrom"]).orderBy("bundle_id").collect()
     assert [(r["bundle_id"], r["n_links"], r["ref_start"], r["ref_end"]) for r in out] == [("B000001", 10, 0, 150), ("B000002", 5, 200, 250)]
+
+
+def test_tasks_grow_with_the_anchors(spark, monkeypatch):
+    # partitions were coalesced by the weight of the anchors, and each token then became a row for each of its substrings
+    from corrspark.operators import context, uniqueness
+
+    monkeypatch.setattr(context, "TASK_ROWS", 20)
+    rows = [(0, c, c * 100 + i, float(i * 7), "abc"[(i * i + c) % 3]) for c in range(40) for i in range(5)]
+    ordered = context.order(spark.createDataFrame(rows, "sample int, chrom long, anchor_id long, center double, gid string"), 5)
+    counts = uniqueness.substring_counts(context.tokens(ordered), 6)
+    assert counts.rdd.getNumPartitions() > 200 // 20
+    assert sum(r["n"] for r in counts.collect()) == 40 * sum(min(6, 9 - t) for t in range(9))
