@@ -94,3 +94,47 @@ def test_tasks_grow_with_the_anchors(spark, monkeypatch):
     counts = uniqueness.substring_counts(context.tokens(ordered), 6)
     assert counts.rdd.getNumPartitions() > 200 // 20
     assert sum(r["n"] for r in counts.collect()) == 40 * sum(min(6, 9 - t) for t in range(9))
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _near_case(spark, bound, signs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    if signs:  # symbols share characters
+        monkeypatch.setattr(matching, "_sign", lambda s: F.concat(F.lit("000"), F.hex(F.pmod(F.xxhash64(s), F.lit(signs)) + 0x10000)))
+        monkeypatch.setattr(matching, "CONTEXT_ROWS", 2)
+    rng = random.Random(bound)
+    side = lambda k: [(rng.choice("abc"), rng.randrange(2)) for _ in range(k)]
+    rows = [(i % 2, "c", i, "g" if i % 5 else "h", side(k), side(k), k, 1) for i in range(160) for k in [rng.choice((1, 2, 3, 4))]]
+    rows += [(s, c, i + 1000, *x) for s, c, i, *x in rows[:40]]
+    signed = spark.createDataFrame(rows, "sample int, chrom string, anchor_id long, gid string, left array<struct<g:string,b:int>>, right array<struct<g:string,b:int>>, k_max int, k_min int")
+    ks = [1, 2, 3, 4]
+    got = [(r["qid"], r["k"], r["rid"]) for r in matching.near_hits(signed.where("sample = 1"), signed.where("sample = 0"), ks, bound).collect()]
+    want = {(q[2], k, r[2]) for q in rows for r in rows for k in ks if q[0] == 1 and r[0] == 0 and q[3] == r[3] and min(q[6], r[6]) >= k and _edits(q[4][:k], r[4][:k]) + _edits(q[5][:k], r[5][:k]) <= bound}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_near_hits_are_those_of_all_pairs(spark, monkeypatch):
+    for bound in (1, 4):
+        _near_case(spark, bound, 0, monkeypatch)
+
+
+def test_near_hits_where_symbols_share_characters(spark, monkeypatch):
+    _near_case(spark, 3, 3, monkeypatch)
+
+
+def test_measuring_does_not_carry_symbols(spark):
+    """Contexts that meet carry a text for each side, and no distance is made of arrays but for shared characters."""
+    sym = "array<struct<g:string,b:int>>"
+    q = spark.createDataFrame([("g", 2, [("a", 1), ("b", 2)], [("a", 1), ("b", 1)], [7])], f"gid string, k int, ql {sym}, qr {sym}, qids array<long>")
+    r = spark.createDataFrame([("g", 2, [("a", 1), ("b", 2)], [("a", 1), ("b", 3)], [8])], f"gid string, k int, rl {sym}, rr {sym}, rids array<long>")
+    got = matching._close_pairs(q, r, ["gid"], 1)
+    assert got.columns == ["gid", "k", "qids", "rids"] and [tuple(x) for x in got.collect()] == [("g", 2, [7], [8])]
