@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +32,14 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 class ModelRules:
     """``power``: m = c(v) ** power is the weight of the shorter context. ``bucket_words``: words whose counts one task joins at a time.
     ``shard_tokens``: tokens to a shard; words with half as many are spread. ``folds``: one in so many texts is held out.
+    ``common_words``: how many of the most frequent words go by numbers, which take less room than hashes; their counts are sent to all tasks.
     """
 
     power: float = 0.8
     bucket_words: int = 500_000
     shard_tokens: int = 1_000_000
     folds: int = 10
+    common_words: int = 1 << 17
 
 
 def held_out(doc_id: int | None, folds: int) -> bool:
@@ -93,13 +95,44 @@ def _unpack(data: bytes, most: int | None = None) -> list[np.ndarray]:
     return found
 
 
-def _pairs(docs: DataFrame, shards: int, frequent: dict[int, int], rules: ModelRules) -> DataFrame:
+def _common(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the most frequent words: a table of fixed size."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
+    word, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(word)
+    return word[order], n[order]
+
+
+def _among(code: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which hashes are those of common words."""
+    return common[np.minimum(np.searchsorted(common, code), len(common) - 1)] == code if len(common) else np.zeros(len(code), bool)
+
+
+def _numbered(code: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Sorted hashes as sorted codes: numbers of common words, then the other hashes, which none of 64 bits is likely to be as small as."""
+    hit = _among(code, common)
+    return np.concatenate([np.searchsorted(common, code[hit]).astype(np.uint64), code[~hit]])
+
+
+def _hashes(code: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The hashes that codes stand for, in the codes' order."""
+    n = np.searchsorted(code, np.uint64(len(common)))
+    return np.concatenate([common[code[:n].astype(np.int64)], code[n:]])
+
+
+def _narrow(model: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
+    """Sums for texts in less room: the model's, whose probabilities have a byte, as floats, the base's in steps of 2**-32."""
+    return _pack(model.astype(np.float32), np.rint(base * 2**32).astype(np.int64), known)
+
+
+def _pairs(docs: DataFrame, shards: int, frequent: dict[int, int], common: Broadcast, rules: ModelRules) -> DataFrame:
     """shard, block, data: a block of texts' pairs for a shard. Negative shards have the texts' ids, token counts and folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         often = np.array(sorted(frequent), np.int64).view(np.uint64)
         often.sort()
+        known = common.value[0]
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
@@ -128,7 +161,10 @@ def _pairs(docs: DataFrame, shards: int, frequent: dict[int, int], rules: ModelR
                 for s in np.flatnonzero(np.diff(edges)):
                     own = order[edges[s] : edges[s + 1]]
                     code, at = np.unique(np.concatenate([context[own], tokens[own]]), return_inverse=True)
-                    at = at.astype(np.uint32)
+                    rare = ~_among(code, known)
+                    renamed = np.where(rare, np.cumsum(rare) + (len(code) - np.count_nonzero(rare)), np.cumsum(~rare)).astype(np.uint32) - np.uint32(1)
+                    code = _numbered(code, known)
+                    at = renamed[at]
                     steps = np.diff(owner[own], prepend=np.int32(0)).astype(np.int32)
                     rows.append((int(s), block, _pack(code, at[: len(own)], at[len(own) :], steps, out.astype(np.uint8))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "data"])
@@ -136,8 +172,8 @@ def _pairs(docs: DataFrame, shards: int, frequent: dict[int, int], rules: ModelR
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "shard int, block long, data binary")
 
 
-def _asked(pairs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, shard, data: words of a shard, by buckets of words. Tasks sum up their own words first."""
+def _asked(pairs: DataFrame, buckets: int, most: int) -> DataFrame:
+    """bucket, shard, data: words of a shard that follow others, but for the ``most`` common ones, by buckets of words. Tasks sum up their own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -154,7 +190,11 @@ def _asked(pairs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if shard >= 0:
-                    held.setdefault(shard, []).append(code := _unpack(data, 1)[0])
+                    code, left, right = _unpack(data, 3)
+                    asked = np.zeros(len(code), bool)
+                    asked[right] = True  # only what follows a word needs its count
+                    asked[: np.searchsorted(code, np.uint64(most))] = False  # common words are told to all
+                    held.setdefault(shard, []).append(code := code[asked])
                     size += len(code)
                 if size > 1 << 22:
                     yield from rows()
@@ -211,16 +251,18 @@ def _told(asked: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(look, "shard int, block long, data binary")
 
 
-def _score_shard(blocks: list[tuple[int, bytes]], told: list[bytes], all_words: tuple[int, int], frequent: dict[int, int], rules: ModelRules) -> Iterator[tuple[int, bytes]]:
+def _score_shard(blocks: list[tuple[int, bytes]], told: list[bytes], common: tuple[np.ndarray, np.ndarray], all_words: tuple[int, int], frequent: dict[int, int], rules: ModelRules) -> Iterator[tuple[int, bytes]]:
     """(block, sums for its texts: log10 of the model, log10 of base counts, known words) of one shard.
 
-    told: words of the shard with their counts; those it lacks have none. all_words: training tokens and distinct words.
+    told: words of the shard with their counts, but for common ones; those that both lack have none. all_words: training tokens and distinct words.
     """
     parts = [_unpack(data) for _, data in blocks]
+    for p in parts:
+        p[0] = _hashes(p[0], common[0])
     codes = np.unique(np.concatenate([p[0] for p in parts]))
     contexts, successors, texts, taught, ends = [], [], [], [], [0]
     for code, left, right, steps, out in parts:
-        here = np.searchsorted(codes, code).astype(np.int32)
+        here = np.searchsorted(codes, code).astype(np.int32)  # code is not in order, as common words come first
         contexts.append(here[left])
         successors.append(here[right])
         text = np.cumsum(steps, dtype=np.int32)
@@ -241,6 +283,8 @@ def _score_shard(blocks: list[tuple[int, bytes]], told: list[bytes], all_words:
             total[at] = n
     left, right = pair // len(codes), pair % len(codes)
     own = np.zeros(len(codes))
+    hit = _among(codes, common[0])
+    own[hit] = common[1][np.searchsorted(common[0], codes[hit])]
     for data in told:
         word, n = _unpack(data)
         own[np.searchsorted(codes, word)] = n
@@ -267,7 +311,7 @@ def _score_shard(blocks: list[tuple[int, bytes]], told: list[bytes], all_words:
         real = counted[word]
         yield (
             block,
-            _pack(
+            _narrow(
                 np.bincount(text, pair_logs[inverse[a:b]], n),
                 np.bincount(text[real], base_logs[word[real]], n),
                 np.bincount(text[real & (total[word] > 0)], minlength=n).astype(np.int64),
@@ -290,6 +334,8 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
     if end_count > rules.shard_tokens // 2:  # as often as a text ends, one begins
         frequent[int(BEGIN.view(np.int64))] = end_count
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    common = docs.sparkSession.sparkContext.broadcast(_common(counts, rules.common_words))
+    most = len(common.value[0])
     base_of_all = float(np.log10(n + 0.1 * (v + 1)))
     base_of_end = float(np.log10(end_count + 0.1))
 
@@ -299,7 +345,7 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             if blocks:
-                rows = list(_score_shard(blocks, told, (n, v), often, rules))
+                rows = list(_score_shard(blocks, told, common.value, (n, v), often, rules))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([False] * len(rows)), pa.array([d for _, d in rows], pa.binary())], ["block", "meta", "data"])
 
         for batch in batches:
@@ -340,13 +386,14 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules()) -> DataFrame:
                     meta = _unpack(data)
                 else:
                     own = _unpack(data)
+                    own = [own[0].astype(np.float64), own[1] / 2**32, own[2]]
                     sums = own if sums is None else [a + b for a, b in zip(sums, own, strict=True)]
         yield from done()
 
     buckets = max(8, -(-v // rules.bucket_words))
-    pairs = _pairs(docs, shards, frequent, rules)
+    pairs = _pairs(docs, shards, frequent, common, rules)
     # the pairs are made twice, as keeping them takes as much disk as their shuffle
-    pairs = pairs.union(_told(_asked(pairs, buckets), counts, buckets)).repartition("shard").sortWithinPartitions("shard", "block")
+    pairs = pairs.union(_told(_asked(pairs, buckets, most), counts, buckets)).repartition("shard").sortWithinPartitions("shard", "block")
     scored = pairs.mapInArrow(score, "block long, meta boolean, data binary").repartition("block").sortWithinPartitions("block", F.desc("meta"))
     return scored.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -297,3 +297,16 @@ def test_pipeline(spark, tmp_path):
     assert last.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     whole = pipeline.run(spark, str(tmp_path))
     assert whole.select("doc_id", "start", "length").exceptAll(last.select("doc_id", "start", "length")).count() == 0
+
+
+def test_common_words_go_by_number(spark):
+    """With and without a table of common words, shards see the same pairs and counts; numbers take less room than hashes."""
+    common = np.sort(np.random.default_rng(1).integers(1 << 40, 1 << 63, 3000).astype(np.uint64))
+    code = np.sort(np.concatenate([common[::3], np.random.default_rng(2).integers(1 << 40, 1 << 63, 500).astype(np.uint64)]))
+    numbered = lmscore._numbered(code, common)
+    assert (np.diff(numbered.astype(np.float64)) > 0).all() and sorted(lmscore._hashes(numbered, common)) == code.tolist()
+    assert len(lmscore._pack(numbered)) < 0.7 * len(lmscore._pack(code))
+    rows = zipf_rows(13, 100, 10**6)
+    tables = [{r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in lmscore.score_texts(frame(spark, rows), lmscore.ModelRules(shard_tokens=500, bucket_words=100, common_words=k)).collect()} for k in (0, 20, 1 << 17)]
+    for other in tables[1:]:
+        assert all(np.allclose(tables[0][i], other[i], rtol=1e-6) for i in tables[0])
