@@ -76,8 +76,12 @@ def _parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(63).cast("int"))))
 
 
+#: Sets of more words have parity bits of their own for one half of the words: 64 bits for all tell such sets apart too rarely.
+LONG = 72
+
+
 def _line_table(docs: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
-    """One row for each line with a word: where it is, its class (two hashes of its set), size, prefix and parity."""
+    """One row for each line with a word: where it is, its class (two hashes of its set), size, prefix and parity (bits: of all, half: of one half, 0 unless LONG)."""
     keys = _keys(_words(F.col("line"), F.col("odd")), levels).alias("keys")
     keyed = _lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("line_hash"), keys)
     size = F.size("keys")
@@ -93,6 +97,7 @@ def _line_table(docs: DataFrame, levels: list[int], rules: LineRules) -> DataFra
         size.alias("n"),
         F.slice("keys", F.lit(1), prefix).alias("prefix"),
         _parity(F.col("keys")).alias("bits"),
+        F.when(size > LONG, _parity(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(1) == 1))).otherwise(F.lit(0).cast("long")).alias("half"),
     )
 
 
@@ -101,13 +106,19 @@ def _place() -> Column:
     return F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.col("line_no").alias("line"), "text_hash")
 
 
+def _differ(x, y) -> Column:
+    """Words that rows (functions from a name to a column) differ in at least, by their parity bits."""
+    all_, half = x("bits").bitwiseXOR(y("bits")), x("half").bitwiseXOR(y("half"))
+    long = (x("n") > LONG) & (y("n") > LONG)
+    return F.when(long, F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
+
+
 def _may_match(x, y, rules: LineRules) -> Column:
     """Whether rows (functions from a name to a column) can reach the threshold by their sizes and parity bits."""
     low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
     # |x & y| >= percent / (100 + percent) * (|x| + |y|)
     least = F.ceil((x("n") + y("n")) * rules.percent / (100 + rules.percent) - 1e-9)
-    differ = F.bit_count(x("bits").bitwiseXOR(y("bits")))
-    return (low * 100 >= high * rules.percent) & (x("n") + y("n") - differ >= 2 * least)
+    return (low * 100 >= high * rules.percent) & (x("n") + y("n") - _differ(x, y) >= 2 * least)
 
 
 def _places_fit(x, y, rules: LineRules) -> Column:
@@ -116,16 +127,26 @@ def _places_fit(x, y, rules: LineRules) -> Column:
     return F.least(x("n") - x("place"), y("n") - y("place")) >= least
 
 
-def _candidates(classes: DataFrame, rules: LineRules) -> DataFrame:
-    """Pairs (x, y) of the first class hash of classes that have a word in common and may match, each once."""
-    rows = classes.select("class_a", "bits", "n", F.posexplode("prefix").alias("place", "key"))
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    ordered = (x("n") < y("n")) | ((x("n") == y("n")) & (x("class_a") < y("class_a")))
-    on = (x("key") == y("key")) & ordered & _places_fit(x, y, rules) & _may_match(x, y, rules)
-    return rows.alias("x").join(rows.alias("y"), on).select(x("class_a").alias("x"), y("class_a").alias("y")).distinct()
+def _classes(lines: DataFrame, keep) -> DataFrame:
+    """class_a, class_b, first (place of its first line), n, prefix, bits, half, line_hash, number of each class, numbered by their first lines.
+
+    ``keep``: a function that writes a table and reads it again.
+    """
+    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits", "half", "line_hash")]
+    classes = lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), *values)
+    return keep(classes.orderBy("first").withColumn("number", F.monotonically_increasing_id()), "line-classes")
+
+
+def _rows(classes: DataFrame, *columns: str) -> DataFrame:
+    """A row for each word of a class's prefix."""
+    return classes.select(*columns, "bits", "half", "n", F.posexplode("prefix").alias("place", "key"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, levels: list[int], rules: LineRules, keep=cut) -> DataFrame:
+def _fit(x, y, rules: LineRules) -> Column:
+    return (x("key") == y("key")) & _places_fit(x, y, rules) & _may_match(x, y, rules)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, levels: list[int], rules: LineRules, keep) -> DataFrame:
     """``wanted`` (class_a, class_b, line_hash of one of its lines, more) with keys, its set of words, from the lines themselves.
 
     Written, as are links, so that each step's shuffle files go before the next has its own.
@@ -159,17 +180,13 @@ def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules:
     sets do not tell apart are verified. So a large group of variants costs its members, not its pairs.
     ``keep``: a function that writes a table and reads it again.
     """
-    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits", "line_hash")]
-    classes = lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), *values)
-    classes = keep(classes.orderBy("first").withColumn("number", F.monotonically_increasing_id()), "line-classes")
-    rows = classes.select("number", "bits", "n", F.posexplode("prefix").alias("place", "key"))
+    classes = _classes(lines, keep)
+    rows = _rows(classes, "number")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    fits = (x("key") == y("key")) & (x("number") < y("number")) & _places_fit(x, y, rules) & _may_match(x, y, rules)
     band = F.floor(F.col("n") / 4).alias("band")
-    leaders = rows.groupBy("key", band).agg(F.min(F.struct("number", "n", "place", "bits")).alias("l")).select("key", "band", "l.*")
-    differ = F.bit_count(x("bits").bitwiseXOR(y("bits")))
-    near = leaders.alias("x").join(rows.withColumn("band", F.floor(F.col("n") / 4)).alias("y"), fits & (x("band") == y("band")))
-    near = keep(near.groupBy(y("number").alias("later")).agg(F.min(F.struct(differ.alias("differ"), x("number").alias("earlier"))).alias("b")).select("later", "b.earlier"), "line-leaders")
+    leaders = rows.groupBy("key", band).agg(F.min(F.struct("number", "n", "place", "bits", "half")).alias("l")).select("key", "band", "l.*")
+    near = leaders.alias("x").join(rows.withColumn("band", F.floor(F.col("n") / 4)).alias("y"), _fit(x, y, rules) & (x("number") < y("number")) & (x("band") == y("band")))
+    near = keep(near.groupBy(y("number").alias("later")).agg(F.min(F.struct(_differ(x, y).alias("differ"), x("number").alias("earlier"))).alias("b")).select("later", "b.earlier"), "line-leaders")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("number")).distinct()
@@ -183,8 +200,11 @@ def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules:
         return both(pairs, sets, "keys").where(_similar("_x", "_y", rules)).select("later").distinct()
 
     sure = keep(matched(near, sets_of(near)), "line-matches")
-    open_rows = rows.join(sure.select(F.col("later").alias("number")), "number", "left_anti")
-    rest = rows.alias("x").join(open_rows.alias("y"), fits).select(x("number").alias("earlier"), y("number").alias("later")).distinct()
+    # what is settled has its number n as -1 - n: both sides of the join are one and the same table, so its rows are shuffled once
+    settled = classes.join(sure.select(F.col("later").alias("number"), F.lit(True).alias("sure")), "number", "left")
+    signed = _rows(settled.withColumn("signed", F.when(F.col("sure"), -1 - F.col("number")).otherwise(F.col("number"))), "signed")
+    earlier = F.when(x("signed") < 0, -1 - x("signed")).otherwise(x("signed"))
+    rest = signed.alias("x").join(signed.alias("y"), _fit(x, y, rules) & (earlier < y("signed"))).select(earlier.alias("earlier"), y("signed").alias("later")).distinct()
     rest = keep(rest.join(near, ["later", "earlier"], "left_anti"), "line-pairs")
     sets = sets_of(rest)
     sketches = keep(sets.select("number", F.struct(F.size("keys").alias("n"), _wide_parity(F.col("keys")).alias("bits")).alias("sketch")), "line-sketches")
@@ -210,26 +230,34 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         return cut(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines")), "removed-lines")
 
 
-def _links(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules) -> DataFrame:
-    """All pairs of classes that match: x_a, x_b, y_a, y_b, and later: the one whose first line is later, "x" or "y"."""
-    values = [F.first(c).alias(c) for c in ("n", "prefix", "bits")]
-    pairs = cut(_candidates(lines.groupBy("class_a", "class_b").agg(*values), rules), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class_a")).distinct()
-    wanted = cut(lines.join(wanted, "class_a", "left_semi").groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"), F.min("line_hash").alias("line_hash")), "paired-lines")
-    sets = _sets(docs, wanted, levels, rules)
+#: Parts in which matching pairs are verified, one after the other: a pair carries a set of words on its way, and so only some do at a time.
+VERIFY_PARTS = 3
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("class_a").alias(name), F.col("class_b").alias(f"{name}_b"), F.col("keys").alias(f"{name}_keys"), F.col("first").alias(f"{name}_first"))
 
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    matching = both.where(_similar("x_keys", "y_keys", rules))
-    return cut(matching.select(F.col("x").alias("x_a"), "x_b", F.col("y").alias("y_a"), "y_b", F.when(F.col("x_first") > F.col("y_first"), "x").otherwise("y").alias("later")), "line-links")
+def _links(docs: DataFrame, classes: DataFrame, levels: list[int], rules: LineRules, keep) -> DataFrame:
+    """earlier, later: the numbers of all pairs of classes that match."""
+    rows, x, y = _rows(classes, "number"), (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    pairs = rows.alias("x").join(rows.alias("y"), _fit(x, y, rules) & (x("number") < y("number"))).select(x("number").alias("earlier"), y("number").alias("later"))
+    pairs = keep(pairs.distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("number")).distinct()
+    sets = _sets(docs, classes.join(wanted, "number", "left_semi").select("class_a", "class_b", "line_hash", "number"), levels, rules, keep)
+    links = None
+    for part in range(VERIFY_PARTS):
+        own = pairs.where(F.pmod(F.xxhash64("earlier"), F.lit(VERIFY_PARTS)) == part)
+        own = own.join(sets.select(F.col("number").alias("earlier"), F.col("keys").alias("_x")), "earlier").join(sets.select(F.col("number").alias("later"), F.col("keys").alias("_y")), "later")
+        own = keep(own.where(_similar("_x", "_y", rules)).select("earlier", "later"), "line-links")
+        links = own if links is None else links.unionByName(own)
+    return links
 
 
 def line_links(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """x_a, x_b, y_a, y_b: each pair of different classes of lines whose sets match, once."""
-    levels = _rarity(docs, rules.rarity_bits)
-    return _links(docs, cut(_line_table(docs, levels, rules), "lines"), levels, rules).drop("later")
+    with Scratch(docs.sparkSession) as tmp:
+        levels = _rarity(docs, rules.rarity_bits)
+        classes = _classes(_line_table(docs, levels, rules), tmp.cut)
+        links = _links(docs, classes, levels, rules, tmp.cut)
+        names = lambda number, x: classes.select(F.col("number").alias(number), F.col("class_a").alias(f"{x}_a"), F.col("class_b").alias(f"{x}_b"))
+        return cut(links.join(names("earlier", "x"), "earlier").join(names("later", "y"), "later").drop("earlier", "later"), "line-links")
 
 
 def mark_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -237,20 +265,20 @@ def mark_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
     class_a, class_b: the line's class, the same for equal sets of words. removed: an earlier line has the same set of
     words or one that matches; similar: none has the same. n_links: other sets that match the line's set.
+    Of all that is written on the way only this table is left.
     """
-    levels = _rarity(docs, rules.rarity_bits)
-    lines = cut(_line_table(docs, levels, rules), "lines")
-    links = _links(docs, lines, levels, rules)
-    ends = F.array(
-        F.struct(F.col("x_a").alias("class_a"), F.col("x_b").alias("class_b"), (F.col("later") == "x").alias("later")),
-        F.struct(F.col("y_a").alias("class_a"), F.col("y_b").alias("class_b"), (F.col("later") == "y").alias("later")),
-    )
-    linked = links.select(F.explode(ends).alias("e")).groupBy("e.class_a", "e.class_b").agg(F.max("e.later").alias("later"), F.count(F.lit(1)).alias("n_links"))
-    firsts = lines.groupBy("class_a", "class_b").agg(F.min(_place()).alias("first"))
-    known = firsts.join(linked, ["class_a", "class_b"], "left")
-    joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
-    later = F.coalesce("later", F.lit(False))
-    return joined.select("doc_id", "text_hash", "line_no", "class_a", "class_b", (later | (F.col("first") < _place())).alias("removed"), (later & (F.col("first") >= _place())).alias("similar"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    with Scratch(docs.sparkSession) as tmp:
+        levels = _rarity(docs, rules.rarity_bits)
+        lines = tmp.cut(_line_table(docs, levels, rules), "lines")
+        classes = _classes(lines, tmp.cut)
+        links = _links(docs, classes, levels, rules, tmp.cut)
+        ends = F.array(F.struct(F.col("earlier").alias("number"), F.lit(False).alias("later")), F.struct(F.col("later").alias("number"), F.lit(True).alias("later")))
+        linked = links.select(F.explode(ends).alias("e")).groupBy("e.number").agg(F.max("e.later").alias("later"), F.count(F.lit(1)).alias("n_links"))
+        known = classes.select("class_a", "class_b", "first", "number").join(linked, "number", "left").drop("number")
+        joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
+        later = F.coalesce("later", F.lit(False))
+        marks = joined.select("doc_id", "text_hash", "line_no", "class_a", "class_b", (later | (F.col("first") < _place())).alias("removed"), (later & (F.col("first") >= _place())).alias("similar"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        return cut(marks, "line-marks")
 
 
 def _by_document(marks: DataFrame, *more: Column) -> DataFrame:

@@ -1,10 +1,13 @@
+import os
 import random
 import re
 import time
 
 import pytest
 from helpers import corpus, empty, frame
-from corrspark.llm.linededup import dedup_lines, judge_lines, line_links, mark_lines, removed_lines
+from pyspark.sql import functions as F
+from corrspark.llm.linededup import LONG, LineRules, _classes, _fit, _line_table, _rows, dedup_lines, judge_lines, line_links, mark_lines, removed_lines
+from corrspark.session import shared_dir
 
 
 def brute(rows):
@@ -104,3 +107,39 @@ def test_very_many_lines(spark):
     text = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, [(1, again), (2, fresh + "\n" + "line 1 says so\n" * 2)])).collect()}
     assert text[1].split("\n") == [f"line {i} says so" for i in range(3)]
     assert text[2] == fresh + "\n" and time.time() - began < 60
+
+
+def long_lines(seed):
+    """Lines of about LONG words, shorter and longer ones, that differ by up to a quarter."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(50):
+        own = [f"w{j}" for j in range(LONG + rng.choice((-9, -2, 0, 1, 8, 60)))]
+        for j in rng.sample(range(len(own)), rng.randint(0, len(own) // 4)):
+            own[j] = f"v{rng.randrange(400)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_long_lines_lose_no_link(spark):
+    rows = long_lines(1)
+    sets = {w for _, _, w, _ in brute(rows)}
+    expected = sum(similar(v, w) for v in sets for w in sets if v != w) // 2
+    assert line_links(frame(spark, rows)).count() == expected > 50
+
+
+def test_long_lines_of_different_words_hardly_meet(spark):
+    """They share one word only; 64 parity bits for all of the words let many such pairs through."""
+    rng = random.Random(5)
+    docs = frame(spark, [(i, " ".join(["common", *(f"x{rng.randrange(10**6)}" for _ in range(139))])) for i in range(60)])
+    rules = LineRules()
+    rows = _rows(_classes(_line_table(docs, [0] * (1 << rules.rarity_bits), rules), lambda df, _: df), "number").withColumns({"key": F.lit(1), "place": F.lit(0)}).dropDuplicates(["number"])
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    assert rows.alias("x").join(rows.alias("y"), _fit(x, y, rules) & (x("number") < y("number"))).count() <= 5
+
+
+def test_tables_on_the_way_go(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    mark_lines(frame(spark, variants(1))).count()
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["line-marks"]
