@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrspark.llm.common import bitmap, documents, in_bitmap
@@ -137,6 +137,15 @@ def _classes(lines: DataFrame, keep) -> DataFrame:
     return keep(classes.orderBy("first").withColumn("number", F.monotonically_increasing_id()), "line-classes")
 
 
+def _lines_and_classes(docs: DataFrame, levels: list[int], rules: LineRules, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, line_no, class_a, class_b of each line, and the classes, which alone keep their sets' prefixes."""
+    whole = tmp.cut(_line_table(docs, levels, rules), "whole-lines")
+    classes = _classes(whole, tmp.cut)
+    lines = tmp.cut(whole.select("doc_id", "text_hash", "line_no", "class_a", "class_b"), "lines")
+    tmp.drop(whole)
+    return lines, classes
+
+
 def _rows(classes: DataFrame, *columns: str) -> DataFrame:
     """A row for each word of a class's prefix."""
     return classes.select(*columns, "bits", "half", "n", F.posexplode("prefix").alias("place", "key"))
@@ -172,21 +181,21 @@ def _in_eighth(w: int):
     return lambda k: F.shiftright(k, 6).bitwiseAND(7) == w
 
 
-def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules: LineRules, keep) -> DataFrame:
+def _later_classes(docs: DataFrame, classes: DataFrame, levels: list[int], rules: LineRules, keep) -> DataFrame:
     """class_a, class_b, first, later for each class: its first line's place, and whether a class whose first line is earlier matches it.
 
-    Classes are numbered by their first lines. A class is compared with the first one of like size that has one of its rare words; most
+    A class is compared with the first one of like size that has one of its rare words; most
     variants of a line end there. Only what is left meets all earlier classes on its words, and only pairs that 512 parity bits of both
     sets do not tell apart are verified. So a large group of variants costs its members, not its pairs.
     ``keep``: a function that writes a table and reads it again.
     """
-    classes = _classes(lines, keep)
     rows = _rows(classes, "number")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    band = F.floor(F.col("n") / 4).alias("band")
-    leaders = rows.groupBy("key", band).agg(F.min(F.struct("number", "n", "place", "bits", "half")).alias("l")).select("key", "band", "l.*")
-    near = leaders.alias("x").join(rows.withColumn("band", F.floor(F.col("n") / 4)).alias("y"), _fit(x, y, rules) & (x("number") < y("number")) & (x("band") == y("band")))
-    near = keep(near.groupBy(y("number").alias("later")).agg(F.min(F.struct(_differ(x, y).alias("differ"), x("number").alias("earlier"))).alias("b")).select("later", "b.earlier"), "line-leaders")
+    l = lambda c: F.col(f"l.{c}")  # noqa: E731, E741
+    group = Window.partitionBy("key", F.floor(F.col("n") / 4))
+    near = rows.withColumn("l", F.min(F.struct("number", "n", "place", "bits", "half")).over(group))
+    near = near.where((l("number") < F.col("number")) & _places_fit(l, F.col, rules) & _may_match(l, F.col, rules))
+    near = keep(near.groupBy(F.col("number").alias("later")).agg(F.min(F.struct(_differ(l, F.col).alias("differ"), l("number").alias("earlier"))).alias("b")).select("later", "b.earlier"), "line-leaders")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("number")).distinct()
@@ -201,10 +210,11 @@ def _later_classes(docs: DataFrame, lines: DataFrame, levels: list[int], rules:
 
     sure = keep(matched(near, sets_of(near)), "line-matches")
     # what is settled has its number n as -1 - n: both sides of the join are one and the same table, so its rows are shuffled once
+    # (no condition is on one side alone, not even that y's number is not null, which greatest() hides)
     settled = classes.join(sure.select(F.col("later").alias("number"), F.lit(True).alias("sure")), "number", "left")
     signed = _rows(settled.withColumn("signed", F.when(F.col("sure"), -1 - F.col("number")).otherwise(F.col("number"))), "signed")
     earlier = F.when(x("signed") < 0, -1 - x("signed")).otherwise(x("signed"))
-    rest = signed.alias("x").join(signed.alias("y"), _fit(x, y, rules) & (earlier < y("signed"))).select(earlier.alias("earlier"), y("signed").alias("later")).distinct()
+    rest = signed.alias("x").join(signed.alias("y"), _fit(x, y, rules) & (earlier < F.greatest(y("signed"), F.lit(-1)))).select(earlier.alias("earlier"), y("signed").alias("later")).distinct()
     rest = keep(rest.join(near, ["later", "earlier"], "left_anti"), "line-pairs")
     sets = sets_of(rest)
     sketches = keep(sets.select("number", F.struct(F.size("keys").alias("n"), _wide_parity(F.col("keys")).alias("bits")).alias("sketch")), "line-sketches")
@@ -223,9 +233,9 @@ def removed_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as tmp:
         levels = _rarity(docs, rules.rarity_bits)
-        lines = tmp.cut(_line_table(docs, levels, rules), "lines")
-        known = _later_classes(docs, lines, levels, rules, tmp.cut)
-        joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
+        lines, classes = _lines_and_classes(docs, levels, rules, tmp)
+        known = _later_classes(docs, classes, levels, rules, tmp.cut)
+        joined = lines.join(known, ["class_a", "class_b"])
         gone = joined.where(F.col("later") | (F.col("first") < _place()))
         return cut(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines")), "removed-lines")
 
@@ -269,13 +279,12 @@ def mark_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as tmp:
         levels = _rarity(docs, rules.rarity_bits)
-        lines = tmp.cut(_line_table(docs, levels, rules), "lines")
-        classes = _classes(lines, tmp.cut)
+        lines, classes = _lines_and_classes(docs, levels, rules, tmp)
         links = _links(docs, classes, levels, rules, tmp.cut)
         ends = F.array(F.struct(F.col("earlier").alias("number"), F.lit(False).alias("later")), F.struct(F.col("later").alias("number"), F.lit(True).alias("later")))
         linked = links.select(F.explode(ends).alias("e")).groupBy("e.number").agg(F.max("e.later").alias("later"), F.count(F.lit(1)).alias("n_links"))
         known = classes.select("class_a", "class_b", "first", "number").join(linked, "number", "left").drop("number")
-        joined = lines.select("doc_id", "text_hash", "line_no", "class_a", "class_b").join(known, ["class_a", "class_b"])
+        joined = lines.join(known, ["class_a", "class_b"])
         later = F.coalesce("later", F.lit(False))
         marks = joined.select("doc_id", "text_hash", "line_no", "class_a", "class_b", (later | (F.col("first") < _place())).alias("removed"), (later & (F.col("first") >= _place())).alias("similar"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
         return cut(marks, "line-marks")

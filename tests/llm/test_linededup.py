@@ -7,7 +7,7 @@ import pytest
 from helpers import corpus, empty, frame
 from pyspark.sql import functions as F
 from corrspark.llm.linededup import LONG, LineRules, _classes, _fit, _line_table, _rows, dedup_lines, judge_lines, line_links, mark_lines, removed_lines
-from corrspark.session import shared_dir
+from corrspark.session import Scratch, shared_dir
 
 
 def brute(rows):
@@ -143,3 +143,13 @@ def test_tables_on_the_way_go(spark):
     before = set(os.listdir(folder))
     mark_lines(frame(spark, variants(1))).count()
     assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["line-marks"]
+
+
+def test_a_table_goes_before_the_block_ends(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    with Scratch(spark) as tmp:
+        first, second = tmp.cut(spark.range(3), "first-table"), tmp.cut(spark.range(4), "second-table")
+        tmp.drop(first)
+        there = [x for x in os.listdir(folder) if x.startswith(("first-table", "second-table"))]
+        assert len(there) == 1 and there[0].startswith("second-table") and second.count() == 4
+    assert not [x for x in os.listdir(folder) if x.startswith(("first-table", "second-table"))]
