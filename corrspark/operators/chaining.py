@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,26 +83,34 @@ def chain(links: DataFrame, by: list[str], gap_ref: float, gap_qry: float, slope
     return ready.groupBy(*by, "_segment").applyInPandas(fold, T.StructType([*links.schema, T.StructField("chain", T.LongType())]))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bundle_stats(chained: DataFrame, by: list[str], min_links: int = 1, min_span: float = 0.0) -> DataFrame:
     """One row for each chain of enough links and span: ranges, n_links, slope_med, b0_med, resid_mad, greatest steps, ids.
 
-    Medians are exact and taken from the chain's own array of links, in order.
+    Medians are exact and taken from the chain's own array of links, in order. What a lambda takes from outside is bound by _bound:
+    the optimizer would copy its expression into the lambda, to be evaluated once more for each link.
     """
     link = F.struct("ref_center", "qry_center", "rid", "qid")
-    rows = chained.groupBy(*by, "chain").agg(F.array_sort(F.collect_list(link)).alias("_l"), F.count(F.lit(1)).alias("n_links"))
+    rows = chained.groupBy(*by, "chain").agg(F.sort_array(F.collect_list(link)).alias("_l"), F.count(F.lit(1)).alias("n_links"))
     rows = rows.where(F.col("n_links") >= min_links)
 
-    def median(values):
-        s = F.array_sort(values)
+    def middle(s):
         n = F.size(s)
         return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2)
 
+    def median(values):
+        return _bound(F.sort_array(F.array_compact(values)), middle)
+
     steps = F.zip_with(F.slice("_l", F.lit(1), F.greatest(F.size("_l") - 1, F.lit(0))), F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0))), lambda a, b: F.struct((b["ref_center"] - a["ref_center"]).alias("dr"), (b["qry_center"] - a["qry_center"]).alias("dq")))
     rows = rows.withColumn("_d", steps).withColumn("slope_med", median(F.transform(F.filter("_d", lambda d: d["dr"] > 0), lambda d: d["dq"] / d["dr"])))
     a = F.coalesce("slope_med", F.lit(1.0))
-    rows = rows.withColumn("b0_med", median(F.transform("_l", lambda x: x["qry_center"] - a * x["ref_center"])))
-    resid = F.transform("_l", lambda x: x["qry_center"] - (a * x["ref_center"] + F.col("b0_med")))
-    rows = rows.withColumn("_r", resid).withColumn("_m", median(F.col("_r"))).withColumn("resid_mad", median(F.transform("_r", lambda v: F.abs(v - F.col("_m")))))
+    rows = rows.withColumn("b0_med", median(_bound(a, lambda a: F.transform("_l", lambda x: x["qry_center"] - a * x["ref_center"]))))
+    resid = _bound(a, lambda a: _bound(F.col("b0_med"), lambda b: F.transform("_l", lambda x: x["qry_center"] - (a * x["ref_center"] + b))))
+    rows = rows.withColumn("_r", resid).withColumn("resid_mad", _bound(median(F.col("_r")), lambda m: median(F.transform("_r", lambda v: F.abs(v - m)))))
     out = rows.select(
         *by,
         "chain",

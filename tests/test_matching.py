@@ -1,5 +1,8 @@
 import random
+import time
 
+import numpy as np
+import pandas as pd
 from corrspark.operators import chaining, context, matching, uniqueness
 
 
@@ -138,3 +141,20 @@ def test_measuring_does_not_carry_symbols(spark):
     r = spark.createDataFrame([("g", 2, [("a", 1), ("b", 2)], [("a", 1), ("b", 3)], [8])], f"gid string, k int, rl {sym}, rr {sym}, rids array<long>")
     got = matching._close_pairs(q, r, ["gid"], 1)
     assert got.columns == ["gid", "k", "qids", "rids"] and [tuple(x) for x in got.collect()] == [("g", 2, [7], [8])]
+
+
+def test_medians_of_a_long_chain(spark):
+    """Medians that stand in a lambda are evaluated once, not for each link."""
+    rng = np.random.default_rng(4)
+    r = np.cumsum(rng.integers(1, 9, 20_000)).astype(float)
+    q = r + rng.integers(-500, 500, len(r)) / 10
+    rows = spark.createDataFrame(pd.DataFrame({"c": "x", "chain": 0, "ref_center": r, "qry_center": q, "rid": range(len(r)), "qid": range(len(r))}))
+    began = time.time()
+    (alone,) = chaining.bundle_stats(rows, ["c"]).select("resid_mad").collect()
+    took = time.time() - began
+    (got,) = chaining.bundle_stats(rows, ["c"]).select("n_links", "slope_med", "b0_med", "resid_mad").collect()
+    slope = np.median(np.diff(q) / np.diff(r))
+    b0 = np.median(q - slope * r)
+    resid = q - (slope * r + b0)
+    assert got["n_links"] == len(r) and (got["slope_med"], got["b0_med"], got["resid_mad"]) == (slope, b0, alone["resid_mad"]) and alone["resid_mad"] == np.median(np.abs(resid - np.median(resid)))
+    assert took < 30
