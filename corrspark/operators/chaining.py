@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,27 +15,30 @@ from corrspark.functions.coords import invert
 from corrspark.session import cut
 
 
-def _walk(r: list[float], q: list[float], limits: tuple[float, float, float, float], max_skip: int, skipped: int) -> tuple[list[int], list[int], int]:
-    """Places that stay, their chains (from 0), and how many were dropped last, from a state that no link can go on from."""
-    gap_ref, gap_qry, low, high = limits
-    kept: list[int] = []
-    numbers: list[int] = []
-    last, number = None, -1
-    for i, (x, y) in enumerate(zip(r, q, strict=True)):
-        if last is not None:
-            dr, dq = x - last[0], y - last[1]
-            goes_on = 0 < dr <= gap_ref * (skipped + 1) and abs(dq) <= gap_qry * (skipped + 1) and low <= dq / dr <= high
-        else:
-            goes_on = False
+class _Walk:
+    """Links in order: whether each stays, and the number of its chain (from ``before``). ``skipped`` links were dropped last, from a state that no link can go on from."""
+
+    def __init__(self, limits: tuple[float, float, float, float], max_skip: int, skipped: int, before: int = 0):
+        self.limits, self.max_skip = limits, max_skip
+        self.skipped, self.number, self.last = skipped, before - 1, None
+
+    def step(self, x: float, y: float) -> bool:
+        goes_on = False
+        if self.last is not None:
+            gap_ref, gap_qry, low, high = self.limits
+            dr, dq = x - self.last[0], y - self.last[1]
+            goes_on = 0 < dr <= gap_ref * (self.skipped + 1) and abs(dq) <= gap_qry * (self.skipped + 1) and low <= dq / dr <= high
         if not goes_on:
-            if skipped < max_skip:
-                skipped += 1
-                continue
-            number += 1
-        kept.append(i)
-        numbers.append(number)
-        last, skipped = (x, y), 0
-    return kept, numbers, skipped
+            if self.skipped < self.max_skip:
+                self.skipped += 1
+                return False
+            self.number += 1
+        self.last, self.skipped = (x, y), 0
+        return True
+
+
+def _listed(batch: pa.RecordBatch, *columns: str) -> list[list]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns]
 
 
 def chain(links: DataFrame, by: list[str], gap_ref: float, gap_qry: float, slope: tuple[float, float], max_skip: int = 5) -> DataFrame:
@@ -43,44 +47,67 @@ def chain(links: DataFrame, by: list[str], gap_ref: float, gap_qry: float, slope
     Links are taken by (ref_center, qry_center, rid). One that does not go on from the last is dropped, and limits grow with
     each drop in a row; after ``max_skip`` drops the next opens a chain. A key is cut where no link can go on, whatever was dropped before.
     Only the number of drops passes such a gap, so each segment says for each of these numbers how it ends; the segments' answers are put together
-    for each key, a row for each segment, and then each segment is walked by itself.
+    for each key, a row for each segment, and then each segment is walked by itself. Tasks take the sorted rows of many segments as a stream,
+    so a segment costs its rows alone and is never held whole.
     """
-    limits = (gap_ref, gap_qry, *slope)
-    order = Window.partitionBy(*by).orderBy("ref_center", "qry_center", "rid")
+    limits, own = (gap_ref, gap_qry, *slope), links.columns
+    places = [F.col(c).asc_nulls_last() for c in ("ref_center", "qry_center", "rid")]
+    order = Window.partitionBy(*by).orderBy(*places)
     far = F.col("ref_center") - F.lag("ref_center").over(order) > gap_ref * (max_skip + 1)
     placed = links.withColumn("_far", F.when(far, 1).otherwise(0)).withColumn("_segment", F.sum("_far").over(order)).drop("_far")
     cut_up = cut(placed, "chain-segments")
+    segment = Window.partitionBy(*by, "_segment").orderBy(*places)
+    bounds = {"_first": F.row_number().over(segment) == 1, "_end": F.lead(F.lit(1)).over(segment).isNull()}
     keys = T.StructType([*(links.schema[c] for c in by), T.StructField("_segment", T.LongType())])
-    ends = T.StructType([*keys, T.StructField("_ends", T.ArrayType(T.IntegerType())), T.StructField("_opened", T.ArrayType(T.IntegerType()))])
+    ends = T.StructType([*keys, T.StructField("_ends", T.ArrayType(T.IntegerType())), T.StructField("_opened", T.ArrayType(T.LongType()))])
     starts = T.StructType([*keys, T.StructField("_skipped", T.IntegerType()), T.StructField("_before", T.LongType())])
-    columns = ["ref_center", "qry_center", "rid"]
-
-    def answer(k: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(columns)
-        r, q = x["ref_center"].tolist(), x["qry_center"].tolist()
-        found = [_walk(r, q, limits, max_skip, s) for s in range(max_skip + 1)]
-        return pd.DataFrame([(*k, [e for *_, e in found], [n[-1] + 1 if n else 0 for _, n, _ in found])], columns=ends.names)
-
-    def put_together(x: pd.DataFrame) -> pd.DataFrame:
-        out, skipped, before = [], max_skip, 0  # the first link of all opens a chain
-        for row in x.sort_values("_segment").to_dict("records"):
-            out.append((*(row[c] for c in keys.names), skipped, before))
-            before += row["_opened"][skipped]
-            skipped = row["_ends"][skipped]
-        return pd.DataFrame(out, columns=starts.names)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks: list[_Walk] = []
+        for batch in batches:
+            found = []
+            for x, y, first, end in zip(*_listed(batch, "ref_center", "qry_center", "_first", "_end"), strict=True):
+                if first:
+                    walks = [_Walk(limits, max_skip, s) for s in range(max_skip + 1)]
+                for walk in walks:
+                    walk.step(x, y)
+                if end:
+                    found.append(([w.skipped for w in walks], [w.number + 1 for w in walks]))
+            rows = batch.filter(batch.column("_end")).select(keys.names)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([e for e, _ in found], pa.list_(pa.int32())), pa.array([o for _, o in found], pa.list_(pa.int64()))], ends.names)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skipped, before = max_skip, 0
+        for batch in batches:
+            out = []
+            for first, ended, opened in zip(*(batch.column(c).to_pylist() for c in ("_first", "_ends", "_opened")), strict=True):
+                if first:
+                    skipped, before = max_skip, 0  # the first link of all opens a chain
+                out.append((skipped, before))
+                before += opened[skipped]
+                skipped = ended[skipped]
+            yield pa.RecordBatch.from_arrays([*batch.select(keys.names).columns, pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.int64())], starts.names)
 
     sizes = cut_up.groupBy(*by).agg(F.max("_segment").alias("_last"))
-    several = cut_up.join(sizes.where("_last > 0"), by).drop("_last")
-    known = several.groupBy(*by, "_segment").applyInPandas(answer, ends).groupBy(*by).applyInPandas(put_together, starts)
+    several = cut_up.join(sizes.where("_last > 0"), by).select(*keys.names, "ref_center", "qry_center", "rid").withColumns(bounds)
+    answered = several.mapInArrow(answers, ends).withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy("_segment")) == 1)
+    known = answered.mapInArrow(put_together, starts)
     whole = sizes.where("_last = 0").select(*by, F.lit(0).cast("long").alias("_segment"), F.lit(max_skip).alias("_skipped"), F.lit(0).cast("long").alias("_before"))
-    ready = cut_up.join(known.unionByName(whole), [*by, "_segment"]).select(*links.columns, "_segment", "_skipped", "_before")
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(columns)
-        kept, numbers, _ = _walk(x["ref_center"].tolist(), x["qry_center"].tolist(), limits, max_skip, int(x["_skipped"].iloc[0]))
-        return x.iloc[kept].assign(chain=[n + int(x["_before"].iloc[0]) for n in numbers]).drop(columns=["_segment", "_skipped", "_before"])
-
-    return ready.groupBy(*by, "_segment").applyInPandas(fold, T.StructType([*links.schema, T.StructField("chain", T.LongType())]))
+    ready = cut_up.join(known.unionByName(whole), [*by, "_segment"]).select(*own, "_segment", "_skipped", "_before").withColumns(bounds)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk: _Walk | None = None
+        for batch in batches:
+            numbers = []
+            for x, y, first, skipped, before in zip(*_listed(batch, "ref_center", "qry_center", "_first", "_skipped", "_before"), strict=True):
+                if first:
+                    walk = _Walk(limits, max_skip, skipped, before)
+                numbers.append(walk.number if walk.step(x, y) else None)
+            chains = pa.array(numbers, pa.int64())
+            rows = pa.RecordBatch.from_arrays([*batch.select(own).columns, chains], [*own, "chain"])
+            yield rows.filter(chains.is_valid())
+
+    return ready.mapInArrow(fold, T.StructType([*links.schema, T.StructField("chain", T.LongType())]))
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from corrspark.operators import chaining, context, matching, uniqueness
 
 
@@ -158,3 +159,33 @@ def test_medians_of_a_long_chain(spark):
     resid = q - (slope * r + b0)
     assert got["n_links"] == len(r) and (got["slope_med"], got["b0_med"], got["resid_mad"]) == (slope, b0, alone["resid_mad"]) and alone["resid_mad"] == np.median(np.abs(resid - np.median(resid)))
     assert took < 30
+
+
+def test_many_short_keys_are_chained_in_one_stream(spark):
+    n = 40_000
+    links = spark.range(2 * n).selectExpr("id div 2 as key", "cast(id % 2 as double) as ref_center", "cast(id % 2 as double) as qry_center", "id as rid", "id as qid")
+    began = time.time()
+    got = chaining.chain(links, ["key"], 10, 10, (0.5, 2)).groupBy("chain").count().collect()
+    assert [tuple(x) for x in got] == [(0, 2 * n)]
+    assert time.time() - began < 30
+
+
+def test_chains_do_not_depend_on_batches(spark):
+    rng = random.Random(5)
+    links = spark.createDataFrame([(k, float(rng.randrange(0, 900)), float(rng.randrange(0, 900)), i, i) for k in "ab" for i in range(300)], "key string, ref_center double, qry_center double, rid long, qid long")
+    run = lambda: sorted(map(tuple, chaining.chain(links, ["key"], 1, 200, (0.1, 9), max_skip=1).collect()))
+    want = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert run() == want and len(want) > 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_islands_do_not_depend_on_batches():
+    rng = random.Random(6)
+    rows = sorted((i, t, w, k, rng.randrange(9), rng.randrange(9), rng.random() < 0.3) for i in range(4) for t in (1, 2) for w in (5.0, 9.0) for k in (1, 2) for _ in range(rng.randrange(1, 8)))
+    table = pa.table({c: list(v) for c, v in zip(["island", "turn", "window", "k", "qid", "rid", "exact"], zip(*rows, strict=True), strict=True)})
+    table = table.append_column("_first", pa.array([i == 0 or rows[i][0] != rows[i - 1][0] for i in range(len(rows))]))
+    found = [[x for b in matching._around(iter(table.to_batches(size)), ["island", "turn", "qid", "rid"]) for x in b.to_pylist()] for size in (1, 3, len(rows))]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 8
