@@ -189,3 +189,18 @@ def test_islands_do_not_depend_on_batches():
     table = table.append_column("_first", pa.array([i == 0 or rows[i][0] != rows[i - 1][0] for i in range(len(rows))]))
     found = [[x for b in matching._around(iter(table.to_batches(size)), ["island", "turn", "qid", "rid"]) for x in b.to_pylist()] for size in (1, 3, len(rows))]
     assert found[0] == found[1] == found[2] and len(found[0]) > 8
+
+
+def test_choices_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(q, k, q % 7 if k == 1 else q, "token_mum", "+", 1) for q in range(20) for k in (1, 2)]
+    choices = spark.createDataFrame(rows, "qid long, k int, rid long, method string, strand string, n_cand int")
+    got = matching.assign(spark.range(20).withColumnRenamed("id", "anchor_id"), choices.mapInArrow(counted, choices.schema), [1, 2]).collect()
+    assert all(x["status"] == "assign" and x["rid"] == x["qid"] for x in got)
+    assert seen.value == len(rows)
