@@ -139,3 +139,15 @@ def test_near_pairs_of_any_bound(spark, bound):
     want = {(g, tuple(a), tuple(b), tuple(c), tuple(d)) for g, _, a, b in q for h, _, c, d in r if g == h and distance(a, c) + distance(b, d) <= bound}
     rows = [(x["gid"], tuple(x["ql"]), tuple(x["qr"]), tuple(x["rl"]), tuple(x["rr"])) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and (bound < 2 or want)
+
+
+def test_near_pairs_whose_symbols_share_characters(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_sign", lambda s: F.concat(F.lit("000"), F.hex(F.pmod(F.xxhash64(s), F.lit(2)) + 0x10000)))
+    rng = random.Random(7)
+    make = lambda n: [("g", 3, [rng.choice("abcd") for _ in range(3)], [rng.choice("abcd") for _ in range(3)]) for _ in range(n)]
+    q, r = make(60), make(60)
+    schema = "gid string, k int, {0}l array<string>, {0}r array<string>"
+    got = matching.near_pairs(spark.createDataFrame(q, schema.format("q")).distinct(), spark.createDataFrame(r, schema.format("r")).distinct(), ["gid"], 2)
+    want = {(tuple(a), tuple(b), tuple(c), tuple(d)) for _, _, a, b in q for _, _, c, d in r if distance(a, c) + distance(b, d) <= 2}
+    rows = [(tuple(x["ql"]), tuple(x["qr"]), tuple(x["rl"]), tuple(x["rr"])) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 5
