@@ -204,3 +204,26 @@ def test_choices_are_computed_once(spark):
     got = matching.assign(spark.range(20).withColumnRenamed("id", "anchor_id"), choices.mapInArrow(counted, choices.schema), [1, 2]).collect()
     assert all(x["status"] == "assign" and x["rid"] == x["qid"] for x in got)
     assert seen.value == len(rows)
+
+
+def test_least_contexts_count_all_substrings_of_the_window(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(5)
+    groups = [[rng.choice("ab") for _ in range(n)] for n in (40, 70)]
+    # contig c, groups half a day apart: all gap bins are 1
+    rows = [(1000 * c + i, datetime(2024, 1, 1) + timedelta(hours=12 * i), 2 * c, g) for c, own in enumerate(groups) for i, g in enumerate(own)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+
+    def least(own, longest):
+        tokens = [x for g in own for x in (g, "1")][:-1]
+        count = lambda a: sum(tokens[i : i + len(a)] == a for i in range(len(tokens) - len(a) + 1))
+        for i in range(len(own)):
+            fits = lambda k: any(count(tokens[s : s + n]) == 1 for s in range(2 * i - 2 * k, 2 * i + 2 * k + 1) for n in range(1, min(longest, 2 * i + 2 * k + 1 - s) + 1))
+            yield next((k for k in (1, 2, 3) if 2 * i >= 2 * k and 2 * i + 2 * k < len(tokens) and fits(k)), 0)
+
+    got = {(r["chrom"], r["anchor_id"]): r["k_min"] for r in entry.queries()["ref_min_k"](spark, str(tmp_path)).collect()}
+    want, cut_at_6 = ({(c, 1000 * c + i): k for c, own in enumerate(groups) for i, k in enumerate(least(own, n))} for n in (13, 6))
+    assert got == want != cut_at_6
