@@ -227,3 +227,21 @@ def test_least_contexts_count_all_substrings_of_the_window(spark, tmp_path):
     got = {(r["chrom"], r["anchor_id"]): r["k_min"] for r in entry.queries()["ref_min_k"](spark, str(tmp_path)).collect()}
     want, cut_at_6 = ({(c, 1000 * c + i): k for c, own in enumerate(groups) for i, k in enumerate(least(own, n))} for n in (13, 6))
     assert got == want != cut_at_6
+
+
+def test_pairs_of_a_hot_context_are_dealt_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(matching, "CONTEXT_ROWS", 16)
+    monkeypatch.setattr(matching, "PAIR_ROWS", 1 << 11, raising=False)
+    # anchors 0 to 199 of each sample share one context, the last two have contexts of their own, one of them near it
+    side = lambda i: [("a", 1), ("c" if i == 200 else "b" if i < 200 else "d", 2 if i < 201 else 9)]
+    rows = [(s, "x", 1000 * s + i, "g", side(i), [("a", 1), ("a", 7 if i > 200 else 1)], 2, 1) for s in (0, 1) for i in range(202)]
+    signed = spark.createDataFrame(rows, "sample int, chrom string, anchor_id long, gid string, left array<struct<g:string,b:int>>, right array<struct<g:string,b:int>>, k_max int, k_min int")
+    q, r = signed.where("sample = 1").drop("k_min"), signed.where("sample = 0")
+    found = matching.near_hits(q, r, [2], 1).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((x["qid"], x["rid"]) for x in found) == sorted([(1000 + i, j) for i in range(201) for j in range(201)] + [(1201, 201)])
+    tasks = {}
+    for x in found:
+        tasks[x["task"]] = tasks.get(x["task"], 0) + 1
+    assert len(tasks) > 10 and max(tasks.values()) < 6000
